@@ -1,0 +1,18 @@
+"""Streams.
+
+There is no stream operator among the analyses. What carries over is the transform half of the cleaning and feature
+steps: once fitted on a batch, it is a plain select and runs on a streaming DataFrame unchanged.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+
+def apply_fitted(stream: DataFrame, *transforms: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply fitted row-level transforms, such as ``lambda df: impute(df, values)``, to a stream."""
+    for transform in transforms:
+        stream = transform(stream)
+    return stream
