@@ -1 +1,207 @@
-"""Pending."""
+"""Feature engineering (F)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.people import NUMERIC, TEXT, people
+from catalog.registry import P, bin_sql, binned_sql, group_sql, number_stats, query, rd, rounded, table
+from catalog.statistics import ALL, DOM, LI
+from peoplelens import rules as R
+from peoplelens.operators import features as X
+from peoplelens.plans import nine_step
+
+EV = "(SELECT event_id, value, value - 50 AS shifted FROM events)"
+
+
+def _log_sql(source, columns):
+    flat = ", " + DOM.lstrip(", ") + ", flat AS (SELECT nd.col FROM nd WHERE CAST(top AS DOUBLE) / total >= 0.8)"
+    return f"""{number_stats(source, columns)}{flat} SELECT col AS "column", skew AS skewness, lo AS min, hi AS max,
+      CASE WHEN lo >= 0 THEN 'log1p' ELSE 'yeo-johnson' END AS method FROM st
+      WHERE abs(skew) > 1.0 AND n >= 3 AND col NOT IN (SELECT col FROM flat)"""
+
+
+def events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "value", (F.col("value") - 50).alias("shifted"))
+
+
+@query("f1_log_candidates", "WITH ev AS " + EV + ", " + _log_sql("ev", ["event_id", "value", "shifted"]))
+def f1(spark, sf):
+    return X.log_candidates(events(spark, sf))
+
+
+@query("f1_log_candidates_people", P + ", " + _log_sql("people", NUMERIC))
+def f1_people(spark, sf):
+    return X.log_candidates(people(spark, sf))
+
+
+@query("f2_log1p", f"SELECT event_id, {rd('ln(1 + value)')} AS value FROM events")
+def f2(spark, sf):
+    return rounded(X.log_transform(events(spark, sf).select("event_id", "value"), {"value": X.LOG1P}))
+
+
+@query("f3_yeo_johnson_fit")
+def f3_fit(spark, sf):
+    lam = X.fit_yeo_johnson(events(spark, sf), ["shifted"])
+    return events(spark, sf).agg(F.count("shifted").alias("n")).select("n", F.lit(lam["shifted"]).alias("lambda"))
+
+
+@query("f3_yeo_johnson_transform", f"""SELECT event_id, {rd('''CASE WHEN value - 50 >= 0 THEN (power(value - 50 + 1, 0.7) - 1) / 0.7
+  ELSE -(power(1 - (value - 50), 2 - 0.7) - 1) / (2 - 0.7) END''')} AS shifted FROM events""")
+def f3(spark, sf):
+    df = events(spark, sf).select("event_id", "shifted")
+    return rounded(X.log_transform(df, {"shifted": X.YEO_JOHNSON}, {"shifted": 0.7}))
+
+
+@query("f4_numeric_binning", P + " SELECT " + ", ".join(
+    [f"{bin_sql(c, *rule)} AS {c}" for c, rule in R.BINS.items()] + ["age AS raw_age", "hours_per_week AS raw_hours"]) + " FROM people")
+def f4(spark, sf):
+    p = people(spark, sf).select(*R.BINS, F.col("age").alias("raw_age"), F.col("hours_per_week").alias("raw_hours"))
+    return X.bin_and_group(p, groups=False)
+
+
+@query("f5_category_mapping", P + " SELECT " + ", ".join(f"{group_sql(c, g)} AS {c}" for c, g in R.GROUPS.items()) + ", sex FROM people")
+def f5(spark, sf):
+    return X.bin_and_group(people(spark, sf).select(*R.GROUPS, "sex"), bins=False)
+
+
+def _preview_sql(c):
+    if c in R.BINS:
+        labels = R.BINS[c][1]
+        words = ("Numeric Binning", f"Numeric → {len(labels)} bins", " | ".join(labels))
+    else:
+        words = ("Category Mapping", f"Category → {len(R.GROUPS[c])} groups", ", ".join(R.GROUPS[c]))
+    return f"""SELECT '{c}' AS "column", '{words[0]}' AS type, '{words[1]}' AS action, '{words[2]}' AS details, count(DISTINCT {c}) AS unique_before FROM people"""
+
+
+@query("f6_binning_preview", P + " " + " UNION ALL ".join(_preview_sql(c) for c in (*R.BINS, *R.GROUPS)))
+def f6(spark, sf):
+    return X.binning_preview(people(spark, sf))
+
+
+BINNED_COLUMNS = ", ".join(ALL)
+
+
+@query("f7_binning_on_the_fly", P + f", {binned_sql()} SELECT {BINNED_COLUMNS} FROM b")
+def f7(spark, sf):
+    return X.bin_and_group(people(spark, sf))
+
+
+def _plan_sql(c):
+    """Encoding of one column, decided in SQL from its distinct count where no rule fixes it."""
+    if c in R.BINS or c in R.GROUPS:
+        names = R.BINS[c][1] if c in R.BINS else list(R.GROUPS[c])
+        unique, examples = f"{len(names)}::BIGINT", "'" + ", ".join(names) + "'"
+    else:
+        unique = f"(SELECT count(DISTINCT {c}) FROM people)"
+        examples = (f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM people WHERE {c} IS NOT NULL ORDER BY v LIMIT 5))"
+                    f" || CASE WHEN {unique} > 5 THEN ', …' ELSE '' END")
+    if c == "education":
+        tail = "'Dropped (Redundant)', 'Numeric equivalent ''education_num'' exists'"
+    else:
+        binary = "true" if c in R.BINARY_COLUMNS else f"{unique} <= 2"
+        rest = ("'Label Encoding', 'Ordinal — natural order'" if c in R.ORDINAL_COLUMNS else
+                "'Label Encoding', 'Binned numeric — ordinal'" if c in R.BINS else "'One-Hot Encoding', 'Nominal — no natural order'")
+        enc, why = rest.split("', '")
+        tail = f"CASE WHEN {binary} THEN 'Label Encoding' ELSE {enc}' END, CASE WHEN {binary} THEN 'Binary column' ELSE '{why} END"
+    return f"SELECT '{c}', {unique}, {examples}, {tail}"
+
+
+@query("f8_encoding_plan", P + ', t("column", unique_values, examples, encoding, reason) AS (' + " UNION ALL ".join(
+    _plan_sql(c) for c in (*TEXT, *R.BINS)) + ") SELECT * FROM t")
+def f8(spark, sf):
+    return X.encoding_table(people(spark, sf), R.Rules())
+
+
+@query("f9_drop_redundant", P + " SELECT " + ", ".join(c for c in ALL if c != "education") + " FROM people")
+def f9(spark, sf):
+    return X.drop_redundant(people(spark, sf))
+
+
+def _codes(c, name, source="people"):
+    return f"{name} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM {source} WHERE {c} IS NOT NULL))"
+
+
+@query("f10_label_encoding", P + f""", {_codes('workclass', 'w')}, {_codes('sex', 's')} SELECT fnlwgt, w.code AS workclass, s.code AS sex
+  FROM people LEFT JOIN w ON w.v = workclass LEFT JOIN s ON s.v = sex""")
+def f10(spark, sf):
+    return X.label_encode(people(spark, sf).select("fnlwgt", "workclass", "sex"), ["workclass", "sex"])
+
+
+@query("f10_label_encoding_many_values", f"WITH {_codes('p_name', 'w', 'part')} SELECT p_partkey, w.code AS p_name FROM part LEFT JOIN w ON w.v = p_name")
+def f10_many(spark, sf):
+    return X.label_encode(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"])
+
+
+ONE_HOT = {"workclass": ["Federal-gov", "Local-gov", "Private", "Self-emp-inc", "Self-emp-not-inc", "State-gov", "private"], "race": ["Black", "Other", "White"]}
+
+
+@query("f11_one_hot", P + ", q AS (SELECT * FROM people WHERE workclass <> ' Private ' OR workclass IS NULL) SELECT fnlwgt, " + ", ".join(
+    f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS BIGINT) AS \"{c}_{v}\"" for c, vs in ONE_HOT.items() for v in vs) + " FROM q")
+def f11(spark, sf):
+    p = people(spark, sf).where("workclass <> ' Private ' OR workclass IS NULL")
+    return X.one_hot(p.select("fnlwgt", "workclass", "race"), ["workclass", "race"])
+
+
+SCALER = "CASE WHEN abs(skew) < 0.5 THEN 'StandardScaler' ELSE 'RobustScaler' END"
+
+
+@query("f12_scaling_plan", P + f""", b2 AS (SELECT *, CAST(income = '>50K' AS BIGINT) AS flag FROM people), {number_stats('b2', [*NUMERIC, 'flag'])}, d AS (
+  SELECT col, count(DISTINCT v) AS d FROM nlong GROUP BY col) SELECT st.col AS "column", skew AS skewness, lo AS min, hi AS max, {rd('sd', 4)} AS std, {SCALER} AS method
+  FROM st JOIN d ON d.col = st.col WHERE d > 2 AND n >= 3""")
+def f12(spark, sf):
+    p = people(spark, sf).withColumn("flag", (F.col("income") == ">50K").cast("bigint"))
+    return rounded(X.scaling_table(p), 4)
+
+
+def _scaled(how):
+    centre, spread = ("mean", "sd") if how == "standard" else ("med", "iqr")
+    return f"WITH {number_stats('lineitem', LI)} SELECT l_orderkey, l_linenumber, " + ", ".join(
+        rd(f"({c} - (SELECT {centre} FROM st WHERE col = '{c}')) / (SELECT {spread} FROM st WHERE col = '{c}')") + f" AS {c}" for c in LI) + " FROM lineitem"
+
+
+@query("f13_standard_scaling", _scaled("standard"))
+def f13(spark, sf):
+    return rounded(X.standard_scale(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LI), LI))
+
+
+@query("f14_robust_scaling", _scaled("robust"))
+def f14(spark, sf):
+    return rounded(X.robust_scale(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LI), LI))
+
+
+@query("f15_nine_steps_encoded")
+def f15(spark, sf):
+    return nine_step.run(people(spark, sf)).encoded
+
+
+@query("f16_before_after_table")
+def f16(spark, sf):
+    return nine_step.comparison_table(people(spark, sf))
+
+
+@query("f17_step_statistics")
+def f17(spark, sf):
+    return nine_step.statistics_table(people(spark, sf))
+
+
+def _version(tag, source):
+    return f"SELECT '{tag}' AS version, label, n FROM (SELECT education AS label, count(*) AS n FROM {source} WHERE education IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 10)"
+
+
+@query("f18_before_after_top", P + f", {binned_sql()} {_version('before', 'people')} UNION ALL {_version('after', 'b')}")
+def f18(spark, sf):
+    p = people(spark, sf)
+    return X.compare_distribution(p, X.bin_and_group(p), "education").drop("lower")
+
+
+def _bins(tag, e):
+    return f"""(WITH x AS (SELECT {e} AS v FROM events), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
+      SELECT '{tag}' AS version, CAST(CAST(least(floor((v - lo) / (hi - lo) * 30), 29) AS INT) AS VARCHAR) AS label, count(*) AS n FROM x, r GROUP BY 2)"""
+
+
+@query("f18_before_after_histogram", f"SELECT * FROM {_bins('before', 'value')} UNION ALL SELECT * FROM {_bins('after', 'CAST(event_id % 97 AS DOUBLE)')}")
+def f18_hist(spark, sf):
+    e = table(spark, sf, "events")
+    after = e.select((F.col("event_id") % 97).cast("double").alias("value"))
+    return X.compare_distribution(e.select("value"), after, "value").drop("lower")

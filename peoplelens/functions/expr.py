@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,22 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def name_sql(name: str) -> str:
+    """Column by exact name, in SQL text. Wide aggregates are built as text: one parse instead of many calls."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    """String literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_sql(value: float) -> str:
+    """Double literal with all digits."""
+    value = float(value)
+    return f"{value!r}D" if isfinite(value) else f"double('{value}')"
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
@@ -39,6 +57,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def present_sql(df: DataFrame, name: str) -> str:
+    """Not null, and for floating types not NaN either, in SQL text."""
+    c = name_sql(name)
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return f"({c} IS NOT NULL AND NOT isnan({c}))" if floating else f"({c} IS NOT NULL)"
+
+
 def present(c: Column, kind=None) -> Column:
     """Not null, and for floating types not NaN either."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -46,12 +71,16 @@ def present(c: Column, kind=None) -> Column:
     return c.isNotNull()
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """A numeric column as double with NaN mapped to NULL."""
-    c = col(name)
+def number_sql(df: DataFrame, name: str) -> str:
+    """A numeric column as double with NaN mapped to NULL, in SQL text."""
+    c = name_sql(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c), c).cast("double")
-    return c.cast("double")
+        return f"CAST(CASE WHEN NOT isnan({c}) THEN {c} END AS DOUBLE)"
+    return f"CAST({c} AS DOUBLE)"
+
+
+def number(df: DataFrame, name: str) -> Column:
+    return F.expr(number_sql(df, name))
 
 
 def parse_number(c: Column) -> Column:
@@ -116,12 +145,19 @@ def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(scale)
 
 
+def pearson_sql(x: str, y: str) -> str:
+    """Pairwise-complete correlation aggregate in SQL text; NULL when either side is constant.
+
+    ``corr`` itself would raise on a constant side.
+    """
+    left, right = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({left}) * stddev_pop({right}))"
+
+
 def pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete correlation aggregate; NULL when either side is constant."""
-    both = x.isNotNull() & y.isNotNull()
-    left, right = F.when(both, x), F.when(both, y)
-    spread = F.stddev_pop(left) * F.stddev_pop(right)
-    return F.covar_pop(left, right) / F.nullif(spread, F.lit(0.0))
+    """The same for column expressions."""
+    left, right = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(left) * F.stddev_pop(right))
 
 
 def is_date(c: Column, formats=DATE_FORMATS) -> Column:

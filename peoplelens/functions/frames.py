@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.functions.expr import col, replace_by
+from peoplelens.functions.expr import col, replace_by, text_sql
 from peoplelens.session import MAX_BROADCAST_ROWS, MAX_LABEL_COLUMNS, MAX_LITERALS
 
 
@@ -14,19 +14,28 @@ def small_frame(spark: SparkSession, schema: str, rows) -> DataFrame:
     return spark.createDataFrame(list(rows), schema=schema)
 
 
-def melt(df: DataFrame, columns: dict[str, Column], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Long form (column, value) of same-typed expressions, optional extra columns kept."""
-    extra = extra or {}
+def melt(df: DataFrame, columns: dict[str, Column | str], extra: dict[str, Column] | None = None) -> DataFrame:
+    """Long form (column, value) of same-typed expressions (SQL text or columns), optional extra columns kept."""
+    kept = [c.alias(n) for n, c in (extra or {}).items()]
+    if all(isinstance(c, str) for c in columns.values()):
+        structs = ", ".join(f"named_struct('column', {text_sql(n)}, 'value', {c})" for n, c in columns.items())
+        return df.select(*kept, F.expr(f"inline(array({structs}))"))
     items = F.array(*[F.struct(F.lit(n).alias("column"), c.alias("value")) for n, c in columns.items()])
-    return df.select(*[c.alias(n) for n, c in extra.items()], F.inline(items))
+    return df.select(*kept, F.inline(items))
 
 
-def one_row_to_long(agg: DataFrame, columns, fields) -> DataFrame:
-    """One wide row of ``<column>|<field>`` values to one row per column."""
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[col(f"{c}|{f}").alias(f) for f in fields])
-        for c in columns
-    ])))
+def per_column(df: DataFrame, columns, make, shared: str = "") -> DataFrame:
+    """One aggregate pass over all columns → one row per column.
+
+    ``make(column)`` gives the aggregates of a column as {field: SQL text}; ``shared`` is an aggregate that every
+    row repeats under the name ``shared``.
+    """
+    rows = []
+    for c in columns:
+        parts = {**({"shared": shared} if shared else {}), **make(c)}
+        rows.append(f"named_struct('column', {text_sql(c)}, "
+                    + ", ".join(f"'{f}', {e}" for f, e in parts.items()) + ")")
+    return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
 
 
 def bounded_labels(df: DataFrame, c: Column, limit: int = MAX_LABEL_COLUMNS) -> list:

@@ -47,25 +47,26 @@ def _by_rank(freq: DataFrame, probs) -> DataFrame:
     return found.select("key", F.array(*mix).alias("quantiles"))
 
 
-def grouped_quantiles(long: DataFrame, probs, distinct: int | None = None,
+def grouped_quantiles(long: DataFrame, probs, bound: int | None = None,
                       limit: int = MAX_PERCENTILE_STATE) -> DataFrame:
     """Quantiles per key of a (key, value) table → (key, quantiles array).
 
-    ``distinct`` is the number of distinct (key, value) pairs when the caller knows it; otherwise it is
-    estimated first. Keys whose values are all NULL are absent.
+    ``bound`` is an upper bound of the distinct (key, value) pairs, such as a row count the caller has. Where it
+    does not settle the size, the number is estimated first. Keys whose values are all NULL are absent.
     """
     long = long.where(F.col("value").isNotNull())
-    if distinct is None:
+    distinct = bound
+    if bound is None or bound > limit:
         distinct = long.agg(F.approx_count_distinct(F.struct("key", "value")).alias("d")).first()["d"]
     freq = long.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     return _by_state(freq, probs) if distinct <= limit else _by_rank(freq, probs)
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column], probs, distinct: int | None = None,
+def column_quantiles(df: DataFrame, columns: dict[str, Column | str], probs, bound: int | None = None,
                      limit: int = MAX_PERCENTILE_STATE) -> dict[str, list[float]]:
     """Quantiles of several double expressions, one row per expression brought to the driver."""
     if not columns:
         return {}
     long = melt(df, columns).withColumnRenamed("column", "key")
-    found = {r["key"]: list(r["quantiles"]) for r in grouped_quantiles(long, probs, distinct, limit).collect()}
+    found = {r["key"]: list(r["quantiles"]) for r in grouped_quantiles(long, probs, bound, limit).collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, is_target, number, numeric_columns, pearson, text_columns
-from peoplelens.functions.frames import melt
+from peoplelens.functions.expr import (
+    col, is_target, name_sql, number_sql, numeric_columns, pearson, pearson_sql, text_columns,
+)
+from peoplelens.functions.frames import melt, per_column
 
 
 def _contingency_stats(cells: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def association_scores(df: DataFrame, target_column: str, minimum: float = R.ASS
     parts = []
     if texts:
         known = df.where(col(target_column).isNotNull())
-        counts = melt(known, {c: col(c) for c in texts}, {"high": high.cast("bigint")}) \
+        counts = melt(known, {c: name_sql(c) for c in texts}, {"high": high.cast("bigint")}) \
             .where(F.col("value").isNotNull()).groupBy("column", "value") \
             .agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("h"))
         h, n = F.col("h").cast("double"), F.col("n").cast("double")
@@ -101,13 +103,10 @@ def association_scores(df: DataFrame, target_column: str, minimum: float = R.ASS
         parts.append(sums.where(total >= 10).select(
             F.col("column").alias("attribute"), v.alias("association"), F.lit("Cramér's V").alias("method")))
     if numbers:
-        y = high.cast("double")
-        wide = df.agg(*[a for c in numbers for a in (
-            F.count(number(df, c)).alias(f"{c}|n"), F.abs(pearson(number(df, c), y)).alias(f"{c}|r"))])
-        rows = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("attribute"), col(f"{c}|n").alias("n"), col(f"{c}|r").alias("association"))
-            for c in numbers]))).where(F.col("n") >= 10)
-        parts.append(rows.select("attribute", "association", F.lit("Point-Biserial").alias("method")))
+        rows = per_column(df.select("*", high.cast("double").alias("_y")), numbers, lambda c: {
+            "n": f"count({number_sql(df, c)})", "association": f"abs({pearson_sql(number_sql(df, c), '_y')})"})
+        parts.append(rows.where(F.col("n") >= 10).select(
+            F.col("column").alias("attribute"), "association", F.lit("Point-Biserial").alias("method")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

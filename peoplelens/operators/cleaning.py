@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from peoplelens import rules as R
 from peoplelens.functions.expr import (
-    col, is_noise, number, numeric_columns, parse_number, present, ranked_first, share, strip, text_columns,
+    col, is_noise, number, numeric_columns, parse_number, present, present_sql, ranked_first, share, strip, text_columns,
 )
-from peoplelens.functions.frames import apply_replacements, first_per_column, small_frame
+from peoplelens.functions.frames import apply_replacements, first_per_column, per_column, small_frame
 from peoplelens.operators.frequency import column_modes, text_frequency
 from peoplelens.operators.profile import Profile, fit_profiles
 
@@ -211,12 +211,8 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """Missing cells and share of rows per column, all columns in one pass."""
-    n = F.count(F.lit(1))
-    wide = df.agg(n.alias("_rows"), *[
-        (n - F.count_if(present(col(c), df.schema[c].dataType))).alias(c) for c in df.columns])
-    return wide.select("_rows", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), col(c).alias("missing")) for c in df.columns]))).select(
-        "column", "missing", share(F.col("missing"), F.col("_rows"), 100.0).alias("missing_pct"))
+    counts = per_column(df, df.columns, lambda c: {"missing": f"count(1) - count_if({present_sql(df, c)})"}, "count(1)")
+    return counts.select("column", "missing", share(F.col("missing"), F.col("shared"), 100.0).alias("missing_pct"))
 
 
 def missing_report(df: DataFrame) -> DataFrame:

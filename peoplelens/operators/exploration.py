@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, first_int, gender, label, ranked_first, share
+from peoplelens.functions.expr import first_int, gender, label, name_sql, ranked_first, share
 from peoplelens.functions.frames import bounded_labels, melt
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
 from peoplelens.operators.association import association_scores
@@ -59,7 +59,7 @@ def best_and_worst(rates: DataFrame) -> DataFrame:
 
 def rates_of_many(df: DataFrame, columns, target: Column) -> DataFrame:
     """Target rate per (feature, label) of several columns from one shuffle."""
-    long = melt(df, {c: label(col(c)) for c in columns}, {"high": target.cast("double")})
+    long = melt(df, {c: f"coalesce(CAST({name_sql(c)} AS STRING), 'nan')" for c in columns}, {"high": target.cast("double")})
     return long.groupBy(F.col("column").alias("feature"), F.col("value").alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("high").alias("rate"))
 

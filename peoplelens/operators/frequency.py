@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, label, number, numeric_columns, ranked_first, share, strip, text_columns
+from peoplelens.functions.expr import col, label, name_sql, number_sql, numeric_columns, ranked_first, share, strip, text_columns
 from peoplelens.functions.frames import bounded_labels, melt
 from peoplelens.session import MAX_LABEL_COLUMNS
 
@@ -18,14 +18,15 @@ from peoplelens.session import MAX_LABEL_COLUMNS
 def text_frequency(df: DataFrame, columns=None, trimmed: bool = False) -> DataFrame:
     """Distinct values of the text columns with their row counts; NULL is left out."""
     columns = text_columns(df) if columns is None else list(columns)
-    pick = (lambda c: strip(col(c))) if trimmed else col
-    return _count(melt(df, {c: pick(c).cast("string") for c in columns}))
+    if trimmed:
+        return _count(melt(df, {c: strip(col(c).cast("string")) for c in columns}))
+    return _count(melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}))
 
 
 def numeric_frequency(df: DataFrame, columns=None) -> DataFrame:
     """Distinct values of the numeric columns, as double, with their row counts."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    return _count(melt(df, {c: number(df, c) for c in columns}))
+    return _count(melt(df, {c: number_sql(df, c) for c in columns}))
 
 
 def _count(long: DataFrame) -> DataFrame:

@@ -8,43 +8,36 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peoplelens.functions.expr import col, integral_columns, label, number, numeric_columns, pearson
-from peoplelens.functions.frames import melt, one_row_to_long
+from peoplelens.functions.expr import (
+    col, double_sql, integral_columns, label, number, number_sql, numeric_columns, pearson_sql, text_sql,
+)
+from peoplelens.functions.frames import per_column, small_frame
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 PAIRS_PER_PASS = 60
 
 
-def adjusted_skewness(c: Column) -> Column:
+def skewness_sql(x: str) -> str:
     """Bias-adjusted skewness aggregate; NULL under three values, 0 for a constant column."""
-    n = F.count(c).cast("double")
-    factor = F.sqrt(n * (n - 1)) / (n - 2)
-    return (F.when(n < 3, F.lit(None).cast("double"))
-            .when(F.min(c) == F.max(c), F.lit(0.0))
-            .otherwise(F.skewness(c) * factor))
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return (f"CASE WHEN count({x}) < 3 THEN NULL WHEN min({x}) = max({x}) THEN 0D "
+            f"ELSE skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2) END")
 
 
 def moments(df: DataFrame, columns=None) -> DataFrame:
-    """One row per numeric column: n, missing, mean, std, skewness, min, max, distinct estimate.
+    """One row per numeric column: n, missing, mean, std, skewness, min, max.
 
     All columns share one pass without a shuffle of rows.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    fields = {
-        "n": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "skewness": adjusted_skewness,
-        "min": F.min,
-        "max": F.max,
-        "distinct_estimate": F.approx_count_distinct,
-    }
-    aggs = [make(number(df, c)).alias(f"{c}|{f}") for c in columns for f, make in fields.items()]
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    rows = wide.select("_rows", *[col(f"{c}|{f}") for c in columns for f in fields],
-                       *[(F.col("_rows") - col(f"{c}|n")).alias(f"{c}|missing") for c in columns])
-    return one_row_to_long(rows, columns, [*fields, "missing"])
+
+    def make(c):
+        x = number_sql(df, c)
+        return {"n": f"count({x})", "missing": f"count(1) - count({x})", "mean": f"avg({x})",
+                "std": f"stddev_samp({x})", "skewness": skewness_sql(x), "min": f"min({x})", "max": f"max({x})"}
+
+    return per_column(df, columns, make)
 
 
 @dataclass(frozen=True)
@@ -59,7 +52,6 @@ class Profile:
     skew: float | None
     low: float | None
     high: float | None
-    distinct_estimate: int
     q1: float | None = None
     median: float | None = None
     q3: float | None = None
@@ -81,29 +73,26 @@ def fit_profiles(df: DataFrame, columns=None, quantiles: bool = True, mad: bool
         return {}
     whole = integral_columns(df)
     rows = {r["column"]: r for r in moments(df, columns).collect()}
-    distinct = sum(r["distinct_estimate"] for r in rows.values())
+    # Values of all columns together: an upper bound of what the quantile search has to tell apart.
+    bound = sum(r["n"] for r in rows.values())
     quarts, mads = {}, {}
     if quantiles or mad:
-        quarts = column_quantiles(df, {c: number(df, c) for c in columns}, QUARTILES, distinct)
+        quarts = column_quantiles(df, {c: number_sql(df, c) for c in columns}, QUARTILES, bound)
     if mad:
-        # |x - median| folds values together, so it has at most as many distinct values as the column.
-        away = {c: F.abs(number(df, c) - F.lit(quarts[c][1])) for c in columns if quarts[c][1] is not None}
-        mads = column_quantiles(df, away, (0.5,), distinct)
+        away = {c: f"abs({number_sql(df, c)} - {double_sql(quarts[c][1])})" for c in columns if quarts[c][1] is not None}
+        mads = column_quantiles(df, away, (0.5,), bound)
     out = {}
     for c in columns:
         r = rows[c]
         q1, med, q3 = quarts.get(c, (None, None, None))
         skew = r["skewness"]
         out[c] = Profile(c, r["n"], r["missing"], r["mean"], r["std"],
-                         None if skew is None else round(skew, 3), r["min"], r["max"],
-                         r["distinct_estimate"], q1, med, q3, mads.get(c, [None])[0], c in whole)
+                         None if skew is None else round(skew, 3), r["min"], r["max"], q1, med, q3, mads.get(c, [None])[0], c in whole)
     return out
 
 
 def quantile_table(df: DataFrame, columns=None) -> DataFrame:
     """Quartiles, IQR and MAD, one row per column."""
-    from peoplelens.functions.frames import small_frame
-
     fitted = fit_profiles(df, columns)
     return small_frame(
         df.sparkSession, "column string, q1 double, median double, q3 double, iqr double, mad double",
@@ -173,10 +162,9 @@ def correlations(df: DataFrame, columns=None) -> DataFrame:
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start:start + PAIRS_PER_PASS]
-        wide = df.agg(*[pearson(number(df, a), number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(batch)])
-        rows = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("r"))
-            for i, (a, b) in enumerate(batch)])))
+        cells = ", ".join(f"named_struct('x', {text_sql(a)}, 'y', {text_sql(b)}, "
+                          f"'r', {pearson_sql(number_sql(df, a), number_sql(df, b))})" for a, b in batch)
+        rows = df.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
         out = rows if out is None else out.unionByName(rows)
     mirrored = out.where(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
     return out.unionByName(mirrored)
@@ -191,10 +179,9 @@ def strong_correlations(df: DataFrame, columns=None, threshold: float = 0.0) ->
 def target_correlations(df: DataFrame, target: Column, columns=None) -> DataFrame:
     """Correlation of every numeric column with the target, strongest first; undefined ones are left out."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    y = target.cast("double")
-    wide = df.agg(*[pearson(number(df, c), y).alias(c) for c in columns])
-    return melt(wide, {c: col(c) for c in columns}).select("column", F.col("value").alias("r")) \
-        .where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), F.asc("column"))
+    tagged = df.select("*", target.cast("double").alias("_y"))
+    found = per_column(tagged, columns, lambda c: {"r": pearson_sql(number_sql(df, c), "_y")})
+    return found.where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), F.asc("column"))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, hue: str | None = None, fraction: float = 1.0,
