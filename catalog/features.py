@@ -30,9 +30,9 @@ def f1(spark, sf):
     return X.log_candidates(events(spark, sf))
 
 
-@query("f1_log_candidates_people", P + ", " + _log_sql("people", NUMERIC))
-def f1_people(spark, sf):
-    return X.log_candidates(people(spark, sf))
+@query("f1_log_candidates_documents", "WITH " + _log_sql("documents", ["doc_id", "n_chars"]))
+def f1_documents(spark, sf):
+    return X.log_candidates(table(spark, sf, "documents").select("doc_id", "n_chars"))
 
 
 @query("f2_log1p", f"SELECT event_id, {rd('ln(1 + value)')} AS value FROM events")

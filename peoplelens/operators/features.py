@@ -5,16 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import isfinite, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, cut, label, number, numeric_columns, replace_by, text_columns
-from peoplelens.functions.frames import apply_replacements, bounded_labels, first_per_column, small_frame
+from peoplelens.functions.expr import (
+    col, cut, double_sql, label, name_sql, number, number_sql, numeric_columns, replace_by, text_columns, text_sql,
+)
+from peoplelens.functions.frames import apply_replacements, first_per_column, per_column, small_frame
 from peoplelens.operators.frequency import low_variance, numeric_frequency, text_frequency, top_values
 from peoplelens.operators.profile import Profile, fit_profiles, histogram
-from peoplelens.session import MAX_BROADCAST_ROWS, MAX_LITERALS, cut_lineage
+from peoplelens.session import MAX_BROADCAST_ROWS, MAX_LABEL_COLUMNS, MAX_LITERALS, cut_lineage
 
 LOG1P, YEO_JOHNSON = "log1p", "yeo-johnson"
 STANDARD, ROBUST = "StandardScaler", "RobustScaler"
@@ -37,62 +39,58 @@ def log_candidates(df: DataFrame, skip_binned: bool = False, rules: R.Rules = R.
                        "column string, skewness double, min double, max double, method string", rows)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """Yeo-Johnson transform for a given λ."""
-    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
-    down = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
-    return F.when(x >= 0, up).otherwise(down)
+def yeo_johnson_sql(x: str, lam: float) -> str:
+    """Yeo-Johnson transform for a given λ, as SQL text over ``x``."""
+    up = f"log1p({x})" if abs(lam) < 1e-12 else f"(pow({x} + 1, {double_sql(lam)}) - 1) / {double_sql(lam)}"
+    down = f"-log1p(-{x})" if abs(lam - 2) < 1e-12 else \
+        f"-(pow(1 - {x}, {double_sql(2 - lam)}) - 1) / {double_sql(2 - lam)}"
+    return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
 
 
-def fit_yeo_johnson(df: DataFrame, columns, grid: int = 25, tolerance: float = 1e-7) -> dict[str, float]:
-    """λ of largest likelihood per column.
+def fit_yeo_johnson(df: DataFrame, columns, tolerance: float = 1e-4) -> dict[str, float]:
+    """λ of largest likelihood per column, from a few aggregate passes that all columns share.
 
-    Each pass evaluates a grid of λ for all columns in one aggregate, then narrows to the neighbours of the best
-    one, or moves on when the best lies on the edge. The spread shrinks twelvefold per pass.
+    The first pass evaluates a coarse grid and moves it while the best point lies on its edge. Then each pass
+    takes five points around the vertex of the parabola through the best three, an eighth as wide as before.
     """
-    windows = {c: (-2.0, 4.0) for c in columns}
-    best = {c: 1.0 for c in columns}
-    base = None
-    for _ in range(16):
-        open_columns = [c for c, (lo, hi) in windows.items() if hi - lo > tolerance]
-        if not open_columns:
+    grids = {c: [-2.0 + 0.5 * i for i in range(13)] for c in columns}
+    best: dict[str, float] = {}
+    for _ in range(40):
+        if not grids:
             break
-        grids = {c: [windows[c][0] + i * (windows[c][1] - windows[c][0]) / (grid - 1) for i in range(grid)]
-                 for c in open_columns}
-        aggs = []
-        for c in open_columns:
-            x = number(df, c)
-            aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"{c}|{i}") for i, lam in enumerate(grids[c])]
-        if base is None:
-            aggs += [a for c in columns for a in (
-                F.count(number(df, c)).alias(f"{c}|n"),
-                F.sum(F.signum(number(df, c)) * F.log1p(F.abs(number(df, c)))).alias(f"{c}|s"))]
-        row = df.agg(*aggs).first()
-        if base is None:
-            base = {c: (row[f"{c}|n"], row[f"{c}|s"]) for c in columns}
-        for c in open_columns:
-            n, s = base[c]
-            lo, hi = windows[c]
-            step = (hi - lo) / (grid - 1)
-
-            def likelihood(i):
-                v = row[f"{c}|{i}"]
-                if v is None or not isfinite(v) or v <= 0:
-                    return float("-inf")
-                return -n / 2 * log(v) + (grids[c][i] - 1) * s
-
-            if not n:
-                windows[c] = (1.0, 1.0)
+
+        def make(c):
+            x = number_sql(df, c)
+            points = ", ".join(f"var_pop({yeo_johnson_sql(x, lam)})" for lam in grids[c])
+            return {"n": f"count({x})", "s": f"sum(signum({x}) * log1p(abs({x})))", "v": f"array({points})"}
+
+        for r in per_column(df, list(grids), make).collect():
+            c, grid = r["column"], grids[r["column"]]
+            if not r["n"]:
+                best[c] = 1.0
+                del grids[c]
+                continue
+            like = [_likelihood(r["n"], r["s"], lam, v) for lam, v in zip(grid, r["v"])]
+            top = max(range(len(grid)), key=like.__getitem__)
+            step = grid[1] - grid[0]
+            if top in (0, len(grid) - 1):
+                shift = (len(grid) - 2) * step * (1 if top else -1)
+                grids[c] = [lam + shift for lam in grid]
                 continue
-            top = max(range(grid), key=likelihood)
-            best[c] = grids[c][top]
-            if top == 0:
-                windows[c] = (lo - (hi - lo) + step, lo + step)
-            elif top == grid - 1:
-                windows[c] = (hi - step, hi + (hi - lo) - step)
+            left, mid, right = like[top - 1:top + 2]
+            bend = left - 2 * mid + right
+            best[c] = grid[top] + (step * (left - right) / (2 * bend) if isfinite(bend) and bend < 0 else 0.0)
+            if step <= tolerance:
+                del grids[c]
             else:
-                windows[c] = (best[c] - step, best[c] + step)
-    return best
+                grids[c] = [best[c] + step / 8 * i for i in (-2, -1, 0, 1, 2)]
+    return {c: best.get(c, 1.0) for c in columns}
+
+
+def _likelihood(n: int, s: float, lam: float, variance) -> float:
+    if variance is None or not isfinite(variance) or variance <= 0:
+        return float("-inf")
+    return -n / 2 * log(variance) + (lam - 1) * s
 
 
 def log_transform(df: DataFrame, methods: dict[str, str], lambdas: dict[str, float] | None = None) -> DataFrame:
@@ -106,7 +104,7 @@ def log_transform(df: DataFrame, methods: dict[str, str], lambdas: dict[str, flo
         elif methods[c] == LOG1P:
             picks.append(F.log1p(number(df, c)).alias(c))
         else:
-            picks.append(yeo_johnson(number(df, c), lambdas[c]).alias(c))
+            picks.append(F.expr(yeo_johnson_sql(number_sql(df, c), lambdas[c])).alias(c))
     return df.select(*picks)
 
 
@@ -241,40 +239,66 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return ordered.select("value", (start + F.col("position")).cast("bigint").alias("code"))
 
 
-def label_encode(df: DataFrame, columns, order: dict[str, list] | None = None) -> DataFrame:
+def level_lists(df: DataFrame, columns, limit: int) -> dict[str, list | None]:
+    """Sorted distinct values of several columns, None for a column with more than ``limit`` of them.
+
+    Two jobs for all columns: distinct counts first, then the values of the columns that fit.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    levels = text_frequency(df, columns).select("column", "value")
+    sizes = {r["column"]: r["count"] for r in levels.groupBy("column").count().collect()}
+    small = [c for c in columns if sizes.get(c, 0) <= limit]
+    out: dict[str, list | None] = {c: [] if c in small else None for c in columns}
+    for r in levels.where(F.col("column").isin(*small)).collect() if small else ():
+        out[r["column"]].append(r["value"])
+    return {c: None if v is None else sorted(v) for c, v in out.items()}
+
+
+def label_encode(df: DataFrame, columns, order: dict[str, list] | None = None,
+                 levels: dict[str, list | None] | None = None) -> DataFrame:
     """Text to the rank of its value; NULL stays NULL. ``order`` gives an explicit order for some columns.
 
     Few distinct values become literals. More are joined, broadcast only below a checked count.
     """
     order = order or {}
+    levels = levels or level_lists(df, [c for c in columns if c not in order], MAX_LITERALS)
+    known = {c: order.get(c) or levels.get(c) for c in columns}
+    literal = {c: v for c, v in known.items() if v is not None and len(v) <= MAX_LITERALS}
+    picks = []
+    for c in df.columns:
+        if c not in literal:
+            picks.append(col(c))
+            continue
+        pairs = ", ".join(f"{text_sql(v)}, {i}L" for i, v in enumerate(literal[c]))
+        code = f"map({pairs})[CAST({name_sql(c)} AS STRING)]" if pairs else "CAST(NULL AS BIGINT)"
+        picks.append(F.expr(code).alias(c))
+    df = df.select(*picks)
     for c in columns:
-        text = col(c).cast("string")
-        if c in order:
-            mapping = {v: i for i, v in enumerate(order[c])}
-        else:
-            values = df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_LITERALS + 1)
-            found = sorted(r["v"] for r in values.collect())
-            mapping = {v: i for i, v in enumerate(found)} if len(found) <= MAX_LITERALS else None
-        if mapping is not None:
-            codes = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[text] if mapping \
-                else F.lit(None).cast("int")
-            df = df.select(*[codes.cast("bigint").alias(c) if k == c else col(k) for k in df.columns])
+        if c in literal:
             continue
         side = label_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         if side.count() <= MAX_BROADCAST_ROWS:
             side = F.broadcast(side)
         names = df.columns
-        df = df.join(side, text == F.col("_value"), "left").select(
+        df = df.join(side, col(c).cast("string") == F.col("_value"), "left").select(
             *[F.col("_code").alias(c) if k == c else col(k) for k in names])
     return df
 
 
-def one_hot(df: DataFrame, columns) -> DataFrame:
-    """0/1 column per value but the first in order, appended after the others; NULL is 0 everywhere."""
-    values = {c: bounded_labels(df, col(c).cast("string")) for c in columns}
+def one_hot(df: DataFrame, columns, levels: dict[str, list | None] | None = None) -> DataFrame:
+    """0/1 column per value but the first in order, appended after the others; NULL is 0 everywhere.
+
+    Raises rather than dropping a value when a column has too many of them to become columns.
+    """
+    levels = levels or level_lists(df, columns, MAX_LABEL_COLUMNS)
+    wide = [c for c in columns if levels[c] is None]
+    if wide:
+        raise ValueError(f"more than {MAX_LABEL_COLUMNS} distinct values cannot become columns: {', '.join(wide)}")
     kept = [col(c) for c in df.columns if c not in columns]
-    added = [F.when(col(c) == F.lit(v), 1).otherwise(0).cast("bigint").alias(f"{c}_{v}")
-             for c in columns for v in values[c][1:]]
+    added = [F.expr(f"CASE WHEN {name_sql(c)} = {text_sql(v)} THEN 1L ELSE 0L END").alias(f"{c}_{v}")
+             for c in columns for v in levels[c][1:]]
     return df.select(*kept, *added)
 
 
@@ -284,7 +308,10 @@ def encode(df: DataFrame, plan: list[Encoding], binned=(), order: dict[str, list
     df = df.drop(*by[DROP])
     named = [c for c in (*by[LABEL], *by[ONE_HOT]) if c in binned]
     df = df.select(*[label(col(c)).alias(c) if c in named else col(c) for c in df.columns])
-    return one_hot(label_encode(df, by[LABEL], order), by[ONE_HOT])
+    # The lists are read once, before any column changes; one-hot columns are not touched by label encoding.
+    levels = level_lists(df, [*by[LABEL], *by[ONE_HOT]], MAX_LABEL_COLUMNS)
+    df = label_encode(df, by[LABEL], order, {c: levels[c] for c in by[LABEL]})
+    return one_hot(df, by[ONE_HOT], {c: levels[c] for c in by[ONE_HOT]})
 
 
 # --- scaling ---------------------------------------------------------------------------------------------------
@@ -295,11 +322,13 @@ def plan_scaling(df: DataFrame, columns=None) -> dict[str, tuple[Profile, str]]:
     if not columns:
         return {}
     # Three or more distinct values: a middle one exists strictly between the two extremes.
-    edges = df.agg(*[f(number(df, c)).alias(f"{c}|{n}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]) \
-        .first()
-    inner = df.agg(*[F.max((number(df, c) > F.lit(edges[f"{c}|lo"])) & (number(df, c) < F.lit(edges[f"{c}|hi"])))
-                     .alias(c) for c in columns]).first()
-    wide = [c for c in columns if inner[c]]
+    edges = {r["column"]: r for r in per_column(df, columns, lambda c: {
+        "lo": f"min({number_sql(df, c)})", "hi": f"max({number_sql(df, c)})"}).collect()}
+    spread = [c for c in columns if edges[c]["lo"] is not None and edges[c]["lo"] < edges[c]["hi"]]
+    inner = {r["column"]: r["inner"] for r in per_column(df, spread, lambda c: {
+        "inner": f"max({number_sql(df, c)} > {double_sql(edges[c]['lo'])} AND {number_sql(df, c)} < {double_sql(edges[c]['hi'])})"
+    }).collect()} if spread else {}
+    wide = [c for c in columns if inner.get(c)]
     out = {}
     for c, p in fit_profiles(df, wide, mad=False).items():
         if p.skew is not None:

@@ -76,7 +76,8 @@ def engineer(cleaned: DataFrame, rules: R.Rules = R.Rules(), skip_binned: bool =
     plan = X.plan_encoding(binned, rules)
     order = {c: list(rules.bin_rule(c)[1]) for c in binned_names} if rule_order else None
     encoded = cut_lineage(X.encode(binned, plan, binned=binned_names, order=order))
-    scaling = X.plan_scaling(encoded)
+    # One-hot columns hold two values by construction and are never scaled.
+    scaling = X.plan_scaling(encoded, [c for c in numeric_columns(encoded) if c in binned.columns])
     counts = {
         "logged": len(methods),
         "label_encoded": sum(e.encoding == X.LABEL for e in plan),
