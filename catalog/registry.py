@@ -76,7 +76,7 @@ def number_stats(source: str = "people", columns=NUMERIC) -> str:
     """CTEs nlong, st: moments, quartiles, MAD, method and limits per numeric column."""
     return f"""{number_long(source, columns)},
     m0 AS (SELECT col, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd,
-             CASE WHEN count(*) < 3 THEN NULL WHEN min(v) = max(v) THEN 0.0 ELSE round(skewness(v), 3) END AS skew,
+             CASE WHEN count(*) < 3 THEN NULL WHEN min(v) = max(v) THEN 0.0 ELSE round(skewness(v), 3) + CAST(0 AS DOUBLE) END AS skew,
              min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med,
              quantile_cont(v, 0.75) AS q3 FROM nlong GROUP BY col),
     m1 AS (SELECT l.col, quantile_cont(abs(l.v - m0.med), 0.5) AS mad FROM nlong l JOIN m0 ON l.col = m0.col GROUP BY l.col),

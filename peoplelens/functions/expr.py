@@ -54,7 +54,9 @@ def integral_columns(df: DataFrame) -> set[str]:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Without outer Unicode whitespace. Text that begins and ends with printable ASCII skips the search."""
+    first, last = F.ascii(c), F.ascii(F.substring(c, -1, 1))
+    return F.when(first.between(33, 126) & last.between(33, 126), c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def present_sql(df: DataFrame, name: str) -> str:

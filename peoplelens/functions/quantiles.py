@@ -1,18 +1,24 @@
-"""Exact quantiles (linear interpolation) that hold at any number of distinct values.
+"""Exact quantiles (linear interpolation) that hold at any number of rows and distinct values.
 
-Both ways start from a frequency table, so repeated values shrink before the shuffle and a hot value is one
-row. Up to a checked number of distinct values Spark's ``percentile`` with frequencies finishes the job. Beyond
-it the distinct values are range-partitioned, counted per partition, and only the rows that hold the wanted
-ranks are read out.
+Columns: a counting search narrows the range around every wanted rank until few rows are left (``column_quantiles``).
+
+Groups: both ways start from a frequency table, so repeated values shrink before the shuffle and a hot value is one
+row. Up to a checked number of distinct values Spark's ``percentile`` with frequencies finishes the job. Beyond it
+the distinct values are range-partitioned, counted per partition, and only the rows that hold the wanted ranks are
+read out (``grouped_quantiles``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from math import ceil, floor, isfinite
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peoplelens.functions.frames import melt
-from peoplelens.session import MAX_PERCENTILE_STATE, cut_lineage
+from peoplelens.functions.expr import double_sql
+from peoplelens.functions.frames import melt, per_column
+from peoplelens.session import MAX_LEAF_ROWS, MAX_PERCENTILE_STATE, cut_lineage
 
 
 def _by_state(freq: DataFrame, probs) -> DataFrame:
@@ -62,11 +68,113 @@ def grouped_quantiles(long: DataFrame, probs, bound: int | None = None,
     return _by_state(freq, probs) if distinct <= limit else _by_rank(freq, probs)
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column | str], probs, bound: int | None = None,
-                     limit: int = MAX_PERCENTILE_STATE) -> dict[str, list[float]]:
-    """Quantiles of several double expressions, one row per expression brought to the driver."""
+@dataclass
+class _Interval:
+    """Values of one column between two bounds that hold some of the wanted ranks."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    rows: int
+    ranks: list
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, str], probs, ranges: dict[str, tuple] | None = None,
+                     leaf_rows: int = MAX_LEAF_ROWS, buckets: int = 4096, passes: int = 8) -> dict[str, list]:
+    """Quantiles of several double expressions (SQL text), found by counting.
+
+    A pass counts equal-width buckets of all columns at once, with no shuffle but that of the counts, and keeps the
+    buckets that hold a wanted rank. Once the rows in them are provably few they are sorted. ``ranges`` gives
+    (rows, low, high) per column where known; the bounds need not be tight. A column that is not narrowed down in
+    ``passes`` passes, or has infinite values, goes to the rank search.
+    """
     if not columns:
         return {}
-    long = melt(df, columns).withColumnRenamed("column", "key")
-    found = {r["key"]: list(r["quantiles"]) for r in grouped_quantiles(long, probs, bound, limit).collect()}
-    return {c: found.get(c, [None] * len(probs)) for c in columns}
+    ranges = ranges or _ranges(df, columns)
+    found: dict[str, dict[int, float]] = {c: {} for c in columns}
+    open_, stuck = [], []
+    for c in columns:
+        n, low, high = ranges[c]
+        if n and isfinite(high - low):
+            ranks = sorted({r for p in probs for r in (floor((n - 1) * p), ceil((n - 1) * p))})
+            open_.append(_Interval(c, low, high, 0, n, ranks))
+        elif n:
+            stuck.append(c)
+    for _ in range(passes):
+        _settle(open_, found)
+        if sum(i.rows for i in open_) <= leaf_rows:
+            break
+        open_ = _narrow(df, columns, open_, buckets)
+    _settle(open_, found)
+    if open_ and sum(i.rows for i in open_) > leaf_rows:
+        stuck += sorted({i.column for i in open_})
+    elif open_:
+        _sort_leaves(df, columns, open_, found)
+    out = {c: [None] * len(probs) for c in columns}
+    for c in columns:
+        if ranges[c][0] and c not in stuck:
+            out[c] = [_between(found[c], (ranges[c][0] - 1) * p) for p in probs]
+    if stuck:
+        long = melt(df, {c: columns[c] for c in stuck}).withColumnRenamed("column", "key")
+        out.update({r["key"]: list(r["quantiles"]) for r in grouped_quantiles(long, probs).collect()})
+    return out
+
+
+def _ranges(df: DataFrame, columns: dict[str, str]) -> dict[str, tuple]:
+    rows = per_column(df, list(columns), lambda c: {
+        "n": f"count({columns[c]})", "low": f"min({columns[c]})", "high": f"max({columns[c]})"}).collect()
+    return {r["column"]: (r["n"], r["low"], r["high"]) for r in rows}
+
+
+def _settle(open_: list, found: dict) -> None:
+    """Intervals of a single value need no further search."""
+    for i in [i for i in open_ if i.low == i.high]:
+        found[i.column].update({r: i.low for r in i.ranks})
+        open_.remove(i)
+
+
+def _members(df: DataFrame, columns: dict[str, str], open_: list) -> DataFrame:
+    """(interval number, value) of the values inside the open intervals."""
+    parts = ", ".join(
+        f"named_struct('id', {k}, 'value', CASE WHEN {columns[i.column]} BETWEEN {double_sql(i.low)} "
+        f"AND {double_sql(i.high)} THEN {columns[i.column]} END)" for k, i in enumerate(open_))
+    return df.select(F.expr(f"inline(array({parts}))")).where("value IS NOT NULL")
+
+
+def _narrow(df: DataFrame, columns: dict[str, str], open_: list, buckets: int) -> list:
+    low = F.expr("CASE id " + " ".join(f"WHEN {k} THEN {double_sql(i.low)}" for k, i in enumerate(open_)) + " END")
+    width = F.expr("CASE id " + " ".join(f"WHEN {k} THEN {double_sql(i.high - i.low)}" for k, i in enumerate(open_)) + " END")
+    slot = F.least(F.floor((F.col("value") - low) / width * buckets).cast("int"), F.lit(buckets - 1))
+    counts = _members(df, columns, open_).groupBy("id", slot.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    rows: dict[int, list] = {}
+    for r in counts.collect():
+        rows.setdefault(r["id"], []).append(r)
+    out = []
+    for k, i in enumerate(open_):
+        upto = i.below
+        for r in sorted(rows[k], key=lambda r: r["bucket"]):
+            inside = [x for x in i.ranks if upto <= x < upto + r["n"]]
+            if inside:
+                out.append(_Interval(i.column, r["low"], r["high"], upto, r["n"], inside))
+            upto += r["n"]
+    return out
+
+
+def _sort_leaves(df: DataFrame, columns: dict[str, str], open_: list, found: dict) -> None:
+    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    freq = _members(df, columns, open_).groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = freq.select("id", "value", "n", F.sum("n").over(upto).alias("upto"))
+    hits = " OR ".join(f"(id = {k} AND {r - i.below} >= upto - n AND {r - i.below} < upto)"
+                       for k, i in enumerate(open_) for r in i.ranks)
+    for row in placed.where(hits).collect():
+        i = open_[row["id"]]
+        for r in i.ranks:
+            if row["upto"] - row["n"] <= r - i.below < row["upto"]:
+                found[i.column][r] = row["value"]
+
+
+def _between(values: dict[int, float], position: float) -> float:
+    low, high = values[floor(position)], values[ceil(position)]
+    return low + (high - low) * (position - floor(position))

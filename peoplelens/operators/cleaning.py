@@ -150,9 +150,14 @@ def standardize(df: DataFrame, rules: R.Rules = R.Rules(), fix_whitespace: bool
 
 # --- placeholders ------------------------------------------------------------------------------------------
 
-def noise_report(df: DataFrame, columns=None, rules: R.Rules = R.Rules(), examples: int = 5) -> DataFrame:
-    """Placeholder cells per text column with the smallest distinct examples; clean columns are absent."""
-    noisy = text_frequency(df, columns).where(is_noise(F.col("value"), rules.noise_tokens))
+def noise_report(df: DataFrame, columns=None, rules: R.Rules = R.Rules(), examples: int = 5,
+                 freq: DataFrame | None = None) -> DataFrame:
+    """Placeholder cells per text column with the smallest distinct examples; clean columns are absent.
+
+    Without a frequency table at hand the test is pushed below the count, so only placeholders are shuffled.
+    """
+    freq = text_frequency(df, columns) if freq is None else freq
+    noisy = freq.where(is_noise(F.col("value"), rules.noise_tokens))
     counts = noisy.groupBy("column").agg(F.sum("n").alias("noise_count"))
     return counts.join(first_per_column(noisy, [F.asc("value")], examples), "column").select(
         "column", "noise_count", F.array_join("examples", ", ").alias("examples"))

@@ -283,7 +283,8 @@ def archetype(df: DataFrame, target: Column, fields: dict[str, Column], age: Col
 def kpis(df: DataFrame, target: Column, age: Column, sex: Column, hours: Column) -> DataFrame:
     """Header figures: size, target share, age quartiles, gender shares, hours, mean age gap."""
     a, h, g = age.cast("double"), hours.cast("double"), gender(sex)
-    q1, q2, q3 = column_quantiles(df, {"age": a}, (0.25, 0.5, 0.75))["age"]
+    q1, q2, q3 = column_quantiles(
+        df.select(a.alias("_age")), {"age": "_age"}, (0.25, 0.5, 0.75))["age"]
     n, high = F.count(F.lit(1)), F.count_if(target)
     male, female = F.count_if(g == "male"), F.count_if(g == "female")
     both = F.greatest(male + female, F.lit(1))

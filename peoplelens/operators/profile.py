@@ -15,7 +15,7 @@ from peoplelens.functions.frames import per_column, small_frame
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_PASS = 60
+PAIRS_PER_PASS = 40
 
 
 def skewness_sql(x: str) -> str:
@@ -73,21 +73,21 @@ def fit_profiles(df: DataFrame, columns=None, quantiles: bool = True, mad: bool
         return {}
     whole = integral_columns(df)
     rows = {r["column"]: r for r in moments(df, columns).collect()}
-    # Values of all columns together: an upper bound of what the quantile search has to tell apart.
-    bound = sum(r["n"] for r in rows.values())
     quarts, mads = {}, {}
     if quantiles or mad:
-        quarts = column_quantiles(df, {c: number_sql(df, c) for c in columns}, QUARTILES, bound)
+        quarts = column_quantiles(df, {c: number_sql(df, c) for c in columns}, QUARTILES,
+                                  {c: (r["n"], r["min"], r["max"]) for c, r in rows.items()})
     if mad:
         away = {c: f"abs({number_sql(df, c)} - {double_sql(quarts[c][1])})" for c in columns if quarts[c][1] is not None}
-        mads = column_quantiles(df, away, (0.5,), bound)
+        reach = {c: (rows[c]["n"], 0.0, max(rows[c]["max"] - quarts[c][1], quarts[c][1] - rows[c]["min"])) for c in away}
+        mads = column_quantiles(df, away, (0.5,), reach)
     out = {}
     for c in columns:
         r = rows[c]
         q1, med, q3 = quarts.get(c, (None, None, None))
         skew = r["skewness"]
         out[c] = Profile(c, r["n"], r["missing"], r["mean"], r["std"],
-                         None if skew is None else round(skew, 3), r["min"], r["max"], q1, med, q3, mads.get(c, [None])[0], c in whole)
+                         None if skew is None else round(skew, 3) + 0.0, r["min"], r["max"], q1, med, q3, mads.get(c, [None])[0], c in whole)
     return out
 
 
@@ -155,21 +155,34 @@ def grouped_box(df: DataFrame, column: str, by: str) -> DataFrame:
 def correlations(df: DataFrame, columns=None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (x, y, r), both triangles and the diagonal.
 
-    One pass per batch of pairs keeps the generated code small; only the upper triangle is computed.
+    Sums of products of centred values, which are cheaper than central moments per pair and as stable. One pass for
+    the means, one per batch of pairs; only the upper triangle is computed. Undefined where a side is constant.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
+    means = {r["column"]: r["mean"] for r in per_column(df, columns, lambda c: {"mean": f"avg({number_sql(df, c)})"}).collect()}
+    centred = {c: f"({number_sql(df, c)} - {double_sql(means[c] or 0.0)})" for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start:start + PAIRS_PER_PASS]
         cells = ", ".join(f"named_struct('x', {text_sql(a)}, 'y', {text_sql(b)}, "
-                          f"'r', {pearson_sql(number_sql(df, a), number_sql(df, b))})" for a, b in batch)
-        rows = df.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
+                          f"{_pair_sums(centred[a], centred[b])})" for a, b in batch)
+        sums = df.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
+        rows = sums.selectExpr(
+            "x", "y", "xx - sx * sx / nullif(n, 0) AS vx", "yy - sy * sy / nullif(n, 0) AS vy",
+            "xy - sx * sy / nullif(n, 0) AS vxy", "xx", "yy").selectExpr(
+            "x", "y", "CASE WHEN vx > 1e-12D * xx AND vy > 1e-12D * yy THEN vxy / sqrt(vx * vy) END AS r")
         out = rows if out is None else out.unionByName(rows)
     mirrored = out.where(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
     return out.unionByName(mirrored)
 
 
+def _pair_sums(x: str, y: str) -> str:
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return (f"'n', count({x} * {y}), 'sx', sum({a}), 'sy', sum({b}), 'xx', sum({a} * {a}), 'yy', sum({b} * {b}), "
+            f"'xy', sum({x} * {y})")
+
+
 def strong_correlations(df: DataFrame, columns=None, threshold: float = 0.0) -> DataFrame:
     """Matrix for display: the diagonal and pairs below the threshold are blank."""
     keep = (F.col("x") != F.col("y")) & (F.abs("r") >= threshold)

@@ -10,6 +10,7 @@ from peoplelens.functions.expr import col, is_target, to_number
 from peoplelens.operators import exploration as E
 from peoplelens.operators.association import association_scores
 from peoplelens.operators.features import bin_and_group
+from peoplelens.session import cut_lineage
 
 
 def binned_with_raw(df: DataFrame, fields: dict, rules: R.Rules) -> DataFrame:
@@ -25,7 +26,8 @@ def dashboard(df: DataFrame, rules: R.Rules = R.Rules()) -> dict[str, DataFrame]
     f = R.resolve_fields(df.columns)
     if f["income"] is None:
         raise ValueError("no target column found")
-    b = binned_with_raw(df, f, rules)
+    # Some twenty sections read the binned table: it is written once, with the columns they use.
+    b = cut_lineage(binned_with_raw(df, f, rules))
     plain = b.select(*[col(c) for c in df.columns])
     high = F.col("_high")
     c = {k: col(v) for k, v in f.items() if v}

@@ -13,6 +13,8 @@ MAX_BROADCAST_ROWS = 100_000
 #: Most distinct values whose exact percentile is taken by one aggregate state.
 #: Above it the rank search over a range-partitioned frequency table takes over.
 MAX_PERCENTILE_STATE = 1_000_000
+#: Most rows of all open intervals together that the last step of a quantile search sorts.
+MAX_LEAF_ROWS = 200_000
 #: Most labels that may become columns (one-hot, grids). More raises an error.
 MAX_LABEL_COLUMNS = 1_000
 
@@ -22,6 +24,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot does not compile methods above 8000 bytes; beyond that Spark's split expressions are faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 
