@@ -31,9 +31,12 @@ def null_tokens(df: DataFrame, tokens=R.CSV_NULL_TOKENS) -> DataFrame:
         F.when(~col(c).isin(*tokens), col(c)).alias(c) if c in texts else col(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema all columns are text, for the type step to cast."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False) -> DataFrame:
+    """CSV with a header. Without a schema all columns are text, for the type step to cast.
+
+    ``multiline`` accepts line breaks inside quotes, but a file is then read by one task.
+    """
+    reader = spark.read.options(header=True, escape='"', multiLine=multiline)
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
     return null_tokens(normalise_header(df))
 

@@ -26,7 +26,8 @@ def write_versioned(df: DataFrame, folder: str, stem: str, suffix: str = "cleane
     path = free_path(df.sparkSession, folder, stem, suffix)
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # Quotes are doubled, and outer spaces kept, as other CSV readers and writers do.
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(fmt).save(path)
     return path
