@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog.people import NUMERIC, TEXT, people
-from catalog.registry import P, bin_sql, binned_sql, group_sql, number_stats, query, rd, rounded, table
-from catalog.statistics import ALL, DOM, LI
+from catalog.audit import COUNTS, MODE_CTE
+from catalog.cleaning import CASE_MAP, STRATEGY, picks
+from catalog.registry import (
+    OUTLIER_SQL, P, ZONES_SQL, big, bin_sql, binned_sql, group_sql, noise_sql, number_stats, query, rd, rounded, table, text_long,
+)
+from catalog.statistics import ALL, DOM, DUPES, GAPS, LI
 from peoplelens import rules as R
+from peoplelens.functions.frames import small_frame
 from peoplelens.operators import features as X
 from peoplelens.plans import nine_step
 
@@ -40,10 +47,16 @@ def f2(spark, sf):
     return rounded(X.log_transform(events(spark, sf).select("event_id", "value"), {"value": X.LOG1P}))
 
 
-@query("f3_yeo_johnson_fit")
+YJ = """CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (power(x + 1, lam) - 1) / lam END
+  ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - lam) - 1) / (2 - lam) END END"""
+
+
+@query("f3_yeo_johnson_fit", f"""WITH g AS (SELECT CAST(i AS DOUBLE) / 100 AS lam FROM range(-200, 401) AS r(i)), e AS (SELECT value - 50 AS x FROM events),
+  l AS (SELECT lam, count(*) AS n, -count(*) / 2.0 * ln(var_pop({YJ})) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS likelihood FROM e CROSS JOIN g GROUP BY lam)
+  SELECT n, lam AS "lambda" FROM l ORDER BY likelihood DESC LIMIT 1""")
 def f3_fit(spark, sf):
-    lam = X.fit_yeo_johnson(events(spark, sf), ["shifted"])
-    return events(spark, sf).agg(F.count("shifted").alias("n")).select("n", F.lit(lam["shifted"]).alias("lambda"))
+    lam = X.fit_yeo_johnson(events(spark, sf), ["shifted"])["shifted"]
+    return events(spark, sf).agg(F.count("shifted").alias("n")).select("n", F.lit(round(lam, 2)).alias("lambda"))
 
 
 @query("f3_yeo_johnson_transform", f"""SELECT event_id, {rd('''CASE WHEN value - 50 >= 0 THEN (power(value - 50 + 1, 0.7) - 1) / 0.7
@@ -175,11 +188,55 @@ def f15(spark, sf):
     return nine_step.run(people(spark, sf)).encoded
 
 
-@query("f16_before_after_table")
+def _named(sql, suffix):
+    """The shared expressions once more under other names."""
+    return re.sub(r"\b(nlong|m0|m1|m2|st|tlong|tf|md|cn|zones)\b", lambda m: m.group(0) + suffix, sql)
+
+
+TEXT_AFTER = [c for c in TEXT if c != "badge_no"]
+NUMBERS_AFTER = [*NUMERIC, "badge_no"]
+
+
+def _capped_sql(c):
+    stats = f"FROM st_b WHERE col = '{c}'"
+    zone = R.SAFE_ZONES.get(c)
+    hit = f"(SELECT {OUTLIER_SQL.replace('l.v', f't4.{c}').replace('st.', 'st_b.')} {stats})"
+    if zone:
+        return f"CASE WHEN {hit} AND ({c} < {zone[0]} OR {c} > {zone[1]}) THEN greatest({zone[0]}, least({zone[1]}, {c})) ELSE {c} END AS {c}"
+    return f"CASE WHEN {hit} THEN (SELECT greatest(lower_limit, least(upper_limit, CAST(t4.{c} AS DOUBLE))) {stats}) ELSE {c} END AS {c}"
+
+
+FILLED = f"CASE WHEN {STRATEGY} = 'mean' THEN mean ELSE med END"
+CLEANED = P + ", t0 AS (SELECT " + picks({c: f"trim({c})" for c in TEXT}) + f" FROM people), {text_long('t0')}, {CASE_MAP}, t1 AS (SELECT " + picks(
+    {c: f"coalesce((SELECT winner FROM cm WHERE cm.col = '{c}' AND cm.v = t0.{c}), t0.{c})" for c in TEXT_AFTER}
+    | {"badge_no": "TRY_CAST(badge_no AS BIGINT)", "hours_per_week": "CAST(hours_per_week AS DOUBLE)"}) + " FROM t0), t3 AS (SELECT DISTINCT " + picks(
+    {c: f"CASE WHEN {noise_sql(c)} THEN NULL ELSE {c} END" for c in TEXT_AFTER}) + f""" FROM t1), {_named(number_stats('t3', NUMBERS_AFTER), '_a')},
+  {_named(text_long('t3', TEXT_AFTER) + ', ' + MODE_CTE, '_a')}, t4 AS (SELECT """ + picks(
+    {c: f"coalesce({c}, (SELECT CAST(round_even({FILLED}, 0) AS BIGINT) FROM st_a WHERE col = '{c}'))" for c in NUMBERS_AFTER if c != "hours_per_week"}
+    | {"hours_per_week": f"coalesce(hours_per_week, (SELECT {FILLED} FROM st_a WHERE col = 'hours_per_week'))"}
+    | {c: f"coalesce({c}, (SELECT v FROM md_a WHERE col = '{c}'))" for c in TEXT_AFTER}) + f""" FROM t3),
+  {_named(f"{number_stats('t4', NUMBERS_AFTER)}, {ZONES_SQL}, {COUNTS}", '_b')}, t5 AS (SELECT """ + ", ".join(
+    [_capped_sql(c) for c in NUMBERS_AFTER] + TEXT_AFTER) + f""" FROM t4), {_named(f"{number_stats('t5', NUMBERS_AFTER)}, {ZONES_SQL}, {COUNTS}", '_c')},
+  noise AS (SELECT {' + '.join(f"count(*) FILTER ({noise_sql(c)})" for c in TEXT_AFTER)} AS n FROM t1)"""
+AFTER_GAPS = " + ".join(f"count(*) - count({c})" for c in (*NUMBERS_AFTER, *TEXT_AFTER))
+
+
+@query("f16_before_after_table", CLEANED + f""" SELECT 'Missing Values' AS issue, {big(f'(SELECT {GAPS} FROM people) + (SELECT n FROM noise)')} AS before,
+   {big(f'(SELECT {AFTER_GAPS} FROM t5)')} AS after, CAST(NULL AS BIGINT) AS redetected
+  UNION ALL SELECT 'Noise Values', {big('(SELECT n FROM noise)')}, {big('(SELECT ' + ' + '.join(f"count(*) FILTER ({noise_sql(c)})" for c in TEXT_AFTER) + ' FROM t5)')}, NULL
+  UNION ALL SELECT 'Duplicate Rows', {big(DUPES)}, {big('(SELECT count(*) FROM t5) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t5))')}, NULL
+  UNION ALL SELECT 'Outliers', {big('(SELECT sum(actual) FROM cn_b)')}, 0, {big('(SELECT sum(actual) FROM cn_c)')}""")
 def f16(spark, sf):
     return nine_step.comparison_table(people(spark, sf))
 
 
+@query("f17_cleaning_statistics", CLEANED + f""" SELECT (SELECT count(*) FROM people) AS rows_before, (SELECT count(*) FROM t3) AS rows_after,
+  (SELECT count(*) FROM people) - (SELECT count(*) FROM t3) AS duplicates_dropped, (SELECT count(*) FROM cn_b WHERE actual > 0) AS outlier_columns""")
+def f17_cleaning(spark, sf):
+    counts = nine_step.clean(people(spark, sf))[2]
+    return small_frame(spark, ", ".join(f"{k} bigint" for k in counts), [tuple(counts.values())])
+
+
 @query("f17_step_statistics")
 def f17(spark, sf):
     return nine_step.statistics_table(people(spark, sf))

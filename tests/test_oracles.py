@@ -33,8 +33,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
     rows_only = set(queries()) - set(oracle_sql())
-    assert rows_only == {"a1_source_bytes", "q21_key_issues", "f3_yeo_johnson_fit", "f15_nine_steps_encoded",
-                         "f16_before_after_table", "f17_step_statistics", "e28_dashboard"}
+    assert rows_only == {"a1_source_bytes", "q21_key_issues", "f15_nine_steps_encoded", "f17_step_statistics", "e28_dashboard"}
 
 
 def test_entry(spark):
