@@ -99,12 +99,7 @@ def to_number(df: DataFrame, name: str) -> Column:
 
 def is_noise(c: Column, tokens=R.NOISE_TOKENS) -> Column:
     """Placeholder token, blank text, or a lone character that is no letter or digit."""
-    bare = strip(c)
-    return (
-        F.lower(bare).isin(*tokens)
-        | (bare == "")
-        | ((F.length(c) == 1) & ~c.rlike(r"^[\p{L}\p{N}]$"))
-    )
+    return F.lower(strip(c)).isin("", *tokens) | ((F.length(c) == 1) & ~c.rlike(r"^[\p{L}\p{N}]$"))
 
 
 def is_target(c: Column, token: str = R.TARGET_TOKEN) -> Column:
