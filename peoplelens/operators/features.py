@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 from math import isfinite, log
 
 from pyspark.sql import DataFrame
@@ -229,14 +230,12 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     ordered = cut_lineage(distinct.repartitionByRange("value").sortWithinPartitions("value").select(
         "value", F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("position")))
-    offset, offsets = 0, {}
-    for r in sorted(ordered.groupBy("part").count().collect(), key=lambda r: r["part"]):
-        offsets[r["part"]] = offset
-        offset += r["count"]
-    if not offsets:
-        return ordered.select("value", F.lit(0).cast("bigint").alias("code"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part"))
-    return ordered.select("value", (start + F.col("position")).cast("bigint").alias("code"))
+    sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
+    starts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    # One row per partition of the shuffle, so the broadcast does not grow with the data.
+    offsets = small_frame(df.sparkSession, "part int, start bigint", starts)
+    return ordered.join(F.broadcast(offsets), "part").select(
+        "value", (F.col("start") + F.col("position")).cast("bigint").alias("code"))
 
 
 def level_lists(df: DataFrame, columns, limit: int) -> dict[str, list | None]:
