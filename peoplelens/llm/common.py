@@ -57,3 +57,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows apart by these columns; never NULL."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peoplelens.llm.common import staged
+from peoplelens.llm.common import row_key, staged
 
 #: Ones are compared, zeros ignored. Different gaps, so that no single spacing of edits escapes all of them.
 MASKS = ("1110110111", "1101111011")
@@ -94,7 +94,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that overlap no benchmark item. Rows are told apart by 128 bits of doc_id and text, so a NULL or repeated
     doc_id is judged by its own text."""
-    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    key = row_key("doc_id", "text")
     found = overlaps(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
     bad = staged(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
     return docs.select(F.struct("*").alias("row"), key.alias("key")).join(bad, "key", "left_anti").select("row.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peoplelens.llm.common import staged
+from peoplelens.llm.common import row_key, staged
 
 DIMS = 4096
 SAMPLE = 3000
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` that are not rejected, with all their columns."""
-    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    key = row_key("doc_id", "text")
     judged = predict(docs.select(key.alias("key"), "text"), model, keep=("key",))
     out = staged(judged.filter("rejected").select("key").distinct(), "rejected")
     return docs.select(F.struct("*").alias("row"), key.alias("key")).join(out, "key", "left_anti").select("row.*")

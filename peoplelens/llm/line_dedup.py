@@ -26,7 +26,7 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """128 bits, so that different lines do not meet even among 10^12 of them."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line, F.length(line)).alias("b"))
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,

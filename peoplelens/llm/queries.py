@@ -5,8 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.llm import decontaminate, language, line_dedup, packing, simhash
-from peoplelens.llm.common import remainder, staged, table
+from peoplelens.llm import (decontaminate, html_text, language, line_dedup, packing, pseudonyms, quality, simhash, token_rollup,
+                            topk)
+from peoplelens.llm.common import new_folder, remainder, staged, table
+
+#: Key of the registered query only; a real run brings its own secret.
+EXAMPLE_KEY = b"example key, not a secret"
+VOCABULARIES = {name: f"/opt/tokenizers/{name}.tiktoken" for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    stats = staged(quality.statistics_table(docs, keep=("doc_id", "held_out")), "statistics")
+    forest = quality.fit(stats.filter("NOT held_out"), table(spark, sf_dir, "labels"))
+    scored = quality.score(stats, forest, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise_documents(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after six deliveries: all documents under each of two tokenizers, a tenth of them first counted without a language; that tenth
+    is then revised, another tenth taken down and put back, and two batches are delivered twice."""
+    counts = staged(token_rollup.token_counts(table(spark, sf_dir, "documents"), VOCABULARIES), "counts")
+    store = token_rollup.Rollup(spark, new_folder(spark, "rollup"))
+
+    def changes(rows: DataFrame, op: str = "upsert", lang=F.col("lang")) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), F.lit(0).cast("long").alias("seq"), "doc_id", "version", "source", lang.alias("lang"), "tokens")
+
+    first, second = (counts.filter(F.col("version") == name) for name in VOCABULARIES)
+    revised, taken_down = F.col("doc_id") % 10 == 3, F.col("doc_id") % 10 == 7
+    no_lang_yet = F.when(~F.coalesce(revised, F.lit(False)), F.col("lang"))
+    deliveries = [("load", changes(first, lang=no_lang_yet)), ("upgrade", changes(second)), ("upgrade", changes(second)),
+                  ("revision", changes(counts.filter(revised))), ("takedown", changes(counts.filter(taken_down), "delete")),
+                  ("takedown", changes(counts.filter(taken_down), "delete")), ("restore", changes(counts.filter(taken_down)))]
+    for batch, rows in deliveries:
+        store.apply(batch, rows)
+    return store.totals()
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +83,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}
