@@ -166,13 +166,13 @@ def score(stats: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns and ``score``: the probability of label 1."""
     source = stats.select(*keep, "stats")
     schema = source.drop("stats").schema.add("score", "double")
-    shared = stats.sparkSession.sparkContext.broadcast(forest)
+    shared = stats.sparkSession.sparkContext.broadcast((forest.start, forest.statistic, forest.threshold, forest.leaf))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["stats"].tolist(), np.float32).reshape(-1, len(STATISTICS))
             batch = batch.drop(columns="stats")
-            batch["score"] = shared.value.score(x)
+            batch["score"] = Forest(*shared.value).score(x)
             yield batch
 
     return source.mapInPandas(run, schema)
