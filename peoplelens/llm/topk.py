@@ -11,7 +11,7 @@ about ``GROUP`` vectors. A pair of blocks returns at most k rows per query, so w
 
 Defined cases: NULL vectors, empty ones and those with NULL or non-finite components take no part. Vectors are compared only with those
 of their own dimension. A whole row that is repeated counts once. A query that has fewer than k candidates gets them all. Components
-of 2^31 / scale or more raise an error, since their scores would not fit a long.
+of 2^31 / scale or more raise an error, and so does a score that does not fit a long.
 """
 
 from __future__ import annotations
