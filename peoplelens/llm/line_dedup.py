@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, key, pages, host_pages) of each boilerplate line. Counts are summed on each task before the shuffle."""
     pages = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"))
-    distinct = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), F.trim), lambda x: x != ""))
+    distinct = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != ""))
     per_line = (pages.select("host", F.explode(distinct).alias("line"))
                 .groupBy("host", _key(F.col("line")).alias("key")).agg(F.count("*").alias("pages"))
                 .filter(F.col("pages") >= min_pages))

@@ -4,17 +4,17 @@ Values are found and validated, then permuted within their own format by a keyed
 bound (two halves in a mixed radix, added to each other's keyed hash; values that leave the format walk on until they are back).
 Equal values get equal pseudonyms in every document, different values different ones, and the key turns them back.
 
-============ =============================================== ==================================================
+============ ================================================= ================================================
 kind         valid                                           permuted within
-============ =============================================== ==================================================
+============ ================================================= ================================================
 card         13 to 19 digits, Luhn                           as many digits, Luhn
 iban         two letters, check digits by mod 97             same country, letters and digits in place, mod 97
 ssn          three, two, four digits in range                valid numbers of that kind
-phone        10 to 15 digits with + or a bracketed prefix    as many digits; a + country digit stays
+phone        7 to 15 digits after +, a bracketed prefix, or 3-3-4 as many digits; the first digit after + stays
 ipv4         four octets                                     all addresses
 date         a real day of 1900 to 2099, ISO or D/M/Y, M/D/Y the days of these years, same notation
 email        local part and domain                           letters and digits in place; the top-level domain stays
-============ =============================================== ==================================================
+============ ================================================= ================================================
 
 Separators, brackets and letter case stay where they are. Whole texts are searched; the rest of a text is untouched.
 
@@ -41,7 +41,9 @@ PATTERNS = {
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\w/-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?!\w|-[0-9])|(?<![\w+])\+[0-9]{10,15}(?!\w)",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w]|[.-][0-9])"
+             r"|(?<!\w)\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w]|[.-][0-9])"
+             r"|(?<![\w.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4})(?![\w]|[.-][0-9])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])",
 }
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -193,7 +195,7 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         area += 1 + (area >= 665)
         return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
-        if not 7 <= len(digits) <= 15 or (text[0] != "+" and "(" not in text and len(digits) < 10):
+        if not 7 <= len(digits) <= 15:
             return None
         keep = 1 if text[0] == "+" else 0
         rest = digits[keep:]

@@ -85,4 +85,55 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing)}
-ORACLES: dict[str, str] = {}
+#: Whole numbers as lists of doubles keep every product and sum exact.
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT DISTINCT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.w, v.w) AS BIGINT) AS score
+           FROM v AS q JOIN v ON len(q.w) = len(v.w) AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _op8_sql() -> str:
+    span, width, share = decontaminate.SPAN, decontaminate.STRETCH, decontaminate.SHARE
+    seeds = [" || ' ' || ".join(f"w[p + {i + 1}]" for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS]
+    windows = " UNION ALL ".join(
+        "SELECT id, p, {k} AS mask, {seed} AS seed FROM (SELECT id, w, unnest(range(len(w) - {n})) AS p FROM {{source}} WHERE len(w) >= {span})".format(
+            k=k, seed=seed, n=span - 1, span=span) for k, seed in enumerate(seeds))
+    words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    return f"""
+WITH items AS (SELECT min(item_id) AS id, count(*) AS items, w FROM (SELECT item_id, {words} AS w FROM benchmark) GROUP BY w),
+docs AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+iw AS ({windows.replace("{source}", "items")}),
+dw AS ({windows.replace("{source}", "docs")}),
+hits AS (SELECT DISTINCT dw.id AS d, iw.id AS i, dw.p - iw.p AS shift FROM dw JOIN iw ON dw.mask = iw.mask AND dw.seed = iw.seed),
+parts AS (SELECT d, i, greatest(shift, 0) AS doc_start, greatest(-shift, 0) AS item_start,
+            least(len(docs.w) - greatest(shift, 0), len(items.w) - greatest(-shift, 0)) AS aligned, least({width}, len(items.w)) AS width,
+            docs.w AS dwords, items.w AS iwords, doc_id, items FROM hits JOIN docs ON docs.id = d JOIN items ON items.id = i),
+same AS (SELECT *, list_transform(range(aligned), lambda k: CASE WHEN dwords[doc_start + k + 1] = iwords[item_start + k + 1] THEN 1 ELSE 0 END) AS eq
+         FROM parts WHERE aligned >= width),
+good AS (SELECT *, CAST(list_sum(eq) AS INTEGER) AS equal FROM same
+         WHERE len(list_filter(range(1, aligned - width + 2), lambda k: list_sum(eq[k:k + width - 1]) >= ceil(width * {share}))) > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY equal DESC, doc_start, item_start) AS r FROM good)
+SELECT doc_id, i AS item_id, items, CAST(doc_start AS INTEGER) AS doc_start, CAST(item_start AS INTEGER) AS item_start,
+  CAST(aligned AS INTEGER) AS aligned, equal FROM best WHERE r = 1
+"""
+
+
+OP9_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, text, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
+held AS (SELECT DISTINCT id, host, trim(line) AS line FROM (SELECT id, host, unnest(lines) AS line FROM docs) WHERE trim(line) <> ''),
+totals AS (SELECT host, count(*) AS n FROM docs GROUP BY host),
+bad AS (SELECT h.host, list(h.line) AS lines FROM (SELECT host, line, count(*) AS k FROM held GROUP BY host, line) AS h JOIN totals USING (host)
+        WHERE k >= {line_dedup.MIN_PAGES} AND k > n * CAST({line_dedup.RATIO} AS DOUBLE) GROUP BY h.host),
+cut AS (SELECT d.*, coalesce(len(list_filter(d.lines, lambda x: trim(x) <> '')), 0) AS total,
+          list_filter(d.lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad.lines, []), trim(x))) AS kept
+        FROM docs AS d LEFT JOIN bad USING (host)),
+done AS (SELECT *, len(kept) < len(lines) AND len(list_filter(kept, lambda x: trim(x) <> '')) > 0 AS changed FROM cut)
+SELECT doc_id, source, CASE WHEN changed THEN array_to_string(kept, chr(10)) ELSE text END AS text, CAST(total AS INTEGER) AS lines_total,
+  CAST(CASE WHEN changed THEN len(lines) - len(kept) ELSE 0 END AS INTEGER) AS lines_dropped FROM done
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_decontaminate": _op8_sql(), "op9_line_dedup": OP9_SQL}
