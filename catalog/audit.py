@@ -87,12 +87,6 @@ def q7(spark, sf):
     return Q.consistency(people(spark, sf))
 
 
-@query("q8_schema_validation", P + """ SELECT 'fail' AS status, 15::BIGINT AS expected_count, 19::BIGINT AS actual_count, '' AS missing_columns,
-  'joined_date, body_weight, team, badge_no' AS extra_columns, '' AS type_mismatches, count(*) AS records FROM people""")
-def q8(spark, sf):
-    return Q.schema_validation(people(spark, sf))
-
-
 ZONE_BAD = f"""{number_long()}, {ZONES_SQL}, bad AS (SELECT l.col, l.v, z.zmin, z.zmax, count(*) AS n FROM nlong l JOIN zones z ON l.col = z.col
   WHERE l.v < z.zmin OR l.v > z.zmax GROUP BY ALL)"""
 
@@ -151,7 +145,7 @@ def q14(spark, sf):
     "events", "value", "s.event_id, s.value", "abs(0.6745 * (value - med) / mad)", "mad > 0 AND abs(0.6745 * (value - med) / mad) > 3.0")
        + " ORDER BY severity DESC, value, event_id LIMIT 200")
 def q15(spark, sf):
-    return O.risk_records(table(spark, sf, "events").select("event_id", "value"), "value", O.MODIFIED_Z)
+    return O.risk_records(table(spark, sf, "events").select("event_id", "value"), "value", O.MODIFIED_Z, max_rows=200)
 
 
 COUNTS = f"""cn AS (SELECT l.col, sum(CAST({OUTLIER_SQL} AS INT)) AS raw,
@@ -216,27 +210,34 @@ def q20(spark, sf):
     return rounded(Q.issue_composition(people(spark, sf)))
 
 
-@query("q21_key_issues")
-def q21(spark, sf):
-    return Q.key_issues(people(spark, sf))
-
-
 def _section(name, item, value, source):
     return f"SELECT '{name}' AS section, {item} AS item, CAST({value} AS DOUBLE) AS value FROM {source}"
 
 
-@query("q22_full_audit", FULL + f""", {OUTLIERS}, {FLAT.replace(number_long() + ', ', '')}, bad AS (SELECT l.col, count(*) AS n FROM nlong l JOIN zones z ON l.col = z.col
-    WHERE l.v < z.zmin OR l.v > z.zmax GROUP BY l.col), hs AS (SELECT tt.*, {rd(HEALTH)} AS health_score FROM tt) """ + " UNION ALL ".join(
+AUDIT = FULL + f""", {OUTLIERS}, {FLAT.replace(number_long() + ', ', '')}, bad AS (SELECT l.col, count(*) AS n FROM nlong l JOIN zones z ON l.col = z.col
+    WHERE l.v < z.zmin OR l.v > z.zmax GROUP BY l.col), hs AS (SELECT tt.*, {rd(HEALTH)} AS health_score FROM tt), found AS (""" + " UNION ALL ".join(
     [_section("totals", f"'{c}'", c, "hs") for c in ("rows", "cols", "missing", "noise", "inconsistent", "duplicates", "health_score")]
     + [_section("consistency", "\"column\" || ': ' || issue", "sum(\"count\")", f"({ISSUES}) GROUP BY \"column\", issue"),
        _section("noise", "col", "sum(n)", "noisy GROUP BY col"), _section("safe_zone", "col", "n", "bad"),
        _section("low_variance", "col", "p", "flat")]
     + [_section("missing", f"'{c}'", f"count(*) - count({c})", f"people HAVING count(*) > count({c})") for c in ALL]
-    + [_section("skewed", "col", "1", "st WHERE abs(skew) > 1.0"), _section("outliers", "col", "1", "cn WHERE raw > 0")]))
+    + [_section("skewed", "col", "1", "st WHERE abs(skew) > 1.0"), _section("outliers", "col", "1", "cn WHERE raw > 0")]) + ")"
+
+
+@query("q22_full_audit", AUDIT + " SELECT * FROM found")
 def q22(spark, sf):
     return rounded(Q.audit_result(people(spark, sf)))
 
 
+@query("q21_key_issues", AUDIT + """, k(position, severity, kind) AS (VALUES (1, 'orange', 'missing'), (2, 'orange', 'noise'), (3, 'yellow', 'skewed'),
+   (4, 'red', 'duplicates'), (5, 'orange', 'outliers'), (6, 'red', 'inconsistent'), (7, 'yellow', 'low_variance'))
+  SELECT position, severity, kind, CASE WHEN kind IN ('duplicates', 'inconsistent') THEN '' ELSE string_agg(item, ', ' ORDER BY item) END AS columns,
+   CAST(sum(CASE WHEN kind IN ('skewed', 'outliers', 'low_variance') THEN 1 ELSE value END) AS BIGINT) AS count
+  FROM k JOIN found ON (section = kind) OR (section = 'totals' AND item = kind AND kind IN ('duplicates', 'inconsistent')) WHERE value > 0 GROUP BY 1, 2, 3""")
+def q21(spark, sf):
+    return Q.key_issues(people(spark, sf))
+
+
 NOISE_NAMES = "(SELECT string_agg(col || ' (' || n || ')', ', ' ORDER BY p) FROM (SELECT * FROM nc ORDER BY p LIMIT 5))"
 NOISE_COUNTS = f"""nc AS (SELECT col, {big('sum(n)')} AS n, CASE col {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(ALL))} END AS p
   FROM noisy GROUP BY col)"""

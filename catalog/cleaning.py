@@ -146,18 +146,18 @@ def c12(spark, sf):
     return rounded(C.missing_preview(people(spark, sf)))
 
 
-ACTION = """CASE WHEN actual = 0 THEN 'No Outlier Treatment' ELSE method || ' Cap' END || CASE WHEN zoned AND raw > 0 THEN '  🛡' ELSE '' END"""
+TREATMENT = "actual > 0 AS treated, zoned AND raw > 0 AS shielded"
 
 
 @query("c13_outlier_preview", P + f""", {OUTLIERS} SELECT st.col AS "column", lo AS min, hi AS max, skew AS skewness, method, {big('actual')} AS outliers,
-  {pct('actual', 'n')} AS outlier_pct, {ACTION} AS action, zoned AS has_safe_zone FROM st JOIN cn ON st.col = cn.col""")
+  {pct('actual', 'n')} AS outlier_pct, {TREATMENT}, zoned AS has_safe_zone FROM st JOIN cn ON st.col = cn.col""")
 def c13(spark, sf):
     return rounded(O.preview(people(spark, sf)))
 
 
 @query("c14_fence_table", P + f""", {OUTLIERS} SELECT st.col AS "column", lo AS min, hi AS max, skew AS skewness, method,
   {rd('CASE WHEN zero_spread THEN NULL ELSE lower_limit END', 4)} AS lower_limit, {rd('CASE WHEN zero_spread THEN NULL ELSE upper_limit END', 4)} AS upper_limit,
-  {big('raw')} AS outliers, {rd('CAST(raw AS DOUBLE) / n * 100', 4)} AS outlier_pct, {ACTION} AS action FROM st JOIN cn ON st.col = cn.col""")
+  {big('raw')} AS outliers, {rd('CAST(raw AS DOUBLE) / n * 100', 4)} AS outlier_pct, {TREATMENT} FROM st JOIN cn ON st.col = cn.col""")
 def c14(spark, sf):
     return rounded(O.fence_table(people(spark, sf)), 4)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.audit import CHECKS, HEALTH, NOISE_COUNTS, NOISE_NAMES, NOISY, OUTLIERS, TOTALS
 from catalog.people import TEXT, people
 from catalog.registry import (
-    HIGH_SQL, P, big, binned_sql, lab, pct, query, rd, rounded, table, text_long,
+    HIGH_SQL, ORACLES, P, big, binned_sql, lab, pct, query, rd, rounded, table, text_long,
 )
 from catalog.statistics import ALL, DUPES, GAPS
 from peoplelens.functions.expr import is_target, number, to_number
@@ -157,12 +157,7 @@ def _cells(r, c, extra=""):
     return f'SELECT {lab(r)} AS "row", {lab(c)} AS col, count(*) AS n, avg(CAST(hi AS INT)) AS rate FROM b {extra} GROUP BY 1, 2'
 
 
-def _grid(r, c):
-    return f"""cl AS ({_cells(r, c)}), gr AS (SELECT a."row", d.col, coalesce(cl.n, 0) AS n, coalesce(cl.rate, 0.0) AS rate
-      FROM (SELECT DISTINCT "row" FROM cl) a CROSS JOIN (SELECT DISTINCT col FROM cl) d LEFT JOIN cl ON cl."row" = a."row" AND cl.col = d.col)"""
-
-
-@query("e10_rate_cross_tab", B + f', {_grid("native_country", "occupation")} SELECT "row", col, n, {rd("rate")} AS rate FROM gr')
+@query("e10_rate_cross_tab", B + f', cl AS ({_cells("native_country", "occupation")}) SELECT "row", col, n, {rd("rate")} AS rate FROM cl')
 def e10(spark, sf):
     return rounded(E.rate_grid(binned(spark, sf), C("native_country"), C("occupation"), C("hi")))
 
@@ -224,17 +219,15 @@ def e16_share(spark, sf):
     return rounded(E.best_and_worst_share(E.level_share(E.composition(binned(spark, sf), C("occupation"), C("education")))))
 
 
-PREV = f"""pc AS (SELECT hi AS high, {lab('education')} AS "row", {lab('occupation')} AS col, avg(CAST(coalesce(gain > 0, false) AS INT)) * 100 AS pct FROM b GROUP BY 1, 2, 3),
-  pg AS (SELECT a.high, a."row", d.col, coalesce(pc.pct, 0.0) AS pct FROM (SELECT DISTINCT high, "row" FROM pc) a CROSS JOIN (SELECT DISTINCT col FROM pc) d
-    LEFT JOIN pc ON pc.high = a.high AND pc."row" = a."row" AND pc.col = d.col)"""
+PREV = f"""pc AS (SELECT hi AS high, {lab('education')} AS "row", {lab('occupation')} AS col, avg(CAST(coalesce(gain > 0, false) AS INT)) * 100 AS pct FROM b GROUP BY 1, 2, 3)"""
 
 
-@query("e17_prevalence_cross_tab", B + f', {PREV} SELECT high, "row", col, {rd("pct")} AS pct FROM pg')
+@query("e17_prevalence_cross_tab", B + f', {PREV} SELECT high, "row", col, {rd("pct")} AS pct FROM pc')
 def e17(spark, sf):
     return rounded(E.prevalence_grid(binned(spark, sf), C("education"), C("occupation"), C("hi"), C("gain")))
 
 
-@query("e17_prevalence_peak", B + f', {PREV} SELECT "row", col, {rd("pct")} AS pct FROM pg WHERE high ORDER BY pg.pct DESC, "row", col LIMIT 1')
+@query("e17_prevalence_peak", B + f', {PREV} SELECT "row", col, {rd("pct")} AS pct FROM pc WHERE high ORDER BY pc.pct DESC, "row", col LIMIT 1')
 def e17_peak(spark, sf):
     return rounded(E.prevalence_peak(E.prevalence_grid(binned(spark, sf), C("education"), C("occupation"), C("hi"), C("gain"))))
 
@@ -297,9 +290,12 @@ def e22_occupation(spark, sf):
     return rounded(E.segment_composition(binned(spark, sf), C("occupation"), C("hi"), C("gain")))
 
 
-@query("e22_segments_of_women", B + " " + _segments("occupation", "WHERE lower(sex) = 'female'"))
-def e22_women(spark, sf):
-    return rounded(E.segment_composition(binned(spark, sf).where(F.lower("sex") == "female"), C("occupation"), C("hi"), C("gain")))
+GENDERED = _segments("occupation", "WHERE lower(trim(sex)) IN ('male', 'female')").replace("SELECT ", "SELECT lower(trim(sex)) AS gender, ", 1).replace("GROUP BY 1", "GROUP BY 1, 2")
+
+
+@query("e22_segments_by_gender_and_occupation", B + " " + GENDERED)
+def e22_gender(spark, sf):
+    return rounded(E.segment_composition(binned(spark, sf), C("occupation"), C("hi"), C("gain"), C("sex")))
 
 
 @query("e23_dual_condition_rate", B + f", r AS (SELECT {lab('marital_status')} AS label, count(*) AS n, avg(CAST(hi AND coalesce(gain > 0, false) AS INT)) AS rate FROM b GROUP BY 1) "
@@ -314,15 +310,18 @@ def e24(spark, sf):
     return rounded(E.dual_rate_by_gender(binned(spark, sf), C("sex"), C("hi"), C("gain")))
 
 
-@query("e25_archetype", B + f""", h AS (SELECT * FROM b WHERE hi), hn AS (SELECT count(*) AS t FROM h), f AS ({" UNION ALL ".join(
-    f"SELECT '{k}' AS item, {lab(c)} AS label, count(*) AS n FROM h GROUP BY 2" for k, c in (("sex", "sex"), ("marital", "marital_status"), ("education", "education"), ("occupation", "occupation")))}),
+PADDED = "CASE raw_age % 3 WHEN 0 THEN concat(' ', sex) WHEN 1 THEN concat(sex, '  ') ELSE sex END"
+
+
+@query("e25_archetype", B + f""", h AS (SELECT *, {PADDED} AS padded FROM b WHERE hi), hn AS (SELECT count(*) AS t FROM h), f AS ({" UNION ALL ".join(
+    f"SELECT '{k}' AS item, {lab(c)} AS label, count(*) AS n FROM h GROUP BY 2" for k, c in (("sex", "trim(padded)"), ("marital", "marital_status"), ("education", "education"), ("occupation", "occupation")))}),
   k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, label) AS rn FROM f)
   SELECT item, label, {pct('n', 't')} AS value FROM k, hn WHERE rn = 1
   UNION ALL SELECT 'median_age', NULL, {rd('floor(quantile_cont(raw_age, 0.5))')} FROM h
   UNION ALL SELECT 'mean_hours', NULL, {rd('avg(raw_hours)')} FROM h
   UNION ALL SELECT 'gain_pct', NULL, {pct('count(*) FILTER (gain > 0)', 'count(*)')} FROM h""")
 def e25(spark, sf):
-    fields = {"sex": C("sex"), "marital": C("marital_status"), "education": C("education"), "occupation": C("occupation")}
+    fields = {"sex": F.expr(PADDED), "marital": C("marital_status"), "education": C("education"), "occupation": C("occupation")}
     return rounded(E.archetype(binned(spark, sf), C("hi"), fields, C("raw_age"), C("raw_hours"), C("gain")))
 
 
@@ -331,15 +330,94 @@ def e26(spark, sf):
     return rounded(E.composition(binned(spark, sf).where("hi"), C("occupation"), C("education")))
 
 
-@query("e27_grouped_counts_top_rows", "SELECT p_brand AS \"row\", " + ", ".join(
-    f"count(*) FILTER (p_size % 3 = {i}) AS \"{i}\"" for i in range(3)) + ", count(*) AS total FROM part GROUP BY 1 ORDER BY total DESC, 1 LIMIT 15")
+@query("e27_grouped_counts_top_rows", """WITH c AS (SELECT p_brand AS "row", CAST(p_size % 3 AS VARCHAR) AS hue, count(*) AS n FROM part GROUP BY 1, 2),
+  t AS (SELECT "row", CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1 ORDER BY total DESC, 1 LIMIT 15) SELECT "row", hue, n, total FROM c JOIN t USING ("row")""")
 def e27(spark, sf):
     from peoplelens.operators.frequency import grouped_counts
 
     return grouped_counts(table(spark, sf, "part").select("p_brand", (C("p_size") % 3).alias("third")), "p_brand", "third", 15)
 
 
-@query("e28_dashboard")
+# --- dashboard ---------------------------------------------------------------------------------------------------------
+
+def _long(section, sql, words, numbers):
+    """Rows of a section's SQL as (section, key, measure, value), as the dashboard gives them."""
+    key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({w} AS VARCHAR), '')" for w in words) + ")" if words else "''"
+    names = ", ".join("'" + n.strip('"') + "'" for n in numbers) or "'row'"
+    values = ", ".join(rd(n) for n in numbers) or "CAST(1 AS DOUBLE)"
+    return f"SELECT '{section}' AS section, {key} AS key, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({sql})"
+
+
+def _dashboard_sql():
+    row, ends = ['"row"', "col"], (["best_row", "best_col", "worst_row", "worst_col"], ["best_pct", "worst_pct", "gap"])
+    best = (["best", "worst"], ["best_pct", "worst_pct", "gap"])
+    segs = ["n", *(f'"{x}"' for x in E.SEGMENTS)]
+    dual = "avg(CAST(hi AND coalesce(gain > 0, false) AS INT))"
+    strongest = ASSOC.replace("WITH ", "")
+    tops = (strongest + ", tops AS (SELECT attribute, association FROM sc WHERE association >= 0.2 ORDER BY association DESC, attribute LIMIT 4), r AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {lab(c)} AS label, count(*) AS n, avg(CAST(hi AS INT)) AS rate FROM b GROUP BY 2" for c in [*ASSOC_TEXT, *ASSOC_NUM]) + ")")
+
+    def cells(r, c, extra=""):
+        return f"WITH cl AS ({_cells(r, c)} {extra})"
+
+    def best_worst(rates):
+        return f"WITH r AS ({rates}) SELECT {_best('r')[0]} AS best, max(rate) * 100 AS best_pct, {_best('r')[1]} AS worst, min(rate) * 100 AS worst_pct, (max(rate) - min(rate)) * 100 AS gap FROM r"
+
+    def duals(c):
+        return f"SELECT {lab(c)} AS label, count(*) AS n, {dual} AS rate FROM b GROUP BY 1"
+
+    few = "HAVING count(*) >= 30"
+    kpi = ["total", "n_high", "n_std", "pct_high", "male_n", "female_n", "pct_male", "pct_female", "avg_hours", "pct_overtime", "age_gap", "median_age", "q1_age", "q3_age"]
+    out = [_long("kpi", ORACLES["e5_kpi_header"], [], kpi)]
+    out.append(_long("target_split", "SELECT count(*) AS total, count(*) FILTER (hi) AS n_high, count(*) FILTER (NOT hi) AS n_std, "
+                     "CAST(count(*) FILTER (hi) AS DOUBLE) / count(*) * 100 AS pct_high, CAST(count(*) FILTER (NOT hi) AS DOUBLE) / count(*) * 100 AS pct_std, "
+                     "CAST(count(*) FILTER (NOT hi) AS DOUBLE) / greatest(count(*) FILTER (hi), 1) AS ratio FROM b", [],
+                     ["total", "n_high", "n_std", "pct_high", "pct_std", "ratio"]))
+    out.append(_long("associations", f"WITH {strongest} SELECT * FROM sc WHERE association >= 0.2", ["attribute", "method"], ["association"]))
+    out.append(_long("feature_rates", f"WITH {tops} SELECT feature, association, label, n, rate FROM r JOIN tops ON feature = attribute", ["feature", "label"],
+                     ["association", "n", "rate"]))
+    out.append(_long("breakdown", f"""WITH {tops}, k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY rate DESC, label) AS up,
+      row_number() OVER (PARTITION BY feature ORDER BY rate, label) AS down FROM r) SELECT feature, any_value(association) AS association, max(label) FILTER (up = 1) AS best,
+      max(rate) * 100 AS best_pct, max(label) FILTER (down = 1) AS worst, min(rate) * 100 AS worst_pct, (max(rate) - min(rate)) * 100 AS gap
+      FROM k JOIN tops ON feature = attribute GROUP BY feature""", ["feature", "best", "worst"], ["association", "best_pct", "worst_pct", "gap"]))
+    for name, r, c, extra in (("relationship_by_sex", "relationship", "sex", few), ("marital_by_sex", "marital_status", "sex", few),
+                              ("age_by_education", "age", "education", ""), ("age_by_occupation", "age", "occupation", few)):
+        out.append(_long(name, cells(r, c) + " SELECT * FROM cl", row, ["n", "rate"]))
+        out.append(_long(f"{name}_ends", cells(r, c, extra) + " " + _extremes("cl"), *ends))
+    out.append(_long("education_in_occupation", f'WITH {_comp()} SELECT * FROM cs', row, ["n", "pct"]))
+    out.append(_long("top_education_share", f"WITH {_comp()}, {LEVELS} SELECT {_best('lv')[0]} AS best, max(rate) AS best_pct, {_best('lv')[1]} AS worst, min(rate) AS worst_pct FROM lv",
+                     best[0], best[1][:2]))
+    out.append(_long("occupation_by_hours", cells("occupation", "hours_per_week") + """, w AS (SELECT *, coalesce(TRY_CAST(regexp_extract(col, '(\\d+)', 1) AS INTEGER), 999) AS wt FROM cl)
+      SELECT "row", col, n, rate, greatest(8.0, CAST(n AS DOUBLE) / max(n) OVER () * 55) AS size, sum(n * wt) OVER (PARTITION BY "row") AS total_hours FROM w""", row,
+                     ["n", "rate", "size", "total_hours"]))
+    out.append(_long("occupation_by_hours_best", cells("occupation", "hours_per_week", few) + """ SELECT "row" AS best_row, col AS best_col, rate * 100 AS best_pct FROM cl
+      WHERE rate > 0 ORDER BY rate DESC, "row", col LIMIT 1""", ["best_row", "best_col"], ["best_pct"]))
+    out.append(_long("gain_by_target", """WITH t AS (SELECT CAST(gain AS DOUBLE) AS x, hi FROM b) SELECT avg(x) FILTER (NOT hi) AS std_mean, avg(x) FILTER (hi) AS high_mean,
+      CAST(count(*) FILTER (NOT hi AND x > 0) AS DOUBLE) / count(*) FILTER (NOT hi) * 100 AS std_pct_positive,
+      CAST(count(*) FILTER (hi AND x > 0) AS DOUBLE) / count(*) FILTER (hi) * 100 AS high_pct_positive, avg(x) FILTER (hi) / avg(x) FILTER (NOT hi) AS multiplier FROM t""", [],
+                     ["std_mean", "high_mean", "std_pct_positive", "high_pct_positive", "multiplier"]))
+    out.append(_long("gain_prevalence", f"WITH {PREV} SELECT * FROM pc", ["high", *row], ["pct"]))
+    out.append(_long("gain_prevalence_peak", f'WITH {PREV} SELECT * FROM pc WHERE high ORDER BY pct DESC, "row", col LIMIT 1', row, ["pct"]))
+    out.append(_long("segments_by_marital", _segments("marital_status"), ["label"], segs))
+    out.append(_long("segments_by_occupation", _segments("occupation"), ["label"], segs))
+    out.append(_long("segments_by_gender_and_occupation", GENDERED, ["gender", "label"], segs))
+    for name, c in (("dual_by_marital", "marital_status"), ("dual_by_occupation", "occupation")):
+        out.append(_long(name, duals(c), ["label"], ["n", "rate"]))
+        out.append(_long(f"{name}_ends", best_worst(duals(c)), *best))
+    out.append(_long("target_by_gender", ORACLES["e15_target_by_gender"], [], ["male_high", "male_std", "female_high", "female_std", "male_pct", "female_pct", "gap"]))
+    out.append(_long("gender_by_occupation", f"WITH {GENDER} SELECT label, m AS male_rate, f AS female_rate, (m + f) / 2 AS mean_rate, rate AS gap FROM gg", ["label"],
+                     ["male_rate", "female_rate", "mean_rate", "gap"]))
+    out.append(_long("gender_gap", f"""WITH {GENDER} SELECT avg(m) * 100 AS avg_male, avg(f) * 100 AS avg_female, (avg(m) - avg(f)) * 100 AS gap, {_best('gg')[0]} AS widest,
+      max(rate) AS widest_gap, {_best('gg')[1]} AS narrowest, min(rate) AS narrowest_gap FROM gg""", ["widest", "narrowest"],
+                     ["avg_male", "avg_female", "gap", "widest_gap", "narrowest_gap"]))
+    out.append(_long("dual_by_gender", f"""SELECT lower(trim(sex)) AS gender, avg(CAST(hi AS INT)) * 100 AS target_pct, {dual} * 100 AS dual_pct FROM b
+      WHERE lower(trim(sex)) IN ('male', 'female') GROUP BY 1""", ["gender"], ["target_pct", "dual_pct"]))
+    out.append(_long("archetype", ORACLES["e25_archetype"].replace(PADDED, "sex"), ["item", "label"], ["value"]))
+    out.append(_long("education_of_target", f'WITH {_comp("WHERE hi")} SELECT * FROM cs', row, ["n", "pct"]))
+    return B + " " + " UNION ALL ".join(out)
+
+
+@query("e28_dashboard", _dashboard_sql())
 def e28(spark, sf):
     return D.dashboard_long(people(spark, sf))
 
@@ -352,7 +430,7 @@ def _rates1(c, name):
 
 def _of(name, short):
     best, worst = _best(name)
-    return f"{best} AS best_{short}, (SELECT max(rate) FROM {name}) AS best_{short}_pct, {worst} AS worst_{short}, (SELECT min(rate) FROM {name}) AS worst_{short}_pct"
+    return f"{best} AS {short}_best, (SELECT max(rate) FROM {name}) AS {short}_best_pct, {worst} AS {short}_worst, (SELECT min(rate) FROM {name}) AS {short}_worst_pct"
 
 
 MALE = "(SELECT {} FROM sx WHERE contains(lower(label), 'male') AND NOT contains(lower(label), 'fe') ORDER BY label LIMIT 1)"
@@ -362,12 +440,12 @@ FEMALE = "(SELECT {} FROM sx WHERE contains(lower(label), 'female') OR lower(lab
 @query("n1_insight_record", P + f""", {text_long()}, {NOISY}, {NOISE_COUNTS}, {_rates1('education', 'ed')}, {_rates1('occupation', 'oc')}, {_rates1('sex', 'sx')},
   t AS (SELECT *, {HIGH_SQL} AS hi FROM people)
   SELECT count(*) AS n, count(*) FILTER (hi) AS n_high, {pct('count(*) FILTER (hi)', 'count(*)')} AS pct_high,
-  {rd('corr(hours_per_week, CAST(hi AS INT))')} AS hrs_corr, {rd('avg(hours_per_week) FILTER (hi)')} AS avg_hrs_high, {rd('avg(hours_per_week) FILTER (NOT hi)')} AS avg_hrs_low,
-  {pct('count(*) FILTER (capital_gain > 0)', 'count(*)')} AS cg_pct_pos, max(capital_gain) AS cg_max, count(*) FILTER (capital_gain >= 99999) AS cg_clipped,
-  19::BIGINT AS cols, {_of('ed', 'edu')}, {_of('oc', 'occ')}, {MALE.format('label')} AS male_key, {MALE.format('rate')} AS male_pct,
-  {FEMALE.format('label')} AS female_key, {FEMALE.format('rate')} AS female_pct,
-  round((SELECT max(rate) FROM ed) / greatest((SELECT min(rate) FROM ed), 1.0), 1) AS edu_ratio,
-  round((SELECT max(rate) FROM oc) - (SELECT min(rate) FROM oc), 1) AS occ_spread, round({MALE.format('rate')} - {FEMALE.format('rate')}, 1) AS gender_gap,
+  {rd('corr(hours_per_week, CAST(hi AS INT))')} AS hours_r, {rd('avg(hours_per_week) FILTER (hi)')} AS hours_mean_high, {rd('avg(hours_per_week) FILTER (NOT hi)')} AS hours_mean_low,
+  {pct('count(*) FILTER (capital_gain > 0)', 'count(*)')} AS gain_pct_positive, max(capital_gain) AS gain_max, count(*) FILTER (capital_gain >= 99999) AS gain_at_ceiling,
+  19::BIGINT AS cols, {_of('ed', 'education')}, {_of('oc', 'occupation')}, {MALE.format('label')} AS men_label, {MALE.format('rate')} AS men_pct,
+  {FEMALE.format('label')} AS women_label, {FEMALE.format('rate')} AS women_pct,
+  round((SELECT max(rate) FROM ed) / greatest((SELECT min(rate) FROM ed), 1.0), 1) AS education_ratio,
+  round((SELECT max(rate) FROM oc) - (SELECT min(rate) FROM oc), 1) AS occupation_spread, round({MALE.format('rate')} - {FEMALE.format('rate')}, 1) AS gender_gap,
   {big(GAPS)} AS missing_total, {pct(f'({GAPS})', '(count(*) * 19)')} AS missing_pct, {big(DUPES)} AS duplicate_rows,
   {big('(SELECT sum(n) FROM nc)')} AS noise_count, {pct('(SELECT sum(n) FROM nc)', 'count(*)')} AS noise_pct, {NOISE_NAMES} AS noise_columns FROM t""")
 def n1(spark, sf):
@@ -401,11 +479,11 @@ def n4(spark, sf):
 
 
 @query("n5_dataset_context", P + f""", g AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS m FROM people" for c in ALL)})
-  SELECT 'Total Rows: ' || count(*) || '; Total Columns: 19; Duplicate Rows: ' || ({DUPES}) || '; Missing Data Percentage: '
-  || printf('%.1f', CAST({GAPS} AS DOUBLE) / (count(*) * 19) * 100) || '%; Columns with missing values: '
-  || (SELECT string_agg(c || ': ' || m, ', ' ORDER BY c) FROM g WHERE m > 0) AS context FROM people""")
+  SELECT count(*) AS rows, 19::BIGINT AS cols, {big(DUPES)} AS duplicates, {pct(f'({GAPS})', '(count(*) * 19)')} AS missing_pct,
+  (SELECT string_agg(c || '=' || m, ',' ORDER BY c) FROM g WHERE m > 0) AS gaps FROM people""")
 def n5(spark, sf):
-    return N.dataset_context(people(spark, sf))
+    gaps = F.array_join(F.transform("gaps", lambda g: F.concat(g["column"], F.lit("="), g["missing"].cast("string"))), ",")
+    return rounded(N.dataset_context(people(spark, sf)).withColumn("gaps", gaps))
 
 
 @query("n6_report_tables", P + f""", {text_long()}, {NOISY}, {CHECKS}, {TOTALS}, {OUTLIERS}, s AS (SELECT {rd(HEALTH)} AS health_score, rows, cols, duplicates,

@@ -79,17 +79,14 @@ def f5(spark, sf):
 
 
 def _preview_sql(c):
-    if c in R.BINS:
-        labels = R.BINS[c][1]
-        words = ("Numeric Binning", f"Numeric → {len(labels)} bins", " | ".join(labels))
-    else:
-        words = ("Category Mapping", f"Category → {len(R.GROUPS[c])} groups", ", ".join(R.GROUPS[c]))
-    return f"""SELECT '{c}' AS "column", '{words[0]}' AS type, '{words[1]}' AS action, '{words[2]}' AS details, count(DISTINCT {c}) AS unique_before FROM people"""
+    kind, labels = ("bins", R.BINS[c][1]) if c in R.BINS else ("groups", tuple(R.GROUPS[c]))
+    return f"""SELECT '{c}' AS "column", '{kind}' AS kind, {len(labels)}::INTEGER AS n_labels, '{"|".join(labels)}' AS labels,
+      count(DISTINCT {c}) AS unique_before FROM people"""
 
 
 @query("f6_binning_preview", P + " " + " UNION ALL ".join(_preview_sql(c) for c in (*R.BINS, *R.GROUPS)))
 def f6(spark, sf):
-    return X.binning_preview(people(spark, sf))
+    return X.binning_preview(people(spark, sf)).withColumn("labels", F.array_join("labels", "|"))
 
 
 BINNED_COLUMNS = ", ".join(ALL)
@@ -104,26 +101,19 @@ def _plan_sql(c):
     """Encoding of one column, decided in SQL from its distinct count where no rule fixes it."""
     if c in R.BINS or c in R.GROUPS:
         names = R.BINS[c][1] if c in R.BINS else list(R.GROUPS[c])
-        unique, examples = f"{len(names)}::BIGINT", "'" + ", ".join(names) + "'"
+        unique, examples = f"{len(names)}::BIGINT", "'" + "|".join(names) + "'"
     else:
         unique = f"(SELECT count(DISTINCT {c}) FROM people)"
-        examples = (f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM people WHERE {c} IS NOT NULL ORDER BY v LIMIT 5))"
-                    f" || CASE WHEN {unique} > 5 THEN ', …' ELSE '' END")
-    if c == "education":
-        tail = "'Dropped (Redundant)', 'Numeric equivalent ''education_num'' exists'"
-    else:
-        binary = "true" if c in R.BINARY_COLUMNS else f"{unique} <= 2"
-        rest = ("'Label Encoding', 'Ordinal — natural order'" if c in R.ORDINAL_COLUMNS else
-                "'Label Encoding', 'Binned numeric — ordinal'" if c in R.BINS else "'One-Hot Encoding', 'Nominal — no natural order'")
-        enc, why = rest.split("', '")
-        tail = f"CASE WHEN {binary} THEN 'Label Encoding' ELSE {enc}' END, CASE WHEN {binary} THEN 'Binary column' ELSE '{why} END"
-    return f"SELECT '{c}', {unique}, {examples}, {tail}"
+        examples = f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM people WHERE {c} IS NOT NULL ORDER BY v LIMIT 5))"
+    rest = "ordinal" if c in R.ORDINAL_COLUMNS else "binned" if c in R.BINS else "nominal"
+    reason = "'redundant'" if c == "education" else "'binary'" if c in R.BINARY_COLUMNS else f"CASE WHEN {unique} <= 2 THEN 'binary' ELSE '{rest}' END"
+    return f"SELECT '{c}', {unique}, {examples}, {reason}"
 
 
-@query("f8_encoding_plan", P + ', t("column", unique_values, examples, encoding, reason) AS (' + " UNION ALL ".join(
-    _plan_sql(c) for c in (*TEXT, *R.BINS)) + ") SELECT * FROM t")
+@query("f8_encoding_plan", P + ', t("column", unique_values, examples, reason) AS (' + " UNION ALL ".join(
+    _plan_sql(c) for c in (*TEXT, *R.BINS)) + """) SELECT *, CASE reason WHEN 'redundant' THEN 'drop' WHEN 'nominal' THEN 'one_hot' ELSE 'label' END AS encoding FROM t""")
 def f8(spark, sf):
-    return X.encoding_table(people(spark, sf), R.Rules())
+    return X.encoding_table(people(spark, sf), R.Rules()).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query("f9_drop_redundant", P + " SELECT " + ", ".join(c for c in ALL if c != "education") + " FROM people")
@@ -146,14 +136,22 @@ def f10_many(spark, sf):
     return X.label_encode(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name"])
 
 
-ONE_HOT = {"workclass": ["Federal-gov", "Local-gov", "Private", "Self-emp-inc", "Self-emp-not-inc", "State-gov", "private"], "race": ["Black", "Other", "White"]}
+# Names differ in more than case, so "private" beside "Private" is numbered.
+ONE_HOT = {"workclass": {"?": "workclass_?", "Federal-gov": "workclass_Federal-gov", "Local-gov": "workclass_Local-gov", "Private": "workclass_Private",
+                         "Self-emp-inc": "workclass_Self-emp-inc", "Self-emp-not-inc": "workclass_Self-emp-not-inc", "State-gov": "workclass_State-gov",
+                         "private": "workclass_private_2"},
+           "race": {"Black": "race_Black", "Other": "race_Other", "White": "race_White"}}
 
 
-@query("f11_one_hot", P + ", q AS (SELECT * FROM people WHERE workclass <> ' Private ' OR workclass IS NULL) SELECT fnlwgt, " + ", ".join(
-    f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS BIGINT) AS \"{c}_{v}\"" for c, vs in ONE_HOT.items() for v in vs) + " FROM q")
+@query("f11_one_hot", P + " SELECT fnlwgt, " + ", ".join(
+    f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS BIGINT) AS \"{n}\"" for c, vs in ONE_HOT.items() for v, n in vs.items()) + " FROM people")
 def f11(spark, sf):
-    p = people(spark, sf).where("workclass <> ' Private ' OR workclass IS NULL")
-    return X.one_hot(p.select("fnlwgt", "workclass", "race"), ["workclass", "race"])
+    return X.one_hot(people(spark, sf).select("fnlwgt", "workclass", "race"), ["workclass", "race"])
+
+
+@query("f11_one_hot_long", f"WITH {_codes('p_name', 'w', 'part')} SELECT p_partkey, 'p_name' AS \"column\", w.code AS level FROM part JOIN w ON w.v = p_name")
+def f11_long(spark, sf):
+    return X.one_hot_long(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", ["p_name"])
 
 
 SCALER = "CASE WHEN abs(skew) < 0.5 THEN 'StandardScaler' ELSE 'RobustScaler' END"
@@ -183,11 +181,6 @@ def f14(spark, sf):
     return rounded(X.robust_scale(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *LI), LI))
 
 
-@query("f15_nine_steps_encoded")
-def f15(spark, sf):
-    return nine_step.run(people(spark, sf)).encoded
-
-
 def _named(sql, suffix):
     """The shared expressions once more under other names."""
     return re.sub(r"\b(nlong|m0|m1|m2|st|tlong|tf|md|cn|zones)\b", lambda m: m.group(0) + suffix, sql)
@@ -237,7 +230,41 @@ def f17_cleaning(spark, sf):
     return small_frame(spark, ", ".join(f"{k} bigint" for k in counts), [tuple(counts.values())])
 
 
-@query("f17_step_statistics")
+# Steps 6 to 9 on t5: log, bins and groups, encoding, scaling.
+CODED = ["age", "hours_per_week", "sex", "income"]
+PLAIN = [c for c in NUMBERS_AFTER if c not in R.BINS]
+NOMINAL = [c for c in (*TEXT_AFTER, *R.BINS) if c not in (*CODED, "education")]
+ENCODED = CLEANED + f""", top5 AS (SELECT col, v, count(*) AS k FROM nlong_c GROUP BY 1, 2),
+  flat5 AS (SELECT col FROM top5 GROUP BY col HAVING CAST(max(k) AS DOUBLE) / sum(k) >= 0.8),
+  lg AS (SELECT col FROM st_c WHERE abs(skew) > 1.0 AND n >= 3 AND col NOT IN (SELECT col FROM flat5)),
+  t6 AS (SELECT """ + ", ".join([f"CASE WHEN '{c}' IN (SELECT col FROM lg) THEN ln(1 + {c}) ELSE CAST({c} AS DOUBLE) END AS {c}" for c in NUMBERS_AFTER] + TEXT_AFTER) + """ FROM t5),
+  t7 AS (SELECT """ + picks({c: f"coalesce({bin_sql(c, *rule)}, 'nan')" for c, rule in R.BINS.items()} | {c: group_sql(c, R.GROUPS[c]) if c in R.GROUPS else c for c in TEXT_AFTER}
+                            | {c: c for c in PLAIN}) + " FROM t6), " + ", ".join(_codes(c, f"k_{c}", "t7") for c in CODED) + ", t8 AS (SELECT " + ", ".join(
+    [f"t7.{c} AS {c}" for c in PLAIN] + [f"k_{c}.code AS {c}" for c in CODED]) + " FROM t7 " + " ".join(f"LEFT JOIN k_{c} ON k_{c}.v = t7.{c}" for c in CODED) + f"""),
+  {_named(number_stats('t8', [*PLAIN, *CODED]), '_d')}, sc AS (SELECT st_d.col, CASE WHEN abs(skew) < 0.5 THEN mean ELSE med END AS centre,
+    CASE WHEN abs(skew) < 0.5 THEN sd ELSE iqr END AS spread, abs(skew) < 0.5 AS standard FROM st_d
+    JOIN (SELECT col, count(DISTINCT v) AS d FROM nlong_d GROUP BY col) u ON u.col = st_d.col WHERE d > 2 AND skew IS NOT NULL)"""
+
+
+@query("f15_nine_steps_encoded", ENCODED + f""", x AS (SELECT l.col, CASE WHEN sc.spread <> 0 THEN (v - centre) / spread ELSE v END AS v FROM nlong_d l LEFT JOIN sc ON sc.col = l.col),
+  o AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS v, count(*) AS k, row_number() OVER (ORDER BY {c}) AS rn FROM t7 WHERE {c} IS NOT NULL GROUP BY {c}" for c in NOMINAL)}),
+  t AS (SELECT count(*) AS n FROM t7) SELECT col AS "column", count(*) AS n, {rd('min(v)', 4)} AS lowest, {rd('max(v)', 4)} AS highest, {rd('sum(v * v)', 2)} AS squares FROM x GROUP BY col
+  UNION ALL SELECT col || '_' || v, n, CASE WHEN k = n THEN 1.0 ELSE 0.0 END, 1.0, CAST(k AS DOUBLE) FROM o, t WHERE rn > 1""")
+def f15(spark, sf):
+    """The encoded table by column: rows, extremes and sum of squares, each column in one row."""
+    from peoplelens.functions.expr import number_sql
+    from peoplelens.functions.frames import per_column
+
+    encoded = nine_step.run(people(spark, sf)).encoded
+    return rounded(per_column(encoded, encoded.columns, lambda c: {
+        "n": f"count({number_sql(encoded, c)})", "lowest": f"min({number_sql(encoded, c)})", "highest": f"max({number_sql(encoded, c)})",
+        "squares": f"sum({number_sql(encoded, c)} * {number_sql(encoded, c)})"}), 4, squares=2)
+
+
+@query("f17_step_statistics", ENCODED + f""" SELECT (SELECT count(*) FROM people) AS rows_before, (SELECT count(*) FROM t3) AS rows_after,
+  (SELECT count(*) FROM people) - (SELECT count(*) FROM t3) AS duplicates_dropped, (SELECT count(*) FROM cn_b WHERE actual > 0) AS outlier_columns,
+  (SELECT count(*) FROM lg) AS logged, {len(CODED)}::BIGINT AS label_encoded, {len(NOMINAL)}::BIGINT AS one_hot_encoded, 1::BIGINT AS redundant_dropped,
+  (SELECT count(*) FROM sc WHERE standard) AS standard_scaled, (SELECT count(*) FROM sc WHERE NOT standard) AS robust_scaled""")
 def f17(spark, sf):
     return nine_step.statistics_table(people(spark, sf))
 
@@ -252,13 +279,12 @@ def f18(spark, sf):
     return X.compare_distribution(p, X.bin_and_group(p), "education").drop("lower")
 
 
-def _bins(tag, e):
-    return f"""(WITH x AS (SELECT {e} AS v FROM events), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
+def _bins(tag, source):
+    return f"""(WITH x AS (SELECT CAST(fnlwgt AS DOUBLE) AS v FROM {source} WHERE fnlwgt IS NOT NULL), r AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
       SELECT '{tag}' AS version, CAST(CAST(least(floor((v - lo) / (hi - lo) * 30), 29) AS INT) AS VARCHAR) AS label, count(*) AS n FROM x, r GROUP BY 2)"""
 
 
-@query("f18_before_after_histogram", f"SELECT * FROM {_bins('before', 'value')} UNION ALL SELECT * FROM {_bins('after', 'CAST(event_id % 97 AS DOUBLE)')}")
+@query("f18_before_after_histogram", CLEANED + f" SELECT * FROM {_bins('before', 'people')} UNION ALL SELECT * FROM {_bins('after', 't5')}")
 def f18_hist(spark, sf):
-    e = table(spark, sf, "events")
-    after = e.select((F.col("event_id") % 97).cast("double").alias("value"))
-    return X.compare_distribution(e.select("value"), after, "value").drop("lower")
+    p = people(spark, sf)
+    return X.compare_distribution(p, nine_step.clean(p)[0], "fnlwgt").drop("lower")

@@ -18,7 +18,7 @@ from peoplelens.operators import audit as Q
 from peoplelens.operators import exploration as E
 from peoplelens.operators import features as X
 from peoplelens.operators import outliers as O
-from peoplelens.session import scratch_dir
+from peoplelens.session import new_folder
 from peoplelens.sources import scan, sink
 
 
@@ -43,21 +43,26 @@ def io2(spark, sf):
     return scan.null_tokens(raw).groupBy(F.coalesce("t", F.lit("(null)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("io3_ingest_gate", P + " SELECT 'blocked' AS verdict, count(*) AS records FROM people UNION ALL "
-                              "SELECT 'accepted with warnings', count(*) FROM people")
+GATE = "o_totalprice < 1000 OR o_orderpriority = '2-HIGH' OR o_orderkey % 11 = 0"
+
+
+@query("io3_ingest_gate", f"""SELECT CASE WHEN {GATE} THEN 'rejected' ELSE 'accepted' END AS verdict, o_orderpriority AS priority, count(*) AS records
+  FROM orders GROUP BY 1, 2""")
 def io3(spark, sf):
-    p = people(spark, sf)
-    census = p.drop("joined_date", "body_weight", "team", "badge_no")
-    warned = census.withColumn("education_num", F.col("education_num").cast("string"))
-    return scan.gate_report(p).unionByName(scan.gate_report(warned))
+    """Rows that miss a required value are written aside, the others accepted; both are read back and counted."""
+    raw = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.expr(f"CASE WHEN {GATE} THEN NULL ELSE o_totalprice END").alias("price"))
+    accepted, rejected = scan.split_rows(raw, ["o_orderkey", "price"])
+    folder = new_folder(spark, "gate")
+    good = spark.read.parquet(sink.write_snapshot(accepted, folder, "accepted"))
+    bad = spark.read.parquet(sink.write_snapshot(rejected, folder, "rejected"))
+    both = good.select(F.lit("accepted").alias("verdict"), "o_orderpriority").unionByName(bad.select(F.lit("rejected").alias("verdict"), "o_orderpriority"))
+    return both.groupBy("verdict", F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("io4_versioned_sink", P + """ SELECT version, sex, count(*) AS n FROM people
   JOIN (VALUES (0), (1)) AS t(version) ON true GROUP BY version, sex""")
 def io4(spark, sf):
-    import uuid
-
-    folder = f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "sink")
     p = people(spark, sf).select("sex")
     first = sink.write_versioned(p, folder, "people")
     second = sink.write_versioned(p, folder, "people")
@@ -67,15 +72,21 @@ def io4(spark, sf):
     return both.groupBy("version", "sex").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("io5_snapshot_sink", P + " SELECT workclass, count(*) AS n FROM people WHERE income = '>50K' GROUP BY workclass")
-def io5(spark, sf):
-    import uuid
+@query("io4_csv_round_trip", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def io4_csv(spark, sf):
+    """All documents to CSV and back: line breaks, quotes and commas inside texts survive."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = sink.write_versioned(docs, new_folder(spark, "csv"), "documents", fmt="csv")
+    return scan.read_csv(spark, path, schema=docs.schema, multiline=True)
 
-    folder = f"{scratch_dir(spark)}/snap-{uuid.uuid4().hex}"
+
+@query("io5_snapshot_sink", P + " SELECT workclass, income, count(*) AS n FROM people GROUP BY workclass, income")
+def io5(spark, sf):
+    folder = new_folder(spark, "snap")
     p = people(spark, sf).select("workclass", "income")
-    sink.write_snapshot(p, folder, "latest")
-    path = sink.write_snapshot(p.where("income = '>50K'"), folder, "latest")
-    return spark.read.parquet(path).groupBy("workclass").agg(F.count(F.lit(1)).alias("n"))
+    sink.write_snapshot(p.select("income"), folder, "latest")
+    path = sink.write_snapshot(p, folder, "latest")
+    return spark.read.parquet(path).groupBy("workclass", "income").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("io6_preview", "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 10")
@@ -96,18 +107,6 @@ TARGET_CASE = """CASE o_orderkey % 6 WHEN 0 THEN ' >50K. ' WHEN 1 THEN '>50k' WH
  WHEN 4 THEN 'over >50K' ELSE '50K' END"""
 
 
-@query("p1_logical_fields", P + """ SELECT * FROM (VALUES ('age','age'),('capital_gain','capital_gain'),
-  ('capital_loss','capital_loss'),('education','education'),('education_num','education_num'),('hours','hours_per_week'),
-  ('income','income'),('marital','marital_status'),('occupation','occupation'),('race','race'),
-  ('relationship','relationship'),('sex','sex'),('workclass','workclass')) AS t(field, resolved),
-  (SELECT count(*) AS records FROM people)""")
-def p1(spark, sf):
-    p = people(spark, sf)
-    found = R.resolve_fields(p.columns)
-    return p.agg(F.count(F.lit(1)).alias("records")).select("records", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("field"), F.lit(v).alias("resolved")) for k, v in found.items()])))
-
-
 @query("p2_target_predicate", f"""SELECT coalesce(t, '(null)') AS value,
   coalesce(contains(lower(trim(t)), '>50k'), false) AS high, count(*) AS n FROM (SELECT {TARGET_CASE} AS t FROM orders) GROUP BY 1, 2""")
 def p2(spark, sf):
@@ -143,19 +142,6 @@ def p5(spark, sf):
     return Q.zone_violations(people(spark, sf), "age", R.Rules().zone("age"))
 
 
-@query("p6_column_classes", P + """ SELECT * FROM (VALUES ('categorical', 13::BIGINT), ('numeric', 6::BIGINT)) AS t(class, columns),
-  (SELECT count(*) AS records FROM people)""")
-def p6(spark, sf):
-    from peoplelens.functions.expr import numeric_columns, text_columns
-
-    p = people(spark, sf)
-    sizes = {"categorical": len(text_columns(p)), "numeric": len(numeric_columns(p))}
-    return p.agg(F.count(F.lit(1)).alias("records")).select("records", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("class"), F.lit(v).cast("bigint").alias("columns")) for k, v in sizes.items()])))
-
-
-
-
 @query("p7_segments", P + f""" SELECT concat(CASE WHEN {HIGH_SQL} THEN 'High & ' ELSE 'Std & ' END,
   CASE WHEN coalesce(gain > 0, false) THEN 'Has CapGain' ELSE 'No CapGain' END) AS segment, count(*) AS n
   FROM (SELECT income, CASE WHEN fnlwgt % 7 = 0 THEN NULL ELSE capital_gain END AS gain FROM people) GROUP BY 1""")
@@ -189,12 +175,12 @@ def j1(spark, sf):
 
 
 @query("j2_outer_rate_alignment", P + f""", {binned_sql()}, m AS (SELECT {lab('occupation')} AS label, avg(CAST(hi AS INT)) AS r
-  FROM b WHERE lower(sex) = 'male' AND NOT (workclass = 'Public') GROUP BY 1),
-  f AS (SELECT {lab('occupation')} AS label, avg(CAST(hi AS INT)) AS r FROM b WHERE lower(sex) = 'female' AND NOT (workclass = 'Public') GROUP BY 1)
+  FROM b WHERE lower(sex) = 'male' GROUP BY 1),
+  f AS (SELECT {lab('occupation')} AS label, avg(CAST(hi AS INT)) AS r FROM b WHERE lower(sex) = 'female' GROUP BY 1)
   SELECT coalesce(m.label, f.label) AS label, {rd('coalesce(m.r, 0)')} AS male_rate, {rd('coalesce(f.r, 0)')} AS female_rate
   FROM m FULL JOIN f ON m.label = f.label""")
 def j2(spark, sf):
-    b = X.bin_and_group(people(spark, sf)).where("NOT (workclass = 'Public')")
+    b = X.bin_and_group(people(spark, sf))
     rates = E.gender_rates(b, F.col("occupation"), F.col("sex"), is_target(F.col("income")))
     return rounded(rates.select("label", "male_rate", "female_rate"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.functions.expr import col, replace_by, text_sql
-from peoplelens.session import MAX_BROADCAST_ROWS, MAX_LABEL_COLUMNS, MAX_LITERALS
+from peoplelens.functions.expr import col, text_sql
 
 
 def small_frame(spark: SparkSession, schema: str, rows) -> DataFrame:
@@ -38,14 +37,6 @@ def per_column(df: DataFrame, columns, make, shared: str = "") -> DataFrame:
     return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
 
 
-def bounded_labels(df: DataFrame, c: Column, limit: int = MAX_LABEL_COLUMNS) -> list:
-    """Sorted distinct labels; raises rather than dropping any when there are too many."""
-    found = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} distinct labels cannot become columns")
-    return sorted(r["v"] for r in found)
-
-
 def first_per_column(df: DataFrame, order, k: int, keep: str = "value", by: str = "column") -> DataFrame:
     """The k first values of every column as a list; only k rows per column leave a task."""
     from pyspark.sql import Window
@@ -57,30 +48,14 @@ def first_per_column(df: DataFrame, order, k: int, keep: str = "value", by: str
     )
 
 
-def apply_replacements(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace values by a (column, value, replacement) table.
+def apply_replacements(df: DataFrame, mapping: DataFrame, columns) -> DataFrame:
+    """Replace values of the named columns by a (column, value, replacement) table with unique keys.
 
-    A few rows become literals, a checked number is broadcast, anything larger is a shuffle join whose
-    hot values adaptive execution splits. Keys are unique, so no row is multiplied.
+    One left join per column. Spark broadcasts a side that it knows to be small; beyond that it is a shuffle join, whose hot values
+    adaptive execution splits.
     """
-    head = mapping.limit(MAX_LITERALS + 1).collect()
-    if not head:
-        return df
-    if len(head) <= MAX_LITERALS:
-        per_column: dict[str, dict] = {}
-        for r in head:
-            per_column.setdefault(r["column"], {})[r["value"]] = r["replacement"]
-        return df.select(*[
-            replace_by(col(c), per_column.get(c)).alias(c) if c in per_column else col(c) for c in df.columns
-        ])
-    sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}
-    for name, size in sizes.items():
-        side = mapping.where(F.col("column") == name).select(
-            F.col("value").alias("_from"), F.col("replacement").alias("_to"))
-        if size <= MAX_BROADCAST_ROWS:
-            side = F.broadcast(side)
+    for name in columns:
+        side = mapping.where(F.col("column") == name).select(F.col("value").alias("_from"), F.col("replacement").alias("_to"))
         df = df.join(side, col(name) == F.col("_from"), "left").select(*[
-            F.coalesce(F.col("_to"), col(c)).alias(c) if c == name else col(c)
-            for c in df.columns
-        ])
+            F.coalesce(F.col("_to"), col(c)).alias(c) if c == name else col(c) for c in df.columns])
     return df

@@ -1,45 +1,48 @@
-"""Exact quantiles (linear interpolation) that hold at any number of rows and distinct values.
+"""Exact quantiles (linear interpolation) at any number of rows, distinct values and groups.
 
-Columns: a counting search narrows the range around every wanted rank until few rows are left (``column_quantiles``).
+Columns: Spark's percentile sketch brackets every wanted rank (its rank error is known), a second sketch of the values inside each bracket
+narrows it by another factor of some hundreds, and the few values left are ranked: three scans (``column_quantiles``). What is ranked is about a
+millionth of the rows.
 
-Groups: both ways start from a frequency table, so repeated values shrink before the shuffle and a hot value is one
-row. Up to a checked number of distinct values Spark's ``percentile`` with frequencies finishes the job. Beyond it
-the distinct values are range-partitioned, counted per partition, and only the rows that hold the wanted ranks are
-read out (``grouped_quantiles``).
+Groups: distinct values are range-partitioned with their counts, partitions are counted, and a value's rank is its place in its partition plus
+the partitions before it. No task ever holds all values of a key (``grouped_quantiles``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, floor, isfinite
+from math import ceil, floor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peoplelens.functions.expr import double_sql
-from peoplelens.functions.frames import melt, per_column
-from peoplelens.session import MAX_LEAF_ROWS, MAX_PERCENTILE_STATE, cut_lineage
+from peoplelens.functions.frames import per_column
+from peoplelens.session import staged
 
+#: Accuracy of the sketch: a rank is met up to 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+#: Steps of the second sketch, each some errors of the sketch wide.
+GRID = 1_000
 
-def _by_state(freq: DataFrame, probs) -> DataFrame:
-    return freq.groupBy("key").agg(
-        F.percentile("value", [float(p) for p in probs], F.col("n")).alias("quantiles"))
 
-
-def _by_rank(freq: DataFrame, probs) -> DataFrame:
-    placed = cut_lineage(
-        freq.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()))
+def _ranked(freq: DataFrame) -> DataFrame:
+    """(key, value, first, last, total) of a (key, value, n) table: ranks from 0 of the rows with that value."""
+    placed = staged(freq.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()), "ranks")
     totals = placed.groupBy("key", "part").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     offsets = totals.select(
-        "key", "part",
-        (F.sum("rows").over(before) - F.col("rows")).alias("offset"),
+        "key", "part", (F.sum("rows").over(before) - F.col("rows")).alias("offset"),
         F.sum("rows").over(Window.partitionBy("key")).alias("total"))
     inside = Window.partitionBy("key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["key", "part"]).select(
-        "key", "value", "total",
-        (F.col("offset") + F.col("upto") - F.col("n")).alias("first"),
+    return placed.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["key", "part"]).select(
+        "key", "value", "total", (F.col("offset") + F.col("upto") - F.col("n")).alias("first"),
         (F.col("offset") + F.col("upto") - 1).alias("last"))
+
+
+def grouped_quantiles(long: DataFrame, probs) -> DataFrame:
+    """Quantiles per key of a (key, value) table → (key, quantiles array). Keys whose values are all NULL are absent."""
+    freq = long.where(F.col("value").isNotNull()).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     picks = []
     for i, p in enumerate(probs):
         position = (F.col("total") - 1) * F.lit(float(p))
@@ -47,134 +50,129 @@ def _by_rank(freq: DataFrame, probs) -> DataFrame:
         picks.append(F.max(F.when(low.between(F.col("first"), F.col("last")), F.col("value"))).alias(f"a{i}"))
         picks.append(F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("value"))).alias(f"b{i}"))
         picks.append(F.max(position - low).alias(f"w{i}"))
-    found = ranked.groupBy("key").agg(*picks)
     mix = [F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise(
         F.col(f"a{i}") * (1 - F.col(f"w{i}")) + F.col(f"b{i}") * F.col(f"w{i}")) for i in range(len(probs))]
-    return found.select("key", F.array(*mix).alias("quantiles"))
+    return _ranked(freq).groupBy("key").agg(*picks).select("key", F.array(*mix).alias("quantiles"))
 
 
-def grouped_quantiles(long: DataFrame, probs, bound: int | None = None,
-                      limit: int = MAX_PERCENTILE_STATE) -> DataFrame:
-    """Quantiles per key of a (key, value) table → (key, quantiles array).
+def sketch_sql(x: str, probs) -> str:
+    """Aggregate: for each probability a value certainly not above and one certainly not below its ranks.
 
-    ``bound`` is an upper bound of the distinct (key, value) pairs, such as a row count the caller has. Where it
-    does not settle the size, the number is estimated first. Keys whose values are all NULL are absent.
+    Two errors to either side: the sketch may miss by one, and from 2 * ACCURACY rows on the other is at least the two ranks by which
+    interpolation may reach further.
     """
-    long = long.where(F.col("value").isNotNull())
-    distinct = bound
-    if bound is None or bound > limit:
-        distinct = long.agg(F.approx_count_distinct(F.struct("key", "value")).alias("d")).first()["d"]
-    freq = long.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    return _by_state(freq, probs) if distinct <= limit else _by_rank(freq, probs)
+    margin = 2 / ACCURACY
+    wanted = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    return f"percentile_approx({x}, array({', '.join(f'{w!r}D' for w in wanted)}), {ACCURACY})"
 
 
 @dataclass
-class _Interval:
-    """Values of one column between two bounds that hold some of the wanted ranks."""
+class _Bracket:
+    """A range of one column's values that holds some of the wanted ranks."""
 
     column: str
     low: float
     high: float
-    below: int
-    rows: int
     ranks: list
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, str], probs, ranges: dict[str, tuple] | None = None,
-                     leaf_rows: int = MAX_LEAF_ROWS, buckets: int = 4096, passes: int = 8) -> dict[str, list]:
-    """Quantiles of several double expressions (SQL text), found by counting.
+def _brackets(column: str, n: int, ranks, edges, low: float, high: float) -> list[_Bracket]:
+    """Brackets that do not overlap, from the two edges of each rank. Ranks near the ends reach to the extremes, which the sketch may miss, and
+    so do all ranks of fewer rows than a sketch can tell apart."""
+    found: list[_Bracket] = []
+    slack = n if n < 2 * ACCURACY else 2 + 2 * n // ACCURACY
+    for near, (a, b) in zip(ranks, edges):
+        a = low if min(near) <= slack else a
+        b = high if max(near) >= n - 1 - slack else b
+        if found and a <= found[-1].high:
+            last = found[-1]
+            last.low, last.high, last.ranks = min(a, last.low), max(b, last.high), sorted({*last.ranks, *near})
+        else:
+            found.append(_Bracket(column, a, b, sorted(near)))
+    return found
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, str], probs, sketches: dict[str, tuple] | None = None) -> dict[str, list]:
+    """Quantiles of several double expressions (SQL text) in three scans, all columns in each.
 
-    A pass counts equal-width buckets of all columns at once, with no shuffle but that of the counts, and keeps the
-    buckets that hold a wanted rank. Once the rows in them are provably few they are sorted. ``ranges`` gives
-    (rows, low, high) per column where known; the bounds need not be tight. A column that is not narrowed down in
-    ``passes`` passes, or has infinite values, goes to the rank search.
+    ``sketches`` gives (rows, lowest, highest, sketch) per column where a pass of the caller has taken them along.
     """
     if not columns:
         return {}
-    ranges = ranges or _ranges(df, columns)
+    if sketches is None:
+        sketches = {r["column"]: (r["n"], r["low"], r["high"], r["sketch"]) for r in per_column(df, list(columns), lambda c: {
+            "n": f"count({columns[c]})", "low": f"min({columns[c]})", "high": f"max({columns[c]})",
+            "sketch": sketch_sql(columns[c], probs)}).collect()}
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    open_, stuck = [], []
+    open_: list[_Bracket] = []
     for c in columns:
-        n, low, high = ranges[c]
-        if n and isfinite(high - low):
-            ranks = sorted({r for p in probs for r in (floor((n - 1) * p), ceil((n - 1) * p))})
-            open_.append(_Interval(c, low, high, 0, n, ranks))
-        elif n:
-            stuck.append(c)
-    for _ in range(passes):
-        _settle(open_, found)
-        if sum(i.rows for i in open_) <= leaf_rows:
-            break
-        open_ = _narrow(df, columns, open_, buckets)
-    _settle(open_, found)
-    if open_ and sum(i.rows for i in open_) > leaf_rows:
-        stuck += sorted({i.column for i in open_})
-    elif open_:
-        _sort_leaves(df, columns, open_, found)
-    out = {c: [None] * len(probs) for c in columns}
-    for c in columns:
-        if ranges[c][0] and c not in stuck:
-            out[c] = [_between(found[c], (ranges[c][0] - 1) * p) for p in probs]
-    if stuck:
-        long = melt(df, {c: columns[c] for c in stuck}).withColumnRenamed("column", "key")
-        out.update({r["key"]: list(r["quantiles"]) for r in grouped_quantiles(long, probs).collect()})
-    return out
-
-
-def _ranges(df: DataFrame, columns: dict[str, str]) -> dict[str, tuple]:
-    rows = per_column(df, list(columns), lambda c: {
-        "n": f"count({columns[c]})", "low": f"min({columns[c]})", "high": f"max({columns[c]})"}).collect()
-    return {r["column"]: (r["n"], r["low"], r["high"]) for r in rows}
-
-
-def _settle(open_: list, found: dict) -> None:
-    """Intervals of a single value need no further search."""
-    for i in [i for i in open_ if i.low == i.high]:
-        found[i.column].update({r: i.low for r in i.ranks})
-        open_.remove(i)
-
-
-def _members(df: DataFrame, columns: dict[str, str], open_: list) -> DataFrame:
-    """(interval number, value) of the values inside the open intervals."""
-    parts = ", ".join(
-        f"named_struct('id', {k}, 'value', CASE WHEN {columns[i.column]} BETWEEN {double_sql(i.low)} "
-        f"AND {double_sql(i.high)} THEN {columns[i.column]} END)" for k, i in enumerate(open_))
-    return df.select(F.expr(f"inline(array({parts}))")).where("value IS NOT NULL")
-
-
-def _narrow(df: DataFrame, columns: dict[str, str], open_: list, buckets: int) -> list:
-    low = F.expr("CASE id " + " ".join(f"WHEN {k} THEN {double_sql(i.low)}" for k, i in enumerate(open_)) + " END")
-    width = F.expr("CASE id " + " ".join(f"WHEN {k} THEN {double_sql(i.high - i.low)}" for k, i in enumerate(open_)) + " END")
-    slot = F.least(F.floor((F.col("value") - low) / width * buckets).cast("int"), F.lit(buckets - 1))
-    counts = _members(df, columns, open_).groupBy("id", slot.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    rows: dict[int, list] = {}
-    for r in counts.collect():
-        rows.setdefault(r["id"], []).append(r)
+        n, low, high, edges = sketches[c]
+        if n:
+            ranks = [{floor((n - 1) * probs[i]), ceil((n - 1) * probs[i])} for i in order]
+            open_ += _brackets(c, n, ranks, [(edges[2 * i], edges[2 * i + 1]) for i in order], low, high)
+    open_ = _settled(open_, found)
+    if open_:
+        open_ = _settled(_narrowed(df, columns, open_), found)
+    if open_:
+        _rank_inside(df, columns, open_, found)
+    return {c: [None] * len(probs) if not sketches[c][0] else [_between(found[c], (sketches[c][0] - 1) * p) for p in probs]
+            for c in columns}
+
+
+def _settled(open_: list[_Bracket], found: dict) -> list[_Bracket]:
+    """Brackets of a single value answer their ranks; the others are left."""
+    for b in open_:
+        if b.low == b.high:
+            found[b.column].update(dict.fromkeys(b.ranks, b.low))
+    return [b for b in open_ if b.low != b.high]
+
+
+def _narrowed(df: DataFrame, columns: dict[str, str], open_: list[_Bracket]) -> list[_Bracket]:
+    """The same ranks in smaller brackets: a grid of quantiles of the values inside each, and the number of values below it."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    cells = []
+    for b in open_:
+        x, low, high = columns[b.column], double_sql(b.low), double_sql(b.high)
+        inside = f"CASE WHEN {x} BETWEEN {low} AND {high} THEN {x} END"
+        cells.append(f"struct(count_if({x} < {low}) AS below, count({inside}) AS n, min({inside}) AS low, max({inside}) AS high, "
+                     f"percentile_approx({inside}, array({', '.join(f'{g!r}D' for g in grid)}), {ACCURACY}) AS grid)")
     out = []
-    for k, i in enumerate(open_):
-        upto = i.below
-        for r in sorted(rows[k], key=lambda r: r["bucket"]):
-            inside = [x for x in i.ranks if upto <= x < upto + r["n"]]
-            if inside:
-                out.append(_Interval(i.column, r["low"], r["high"], upto, r["n"], inside))
-            upto += r["n"]
+    for b, r in zip(open_, df.agg(F.expr(f"array({', '.join(cells)})").alias("x")).first()["x"]):
+        ranks, edges = [], []
+        for rank in b.ranks:
+            at = (rank - r["below"]) / r["n"]
+            ranks.append({rank - r["below"]})
+            edges.append((r["grid"][max(0, floor(at * GRID) - 1)], r["grid"][min(GRID, ceil(at * GRID) + 1)]))
+        for smaller in _brackets(b.column, r["n"], ranks, edges, r["low"], r["high"]):
+            smaller.ranks = [rank + r["below"] for rank in smaller.ranks]
+            out.append(smaller)
     return out
 
 
-def _sort_leaves(df: DataFrame, columns: dict[str, str], open_: list, found: dict) -> None:
-    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    freq = _members(df, columns, open_).groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = freq.select("id", "value", "n", F.sum("n").over(upto).alias("upto"))
-    hits = " OR ".join(f"(id = {k} AND {r - i.below} >= upto - n AND {r - i.below} < upto)"
-                       for k, i in enumerate(open_) for r in i.ranks)
-    for row in placed.where(hits).collect():
-        i = open_[row["id"]]
-        for r in i.ranks:
-            if row["upto"] - row["n"] <= r - i.below < row["upto"]:
-                found[i.column][r] = row["value"]
+def _rank_inside(df: DataFrame, columns: dict[str, str], open_: list[_Bracket], found: dict) -> None:
+    """Rank the values inside the brackets.
+
+    Values below a column's first bracket or between two of them are counted without being told apart: they carry the number of the next bracket
+    and no value. So the running count over a column's few cells is the rank among all its values.
+    """
+    names = list(dict.fromkeys(b.column for b in open_))
+    parts = []
+    for k, c in enumerate(names):  # one cell per column, as its brackets do not overlap
+        own = sorted((b for b in open_ if b.column == c), key=lambda b: b.low)
+        keys = " ".join(f"WHEN {columns[c]} <= {double_sql(b.high)} THEN {i}" for i, b in enumerate(own))
+        values = " ".join(f"WHEN {columns[c]} < {double_sql(b.low)} THEN NULL WHEN {columns[c]} <= {double_sql(b.high)} THEN {columns[c]}" for b in own)
+        parts.append(f"named_struct('col', {k}, 'key', CASE {keys} END, 'value', CASE {values} END)")
+    members = df.select(F.expr(f"inline(array({', '.join(parts)}))")).where("key IS NOT NULL")
+    upto = Window.partitionBy("col").orderBy("key", F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = members.groupBy("col", "key", "value").agg(F.count(F.lit(1)).alias("n")).select("col", "value", "n", F.sum("n").over(upto).alias("upto"))
+    wanted = {c: sorted({r for b in open_ if b.column == c for r in b.ranks}) for c in names}
+    hits = " OR ".join(f"(col = {k} AND {r} >= upto - n AND {r} < upto)" for k, c in enumerate(names) for r in wanted[c])
+    for row in placed.where(f"value IS NOT NULL AND ({hits})").collect():
+        c = names[row["col"]]
+        found[c].update({r: row["value"] for r in wanted[c] if row["upto"] - row["n"] <= r < row["upto"]})
 
 
 def _between(values: dict[int, float], position: float) -> float:
     low, high = values[floor(position)], values[ceil(position)]
-    return low + (high - low) * (position - floor(position))
+    return low if low == high else low + (high - low) * (position - floor(position))

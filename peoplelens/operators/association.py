@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
@@ -18,9 +18,8 @@ def _contingency_stats(cells: DataFrame) -> DataFrame:
     With row totals R and column totals C, chi² = n·(Σ O²/(R·C) - 1), so absent cells need no rows. Only a 2×2
     table takes Yates' correction; there |O - E| is the same d in all cells, and chi² = (d - min(½, d))²·Σ 1/E.
     """
-    rows = cells.groupBy("a").agg(F.sum("n").alias("row_n"))
-    columns = cells.groupBy("b").agg(F.sum("n").alias("col_n"))
-    joined = cells.join(rows, "a").join(columns, "b")
+    joined = cells.select("a", "b", "n", F.sum("n").over(Window.partitionBy("a")).alias("row_n"),
+                          F.sum("n").over(Window.partitionBy("b")).alias("col_n"))
     n = F.sum("n").cast("double")
     pearson_sum = F.sum(F.col("n") * F.col("n") / (F.col("row_n").cast("double") * F.col("col_n")))
     one = F.min(F.struct("a", "b", "n", "row_n", "col_n"))
@@ -83,15 +82,16 @@ def association_scores(df: DataFrame, target_column: str, minimum: float = R.ASS
     numbers = [c for c in numeric_columns(df) if c != target_column]
     parts = []
     if texts:
-        known = df.where(col(target_column).isNotNull())
-        counts = melt(known, {c: name_sql(c) for c in texts}, {"high": high.cast("bigint")}) \
+        # ``filled`` counts the column's own values, with or without a target: ten of them make it worth ranking.
+        counts = melt(df, {c: name_sql(c) for c in texts}, {"high": F.when(col(target_column).isNotNull(), high.cast("bigint"))}) \
             .where(F.col("value").isNotNull()).groupBy("column", "value") \
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("h"))
-        h, n = F.col("h").cast("double"), F.col("n").cast("double")
+            .agg(F.count("high").alias("n"), F.sum("high").alias("h"), F.count(F.lit(1)).alias("filled"))
+        h, n = F.col("h").cast("double"), F.when(F.col("n") > 0, F.col("n").cast("double"))
         sums = counts.groupBy("column").agg(
+            F.sum("filled").alias("filled"),
             F.sum("n").cast("double").alias("total"), F.sum("h").cast("double").alias("total_h"),
-            F.count(F.lit(1)).alias("r"), F.sum(h * h / n).alias("hh"), F.sum((n - h) * (n - h) / n).alias("ss"),
-            F.sum(1 / n).alias("inverse"), F.min(F.struct("value", "n", "h")).alias("cell"))
+            F.count(n).alias("r"), F.sum(h * h / n).alias("hh"), F.sum((n - h) * (n - h) / n).alias("ss"),
+            F.sum(1 / n).alias("inverse"), F.min(F.when(n.isNotNull(), F.struct("value", "n", "h"))).alias("cell"))
         total, th = F.col("total"), F.col("total_h")
         ts = total - th
         plain = total * (F.try_divide(F.col("hh"), th) + F.try_divide(F.col("ss"), ts) - 1)
@@ -100,13 +100,15 @@ def association_scores(df: DataFrame, target_column: str, minimum: float = R.ASS
             F.try_divide(F.lit(1.0), th) + F.try_divide(F.lit(1.0), ts))
         chi2 = F.when(F.col("r") == 2, yates).otherwise(F.greatest(F.lit(0.0), plain))
         v = F.when((F.col("r") < 2) | (th == 0) | (ts == 0), F.lit(0.0)).otherwise(F.sqrt(chi2 / total))
-        parts.append(sums.where(total >= 10).select(
+        parts.append(sums.where("filled >= 10 AND total > 0").select(
             F.col("column").alias("attribute"), v.alias("association"), F.lit("Cramér's V").alias("method")))
     if numbers:
         rows = per_column(df.select("*", high.cast("double").alias("_y")), numbers, lambda c: {
             "n": f"count({number_sql(df, c)})", "association": f"abs({pearson_sql(number_sql(df, c), '_y')})"})
         parts.append(rows.where(F.col("n") >= 10).select(
             F.col("column").alias("attribute"), "association", F.lit("Point-Biserial").alias("method")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "attribute string, association double, method string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,12 @@ from peoplelens import rules as R
 from peoplelens.functions.expr import (
     col, is_noise, number, numeric_columns, parse_number, present, present_sql, ranked_first, share, strip, text_columns,
 )
-from peoplelens.functions.frames import apply_replacements, first_per_column, per_column, small_frame
+from peoplelens.functions.frames import apply_replacements, per_column, small_frame
 from peoplelens.operators.frequency import column_modes, text_frequency
 from peoplelens.operators.profile import Profile, fit_profiles
+from peoplelens.session import staged
 
+# Type names a schema rule may use.
 INT_TYPES = ("int64", "int32", "int")
 FLOAT_TYPES = ("float64", "float32", "float")
 TEXT_TYPES = ("object", "category", "string")
@@ -44,7 +46,8 @@ def casing_map(df: DataFrame, columns=None) -> DataFrame:
 
 def unify_casing(df: DataFrame, columns=None) -> DataFrame:
     """Replace every casing variant by the most frequent one."""
-    return apply_replacements(df, casing_map(df, columns))
+    columns = text_columns(df) if columns is None else columns
+    return apply_replacements(df, staged(casing_map(df, columns), "casing"), columns)
 
 
 def text_issue_preview(df: DataFrame, columns=None) -> DataFrame:
@@ -158,9 +161,12 @@ def noise_report(df: DataFrame, columns=None, rules: R.Rules = R.Rules(), exampl
     """
     freq = text_frequency(df, columns) if freq is None else freq
     noisy = freq.where(is_noise(F.col("value"), rules.noise_tokens))
-    counts = noisy.groupBy("column").agg(F.sum("n").alias("noise_count"))
-    return counts.join(first_per_column(noisy, [F.asc("value")], examples), "column").select(
-        "column", "noise_count", F.array_join("examples", ", ").alias("examples"))
+    # One row per column and value; a task keeps its first values and its sum, so a column costs one small row per task.
+    ranked = noisy.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("value")))
+    return ranked.groupBy("column").agg(
+        F.sum("n").alias("noise_count"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= examples, F.struct("rank", "value")))),
+                                 lambda s: s["value"]), ", ").alias("examples"))
 
 
 def clean_noise(df: DataFrame, strategy: str = "replace_nan", columns=None, rules: R.Rules = R.Rules()) -> DataFrame:
@@ -192,7 +198,7 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def duplicate_groups(df: DataFrame, top: int | None = 100) -> DataFrame:
+def duplicate_groups(df: DataFrame, top: int | None = None) -> DataFrame:
     """Rows that occur more than once with their count, most frequent first; all of them for ``top=None``."""
     groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("occurrences")) \
         .where(F.col("occurrences") > 1)

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import first_int, gender, label, name_sql, ranked_first, share
-from peoplelens.functions.frames import bounded_labels, melt
+from peoplelens.functions.expr import first_int, gender, label, name_sql, ranked_first, share, strip
+from peoplelens.functions.frames import melt
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
 from peoplelens.operators.association import association_scores
-from peoplelens.session import MAX_LABEL_COLUMNS
 
+# Labels of the four segments.
 SEGMENTS = ("High & Has CapGain", "High & No CapGain", "Std & Has CapGain", "Std & No CapGain")
 
 
@@ -64,36 +64,31 @@ def rates_of_many(df: DataFrame, columns, target: Column) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("high").alias("rate"))
 
 
-def top_feature_breakdown(df: DataFrame, target_column: str, target: Column, k: int = 4) -> DataFrame:
-    """Rates by label, with best, worst and gap, for the k columns most associated with the target."""
-    top = association_scores(df, target_column, target=target).limit(k).collect()
-    if not top:
-        raise ValueError("no column reaches the association threshold")
-    scores = {r["attribute"]: r["association"] for r in top}
-    rates = rates_of_many(df, list(scores), target)
+def top_feature_rates(df: DataFrame, target_column: str, target: Column, k: int = 4) -> DataFrame:
+    """(feature, association, label, n, rate): every label of the k columns most associated with the target.
+
+    No rows where no column reaches the association threshold.
+    """
+    top = association_scores(df, target_column, target=target).limit(k)
+    scores = {r["attribute"]: r["association"] for r in top.collect()}
+    if not scores:
+        return df.sparkSession.createDataFrame([], "feature string, association double, label string, n bigint, rate double")
     score = F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])
-    return rates.groupBy("feature").agg(
+    return rates_of_many(df, list(scores), target).select(
+        "feature", score[F.col("feature")].alias("association"), "label", "n", "rate")
+
+
+def top_feature_breakdown(df: DataFrame, target_column: str, target: Column, k: int = 4) -> DataFrame:
+    """Best and worst label, their rates and the gap for the k columns most associated with the target."""
+    return top_feature_rates(df, target_column, target, k).groupBy("feature").agg(
+        F.max("association").alias("association"),
         highest(F.col("rate"), F.col("label")).alias("best"), (F.max("rate") * 100).alias("best_pct"),
         lowest(F.col("rate"), F.col("label")).alias("worst"), (F.min("rate") * 100).alias("worst_pct"),
-        ((F.max("rate") - F.min("rate")) * 100).alias("gap")).select(
-        "feature", score[F.col("feature")].alias("association"), "best", "best_pct", "worst", "worst_pct", "gap")
+        ((F.max("rate") - F.min("rate")) * 100).alias("gap"))
 
 
 # --- cross-tabs --------------------------------------------------------------------------------------------------
 
-def dense(cells: DataFrame, values: dict[str, Column], keys=()) -> DataFrame:
-    """Complete the (row, col) grid of counted cells, absent ones getting the given fill values.
-
-    Column labels are a checked, bounded list; each row's cells travel as one map of at most that many entries.
-    """
-    labels = bounded_labels(cells, F.col("col"), MAX_LABEL_COLUMNS)
-    packed = F.map_from_entries(F.collect_list(F.struct("col", F.struct(*values))))
-    rows = cells.groupBy(*keys, "row").agg(packed.alias("cells"))
-    grid = rows.select(*keys, "row", "cells", F.explode(F.array(*[F.lit(v) for v in labels])).alias("col"))
-    hit = F.col("cells")[F.col("col")]
-    return grid.select(*keys, "row", "col", *[F.coalesce(hit[v], fill).alias(v) for v, fill in values.items()])
-
-
 def rate_cells(df: DataFrame, row: Column, column: Column, target: Column) -> DataFrame:
     """Count and target rate per non-empty cell."""
     return df.groupBy(label(row).alias("row"), label(column).alias("col")).agg(
@@ -101,8 +96,8 @@ def rate_cells(df: DataFrame, row: Column, column: Column, target: Column) -> Da
 
 
 def rate_grid(df: DataFrame, row: Column, column: Column, target: Column) -> DataFrame:
-    """Target rate for every pair of labels, 0 where no row has the pair."""
-    return dense(rate_cells(df, row, column, target), {"n": F.lit(0).cast("bigint"), "rate": F.lit(0.0)})
+    """Target rate of a cross-tab in long form. Pairs of labels that no row has are absent and stand for rate 0 of 0 rows."""
+    return rate_cells(df, row, column, target)
 
 
 def best_and_worst_cell(cells: DataFrame, min_rows: int = 0) -> DataFrame:
@@ -175,13 +170,14 @@ def segment(target: Column, gain: Column) -> Column:
     return (F.when(target & has, SEGMENTS[0]).when(target, SEGMENTS[1]).when(has, SEGMENTS[2]).otherwise(SEGMENTS[3]))
 
 
-def segment_composition(df: DataFrame, group: Column, target: Column, gain: Column) -> DataFrame:
-    """Share in % of the four segments per label, those with the largest target share first."""
-    flags = df.select(label(group).alias("label"), segment(target, gain).alias("s"))
+def segment_composition(df: DataFrame, group: Column, target: Column, gain: Column, sex: Column | None = None) -> DataFrame:
+    """Share in % of the four segments per label, those with the largest target share first; within each gender if ``sex`` is given."""
+    flags = df.select(label(group).alias("label"), segment(target, gain).alias("s"), *([gender(sex).alias("gender")] if sex is not None else []))
+    keys = ["label"] if sex is None else ["gender", "label"]
     n = F.count(F.lit(1))
-    wide = flags.groupBy("label").agg(n.alias("n"), *[
+    wide = (flags if sex is None else flags.where(F.col("gender").isin("male", "female"))).groupBy(*keys).agg(n.alias("n"), *[
         share(F.count_if(F.col("s") == s), n, 100.0).alias(s) for s in SEGMENTS])
-    return wide.orderBy(F.desc(F.col(f"`{SEGMENTS[0]}`") + F.col(f"`{SEGMENTS[1]}`")), F.asc("label"))
+    return wide.orderBy(*keys[:-1], F.desc(F.col(f"`{SEGMENTS[0]}`") + F.col(f"`{SEGMENTS[1]}`")), F.asc("label"))
 
 
 def dual_rate_by(df: DataFrame, group: Column, target: Column, gain: Column) -> DataFrame:
@@ -199,11 +195,10 @@ def dual_rate_by_gender(df: DataFrame, sex: Column, target: Column, gain: Column
 
 
 def prevalence_grid(df: DataFrame, row: Column, column: Column, target: Column, x: Column) -> DataFrame:
-    """Share in % with x > 0 per pair of labels within each target class; absent pairs are 0."""
+    """Share in % with x > 0 per pair of labels within each target class; absent pairs stand for 0."""
     has = F.coalesce(x > 0, F.lit(False)).cast("double")
-    cells = df.groupBy(target.alias("high"), label(row).alias("row"), label(column).alias("col")).agg(
+    return df.groupBy(target.alias("high"), label(row).alias("row"), label(column).alias("col")).agg(
         (F.avg(has) * 100).alias("pct"))
-    return dense(cells, {"pct": F.lit(0.0)}, keys=("high",))
 
 
 def prevalence_peak(grid: DataFrame) -> DataFrame:
@@ -260,39 +255,59 @@ def gender_gap(rates: DataFrame) -> DataFrame:
                      lowest(F.col("gap"), F.col("label")).alias("narrowest"), F.min("gap").alias("narrowest_gap"))
 
 
-def archetype(df: DataFrame, target: Column, fields: dict[str, Column], age: Column, hours: Column, gain: Column) -> DataFrame:
+def archetype(df: DataFrame, target: Column, fields: dict[str, Column], age: Column | None = None, hours: Column | None = None,
+              gain: Column | None = None) -> DataFrame:
     """Typical member of the target class: top label and share per field, median age, mean hours, % with a gain.
 
-    Long form (item, label, value), so it has the same shape for any set of fields.
+    Long form (item, label, value), so it has the same shape for any set of fields. The field ``sex`` is stripped before it is counted.
     """
     high = df.where(target)
-    total = high.agg(F.count(F.lit(1))).scalar()
-    counts = melt(high, {k: label(c) for k, c in fields.items()}).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    tops = counts.groupBy("column").agg(ranked_first(F.col("value"), F.col("n")).alias("label"), F.max("n").alias("n"))
-    named = tops.select(F.col("column").alias("item"), "label", share(F.col("n"), total, 100.0).alias("value"))
-    median = grouped_quantiles(high.select(F.lit("median_age").alias("key"), age.cast("double").alias("value")), (0.5,))
-    medians = median.select(F.col("key").alias("item"), F.lit(None).cast("string").alias("label"),
-                            F.floor(F.col("quantiles")[0]).cast("double").alias("value"))
-    numbers = high.agg(F.avg(hours.cast("double")).alias("h"), share(F.count_if(gain > 0), F.count(F.lit(1)), 100.0).alias("g"))
-    scalars = numbers.select(F.inline(F.array(
-        F.struct(F.lit("mean_hours").alias("item"), F.lit(None).cast("string").alias("label"), F.col("h").alias("value")),
-        F.struct(F.lit("gain_pct").alias("item"), F.lit(None).cast("string").alias("label"), F.col("g").alias("value")))))
-    return named.unionByName(medians).unionByName(scalars)
-
-
-def kpis(df: DataFrame, target: Column, age: Column, sex: Column, hours: Column) -> DataFrame:
-    """Header figures: size, target share, age quartiles, gender shares, hours, mean age gap."""
-    a, h, g = age.cast("double"), hours.cast("double"), gender(sex)
-    q1, q2, q3 = column_quantiles(
-        df.select(a.alias("_age")), {"age": "_age"}, (0.25, 0.5, 0.75))["age"]
+    none = F.lit(None).cast("string")
+    parts = []
+    if fields:
+        cells = {k: label(strip(c) if k == "sex" else c) for k, c in fields.items()}
+        counts = melt(high, cells).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        # Every field has a label in every row, so a field's counts add up to the rows of the class.
+        parts.append(counts.groupBy("column").agg(
+            ranked_first(F.col("value"), F.col("n")).alias("label"), F.max("n").alias("n"), F.sum("n").alias("total")).select(
+            F.col("column").alias("item"), "label", share(F.col("n"), F.col("total"), 100.0).alias("value")))
+    if age is not None:
+        median = grouped_quantiles(high.select(F.lit("median_age").alias("key"), age.cast("double").alias("value")), (0.5,))
+        parts.append(median.select(F.col("key").alias("item"), none.alias("label"), F.floor(F.col("quantiles")[0]).cast("double").alias("value")))
+    numbers = {}
+    if hours is not None:
+        numbers["mean_hours"] = F.avg(hours.cast("double"))
+    if gain is not None:
+        numbers["gain_pct"] = share(F.count_if(gain > 0), F.count(F.lit(1)), 100.0)
+    if numbers:
+        parts.append(high.agg(F.array(*[F.struct(F.lit(k).alias("item"), none.alias("label"), v.alias("value"))
+                                        for k, v in numbers.items()]).alias("x")).select(F.inline("x")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "item string, label string, value double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def kpis(df: DataFrame, target: Column, age: Column | None = None, sex: Column | None = None, hours: Column | None = None) -> DataFrame:
+    """Header figures: size, target share, age quartiles, gender shares, hours, mean age gap; those of an absent field are NULL."""
+    nothing = F.lit(None)
+    a, h = (F.lit(None).cast("double") if c is None else c.cast("double") for c in (age, hours))
+    g = nothing.cast("string") if sex is None else gender(sex)
+    quartiles = (None, None, None) if age is None else column_quantiles(df.select(a.alias("_age")), {"age": "_age"}, (0.25, 0.5, 0.75))["age"]
     n, high = F.count(F.lit(1)), F.count_if(target)
     male, female = F.count_if(g == "male"), F.count_if(g == "female")
     both = F.greatest(male + female, F.lit(1))
-    whole = [F.lit(None if q is None else int(q)).cast("bigint") for q in (q2, q1, q3)]
+    whole = [F.lit(None if quartiles[i] is None else int(quartiles[i])).cast("bigint") for i in (1, 0, 2)]
+
+    def known(c, value):
+        return nothing.cast("double") if c is None else value
+
     return df.agg(
         n.alias("total"), high.alias("n_high"), (n - high).alias("n_std"), share(high, n, 100.0).alias("pct_high"),
-        male.alias("male_n"), female.alias("female_n"), share(male, both, 100.0).alias("pct_male"),
-        share(female, both, 100.0).alias("pct_female"), F.avg(h).alias("avg_hours"),
+        male.alias("male_n"), female.alias("female_n"), known(sex, share(male, both, 100.0)).alias("pct_male"),
+        known(sex, share(female, both, 100.0)).alias("pct_female"), F.avg(h).alias("avg_hours"),
         share(F.count_if(h > 40), F.count(h), 100.0).alias("pct_overtime"),
         (F.avg(F.when(target, a)) - F.avg(F.when(~target, a))).alias("age_gap")).select(
         "*", F.lit(len(df.columns)).cast("bigint").alias("n_cols"), whole[0].alias("median_age"), whole[1].alias("q1_age"),

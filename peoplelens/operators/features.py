@@ -14,14 +14,15 @@ from peoplelens import rules as R
 from peoplelens.functions.expr import (
     col, cut, double_sql, label, name_sql, number, number_sql, numeric_columns, replace_by, text_columns, text_sql,
 )
-from peoplelens.functions.frames import apply_replacements, first_per_column, per_column, small_frame
+from peoplelens.functions.frames import first_per_column, melt, per_column, small_frame
 from peoplelens.operators.frequency import low_variance, numeric_frequency, text_frequency, top_values
 from peoplelens.operators.profile import Profile, fit_profiles, histogram
-from peoplelens.session import MAX_BROADCAST_ROWS, MAX_LABEL_COLUMNS, MAX_LITERALS, cut_lineage
+from peoplelens.session import staged
 
 LOG1P, YEO_JOHNSON = "log1p", "yeo-johnson"
 STANDARD, ROBUST = "StandardScaler", "RobustScaler"
-DROP, LABEL, ONE_HOT = "Dropped (Redundant)", "Label Encoding", "One-Hot Encoding"
+# What happens to a column, and why.
+DROP, LABEL, ONE_HOT = "drop", "label", "one_hot"
 
 
 # --- power transforms ----------------------------------------------------------------------------------------
@@ -48,17 +49,22 @@ def yeo_johnson_sql(x: str, lam: float) -> str:
     return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
 
 
-def fit_yeo_johnson(df: DataFrame, columns, tolerance: float = 1e-4) -> dict[str, float]:
+def fit_yeo_johnson(df: DataFrame, columns, tolerance: float = 1e-4) -> dict[str, float | None]:
     """λ of largest likelihood per column, from a few aggregate passes that all columns share.
 
-    The first pass evaluates a coarse grid and moves it while the best point lies on its edge. Then each pass
-    takes five points around the vertex of the parabola through the best three, an eighth as wide as before.
+    The first pass evaluates a coarse grid and moves it while the best point lies on its edge. Then each pass takes five points around the
+    vertex of the parabola through the best three, an eighth as wide as before. A column without two different values has no λ
+    (None); a search that does not converge raises.
     """
-    grids = {c: [-2.0 + 0.5 * i for i in range(13)] for c in columns}
-    best: dict[str, float] = {}
+    columns = list(columns)
+    ends = {r["column"]: r for r in per_column(df, columns, lambda c: {
+        "lo": f"min({number_sql(df, c)})", "hi": f"max({number_sql(df, c)})"}).collect()} if columns else {}
+    best: dict[str, float | None] = {c: None for c in columns}
+    grids = {c: [-2.0 + 0.5 * i for i in range(13)] for c in columns
+             if ends[c]["lo"] is not None and ends[c]["lo"] < ends[c]["hi"]}
     for _ in range(40):
         if not grids:
-            break
+            return best
 
         def make(c):
             x = number_sql(df, c)
@@ -67,10 +73,6 @@ def fit_yeo_johnson(df: DataFrame, columns, tolerance: float = 1e-4) -> dict[str
 
         for r in per_column(df, list(grids), make).collect():
             c, grid = r["column"], grids[r["column"]]
-            if not r["n"]:
-                best[c] = 1.0
-                del grids[c]
-                continue
             like = [_likelihood(r["n"], r["s"], lam, v) for lam, v in zip(grid, r["v"])]
             top = max(range(len(grid)), key=like.__getitem__)
             step = grid[1] - grid[0]
@@ -85,7 +87,9 @@ def fit_yeo_johnson(df: DataFrame, columns, tolerance: float = 1e-4) -> dict[str
                 del grids[c]
             else:
                 grids[c] = [best[c] + step / 8 * i for i in (-2, -1, 0, 1, 2)]
-    return {c: best.get(c, 1.0) for c in columns}
+    if grids:
+        raise ArithmeticError(f"no λ found for {', '.join(grids)}")
+    return best
 
 
 def _likelihood(n: int, s: float, lam: float, variance) -> float:
@@ -104,6 +108,8 @@ def log_transform(df: DataFrame, methods: dict[str, str], lambdas: dict[str, flo
             picks.append(col(c))
         elif methods[c] == LOG1P:
             picks.append(F.log1p(number(df, c)).alias(c))
+        elif lambdas[c] is None:  # nothing to transform
+            picks.append(number(df, c).alias(c))
         else:
             picks.append(F.expr(yeo_johnson_sql(number_sql(df, c), lambdas[c])).alias(c))
     return df.select(*picks)
@@ -115,103 +121,103 @@ def bin_and_group(df: DataFrame, rules: R.Rules = R.Rules(), bins: bool = True,
     """Bin numbers right-closed and map categories to groups; unmapped categories stay as they are."""
     numeric = set(numeric_columns(df))
     texts = set(text_columns(df))
-    picks, large = [], []
+    picks = []
     for c in df.columns:
         rule = rules.bin_rule(c) if bins else None
         mapping = rules.group_rule(c) if groups else None
         if rule and c in numeric:
             picks.append(cut(number(df, c), *rule).alias(c))
-        elif mapping and c in texts and len(mapping) <= MAX_LITERALS:
+        elif mapping and c in texts:  # a rule, so of a size that a person wrote
             picks.append(replace_by(col(c), mapping).alias(c))
         else:
-            if mapping and c in texts:
-                large += [(c, k, v) for k, v in mapping.items()]
             picks.append(col(c))
-    out = df.select(*picks)
-    if large:
-        out = apply_replacements(out, small_frame(
-            df.sparkSession, "column string, value string, replacement string", large))
-    return out
+    return df.select(*picks)
 
 
 def binning_preview(df: DataFrame, rules: R.Rules = R.Rules()) -> DataFrame:
-    """Rule columns with action, details and distinct values before."""
-    ruled = [c for c in df.columns if rules.bin_rule(c) or rules.group_rule(c)]
-    texts = [c for c in ruled if c in text_columns(df)]
-    numeric = [c for c in ruled if c in numeric_columns(df)]
-    counts = None
-    for freq in ([text_frequency(df, texts)] if texts else []) + ([numeric_frequency(df, numeric)] if numeric else []):
+    """Columns with a rule: its kind (``bins`` or ``groups``), its labels, and distinct values before it is applied."""
+    ruled = {c: rules.bin_rule(c)[1] if rules.bin_rule(c) else rules.group_labels(c)
+             for c in df.columns if rules.bin_rule(c) or rules.group_rule(c)}
+    rows = [(c, "bins" if rules.bin_rule(c) else "groups", len(labels), list(labels)) for c, labels in ruled.items()]
+    planned = small_frame(df.sparkSession, "column string, kind string, n_labels int, labels array<string>", rows)
+    frequencies = [f(df, [c for c in ruled if c in of(df)]) for f, of in
+                   ((text_frequency, text_columns), (numeric_frequency, numeric_columns)) if any(c in of(df) for c in ruled)]
+    if not frequencies:
+        return planned.withColumn("unique_before", F.lit(0).cast("bigint"))
+    seen = None
+    for freq in frequencies:
         part = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_before"))
-        counts = part if counts is None else counts.unionByName(part)
-    unique = {r["column"]: r["unique_before"] for r in counts.collect()} if counts is not None else {}
-    rows = []
-    for c in ruled:
-        if rules.bin_rule(c):
-            labels = rules.bin_rule(c)[1]
-            rows.append((c, "Numeric Binning", f"Numeric → {len(labels)} bins", " | ".join(labels), unique.get(c, 0)))
-        else:
-            groups = list({k.lower(): v for k, v in rules.groups.items()}[c.lower()])
-            rows.append((c, "Category Mapping", f"Category → {len(groups)} groups", ", ".join(groups),
-                         unique.get(c, 0)))
-    return small_frame(df.sparkSession, "column string, type string, action string, details string, "
-                                        "unique_before bigint", rows)
+        seen = part if seen is None else seen.unionByName(part)
+    return planned.join(seen, "column", "left").select(
+        "column", "kind", "n_labels", "labels", F.coalesce("unique_before", F.lit(0)).alias("unique_before"))
 
 
 # --- encoding --------------------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Facts:
+    """What is known of a categorical column before its encoding is chosen."""
+
+    column: str
+    unique: int
+    examples: tuple
+    twin: str | None
+    is_text: bool
+
+
 @dataclass(frozen=True)
 class Encoding:
     column: str
     unique: int
-    examples: str
+    examples: tuple
     encoding: str
     reason: str
 
 
-def plan_encoding(df: DataFrame, rules: R.Rules | None = None) -> list[Encoding]:
-    """Encoding per categorical column; with rules, as it will look once they are applied.
+#: The first rule whose test holds decides: (reason, encoding, test).
+ENCODING_RULES = (
+    ("redundant", DROP, lambda f: f.twin is not None),
+    ("binary", LABEL, lambda f: f.unique <= 2 or f.column.lower() in R.BINARY_COLUMNS),
+    ("ordinal", LABEL, lambda f: f.column.lower() in R.ORDINAL_COLUMNS),
+    ("binned", LABEL, lambda f: not f.is_text),
+    ("nominal", ONE_HOT, lambda f: True),
+)
 
-    Redundant twin → drop; two values → label; ordinal → label; binned number → label; the rest one-hot.
-    """
+
+def categorical_facts(df: DataFrame, rules: R.Rules | None = None, examples: int = 5) -> list[Facts]:
+    """Facts of the text columns and, with rules, of the numbers that a rule will bin; ruled columns count their labels."""
     texts = text_columns(df)
-    bins = {c: rules.bin_rule(c)[1] for c in df.columns if rules and rules.bin_rule(c)}
-    groups = {c: list({k.lower(): v for k, v in rules.groups.items()}[c.lower()])
-              for c in df.columns if rules and rules.group_rule(c)}
-    binned_numeric = [c for c in bins if c not in texts]
-    plain = [c for c in texts if c not in bins and c not in groups]
+    ruled = {c: tuple(rules.bin_rule(c)[1] if rules.bin_rule(c) else rules.group_labels(c))
+             for c in df.columns if rules and (rules.bin_rule(c) or rules.group_rule(c))}
+    open_ = [c for c in texts if c not in ruled]
     seen, shown = {}, {}
-    if plain:
-        freq = text_frequency(df, plain)
+    if open_:
+        freq = staged(text_frequency(df, open_), "levels")
         seen = {r["column"]: r["u"] for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()}
-        shown = {r["column"]: r["examples"] for r in first_per_column(freq, [F.asc("value")], 5).collect()}
-    present = {c.lower() for c in df.columns}
+        shown = {r["column"]: tuple(r["examples"]) for r in first_per_column(freq, [F.asc("value")], examples).collect()}
+    have = {c.lower() for c in df.columns}
     out = []
-    for c in [*texts, *binned_numeric]:
-        if c in bins or c in groups:
-            names = list(bins.get(c) or groups[c])
-            unique, examples = len(names), ", ".join(names)
-        else:
-            unique = seen.get(c, 0)
-            examples = ", ".join(shown.get(c, [])) + (", …" if unique > 5 else "")
+    for c in dict.fromkeys([*texts, *(c for c in ruled if rules.bin_rule(c))]):
         twin = R.REDUNDANT_PAIRS.get(c.lower())
-        if twin in present:
-            choice = (DROP, f"Numeric equivalent '{twin}' exists")
-        elif unique <= 2 or c.lower() in R.BINARY_COLUMNS:
-            choice = (LABEL, "Binary column")
-        elif c.lower() in R.ORDINAL_COLUMNS:
-            choice = (LABEL, "Ordinal — natural order")
-        elif c in binned_numeric:
-            choice = (LABEL, "Binned numeric — ordinal")
-        else:
-            choice = (ONE_HOT, "Nominal — no natural order")
-        out.append(Encoding(c, unique, examples, *choice))
+        names = ruled.get(c)
+        out.append(Facts(c, len(names) if names else seen.get(c, 0), names or shown.get(c, ()),
+                         twin if twin in have else None, c in texts))
+    return out
+
+
+def plan_encoding(df: DataFrame, rules: R.Rules | None = None) -> list[Encoding]:
+    """Encoding per categorical column; with rules, as it will look once they are applied."""
+    out = []
+    for f in categorical_facts(df, rules):
+        reason, encoding = next((reason, encoding) for reason, encoding, test in ENCODING_RULES if test(f))
+        out.append(Encoding(f.column, f.unique, f.examples, encoding, reason))
     return out
 
 
 def encoding_table(df: DataFrame, rules: R.Rules | None = None) -> DataFrame:
-    rows = [(e.column, e.unique, e.examples, e.encoding, e.reason) for e in plan_encoding(df, rules)]
+    rows = [(e.column, e.unique, list(e.examples), e.encoding, e.reason) for e in plan_encoding(df, rules)]
     return small_frame(df.sparkSession,
-                       "column string, unique_values bigint, examples string, encoding string, reason string", rows)
+                       "column string, unique_values bigint, examples array<string>, encoding string, reason string", rows)
 
 
 def drop_redundant(df: DataFrame) -> DataFrame:
@@ -227,9 +233,9 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     partitions before it, so no task ever holds all of them.
     """
     distinct = df.select(col(column).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    ordered = cut_lineage(distinct.repartitionByRange("value").sortWithinPartitions("value").select(
+    ordered = staged(distinct.repartitionByRange("value").sortWithinPartitions("value").select(
         "value", F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("position")))
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("position")), "codes")
     sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
     starts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
     # One row per partition of the shuffle, so the broadcast does not grow with the data.
@@ -238,79 +244,77 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
         "value", (F.col("start") + F.col("position")).cast("bigint").alias("code"))
 
 
-def level_lists(df: DataFrame, columns, limit: int) -> dict[str, list | None]:
-    """Sorted distinct values of several columns, None for a column with more than ``limit`` of them.
+def label_encode(df: DataFrame, columns, order: dict[str, list] | None = None) -> DataFrame:
+    """Text to the rank of its value; NULL stays NULL. ``order`` gives an explicit order, of any length, for some columns.
 
-    Two jobs for all columns: distinct counts first, then the values of the columns that fit.
-    """
-    columns = list(columns)
-    if not columns:
-        return {}
-    levels = text_frequency(df, columns).select("column", "value")
-    sizes = {r["column"]: r["count"] for r in levels.groupBy("column").count().collect()}
-    small = [c for c in columns if sizes.get(c, 0) <= limit]
-    out: dict[str, list | None] = {c: [] if c in small else None for c in columns}
-    for r in levels.where(F.col("column").isin(*small)).collect() if small else ():
-        out[r["column"]].append(r["value"])
-    return {c: None if v is None else sorted(v) for c, v in out.items()}
-
-
-def label_encode(df: DataFrame, columns, order: dict[str, list] | None = None,
-                 levels: dict[str, list | None] | None = None) -> DataFrame:
-    """Text to the rank of its value; NULL stays NULL. ``order`` gives an explicit order for some columns.
-
-    Few distinct values become literals. More are joined, broadcast only below a checked count.
+    Codes are (value, code) tables that are joined, one way for any number of values.
     """
     order = order or {}
-    levels = levels or level_lists(df, [c for c in columns if c not in order], MAX_LITERALS)
-    known = {c: order.get(c) or levels.get(c) for c in columns}
-    literal = {c: v for c, v in known.items() if v is not None and len(v) <= MAX_LITERALS}
-    picks = []
-    for c in df.columns:
-        if c not in literal:
-            picks.append(col(c))
-            continue
-        pairs = ", ".join(f"{text_sql(v)}, {i}L" for i, v in enumerate(literal[c]))
-        code = f"map({pairs})[CAST({name_sql(c)} AS STRING)]" if pairs else "CAST(NULL AS BIGINT)"
-        picks.append(F.expr(code).alias(c))
-    df = df.select(*picks)
     for c in columns:
-        if c in literal:
-            continue
-        side = label_codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        if side.count() <= MAX_BROADCAST_ROWS:
-            side = F.broadcast(side)
-        names = df.columns
+        if c in order:
+            codes = small_frame(df.sparkSession, "value string, code bigint", [(v, i) for i, v in enumerate(order[c])])
+        else:
+            codes = staged(label_codes(df, c), "codes")
+        side = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = df.join(side, col(c).cast("string") == F.col("_value"), "left").select(
-            *[F.col("_code").alias(c) if k == c else col(k) for k in names])
+            *[F.col("_code").alias(c) if k == c else col(k) for k in df.columns])
     return df
 
 
-def one_hot(df: DataFrame, columns, levels: dict[str, list | None] | None = None) -> DataFrame:
+def one_hot_levels(df: DataFrame, columns) -> dict[str, list]:
+    """Sorted distinct values of several columns; they become columns of the plan, so the caller decides how many there may be."""
+    levels = text_frequency(df, list(columns)).select("column", "value").collect() if columns else []
+    return {c: sorted(r["value"] for r in levels if r["column"] == c) for c in columns}
+
+
+def one_hot_names(df: DataFrame, columns, levels: dict[str, list]) -> dict[tuple[str, str], str]:
+    """Name per (column, value): ``<column>_<value>``; one that is taken already, in any case, gets _2, _3 and so on."""
+    taken = {c.lower() for c in df.columns if c not in columns}
+    names = {}
+    for c in columns:
+        for v in levels[c][1:]:
+            name, i = f"{c}_{v}", 1
+            while name.lower() in taken:
+                i += 1
+                name = f"{c}_{v}_{i}"
+            taken.add(name.lower())
+            names[c, v] = name
+    return names
+
+
+def one_hot(df: DataFrame, columns, levels: dict[str, list] | None = None) -> DataFrame:
     """0/1 column per value but the first in order, appended after the others; NULL is 0 everywhere.
 
-    Raises rather than dropping a value when a column has too many of them to become columns.
+    Any number of values; for very many, ``one_hot_long`` holds the same in one row per set cell.
     """
-    levels = levels or level_lists(df, columns, MAX_LABEL_COLUMNS)
-    wide = [c for c in columns if levels[c] is None]
-    if wide:
-        raise ValueError(f"more than {MAX_LABEL_COLUMNS} distinct values cannot become columns: {', '.join(wide)}")
+    columns = list(columns)
+    levels = levels or one_hot_levels(df, columns)
+    names = one_hot_names(df, columns, levels)
     kept = [col(c) for c in df.columns if c not in columns]
-    added = [F.expr(f"CASE WHEN {name_sql(c)} = {text_sql(v)} THEN 1L ELSE 0L END").alias(f"{c}_{v}")
-             for c in columns for v in levels[c][1:]]
+    added = [F.expr(f"CASE WHEN CAST({name_sql(c)} AS STRING) = {text_sql(v)} THEN 1L ELSE 0L END").alias(n) for (c, v), n in names.items()]
     return df.select(*kept, *added)
 
 
+def one_hot_long(df: DataFrame, key: str, columns) -> DataFrame:
+    """(key, column, level): the set cells of ``one_hot`` with the level's code (0 = first value, which has no column)."""
+    long = melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}, {key: col(key)}).where(F.col("value").isNotNull())
+    out = None
+    for c in columns:
+        part = long.where(F.col("column") == c).join(staged(label_codes(df, c), "codes"), "value").select(
+            col(key), "column", F.col("code").alias("level"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def encode(df: DataFrame, plan: list[Encoding], binned=(), order: dict[str, list] | None = None) -> DataFrame:
     """Drop, label-encode and one-hot the planned columns. In binned columns NULL is the category ``nan``."""
     by = {k: [e.column for e in plan if e.encoding == k and e.column in df.columns] for k in (DROP, LABEL, ONE_HOT)}
     df = df.drop(*by[DROP])
     named = [c for c in (*by[LABEL], *by[ONE_HOT]) if c in binned]
     df = df.select(*[label(col(c)).alias(c) if c in named else col(c) for c in df.columns])
-    # The lists are read once, before any column changes; one-hot columns are not touched by label encoding.
-    levels = level_lists(df, [*by[LABEL], *by[ONE_HOT]], MAX_LABEL_COLUMNS)
-    df = label_encode(df, by[LABEL], order, {c: levels[c] for c in by[LABEL]})
-    return one_hot(df, by[ONE_HOT], {c: levels[c] for c in by[ONE_HOT]})
+    # One-hot columns are not touched by label encoding.
+    levels = one_hot_levels(df, by[ONE_HOT])
+    return one_hot(label_encode(df, by[LABEL], order), by[ONE_HOT], levels)
 
 
 # --- scaling ---------------------------------------------------------------------------------------------------

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, is_target, number, numeric_columns, pearson, share
+from peoplelens.functions.expr import col, is_target, number, numeric_columns, pearson, present_sql, share
 from peoplelens.functions.frames import small_frame
 from peoplelens.operators.association import strength_label
-from peoplelens.operators.audit import dataset_metrics, health_score, integrity
+from peoplelens.operators.audit import health_score, integrity
 from peoplelens.operators.cleaning import missing_report
 from peoplelens.operators.exploration import highest, lowest, rates_of_many
 from peoplelens.operators.outliers import outlier_counts
@@ -43,10 +43,10 @@ def ceiling_check(df: DataFrame, x: Column, ceiling: float = R.CEILING) -> DataF
 
 
 def insight_record(df: DataFrame, rules: R.Rules = R.Rules()) -> DataFrame:
-    """About thirty findings in one row.
+    """About thirty findings in one row: scalars, rates by education, occupation and gender, and the integrity block.
 
-    One wide aggregate for the scalars, one shuffle for the rates of all grouping fields, plus the integrity block.
-    Rates by field are rounded to one digit before they are compared, as are the figures derived from them.
+    Three scans: one wide aggregate, one shuffle for the rates of all grouping fields, one for the groups of equal rows. Rates by field are
+    rounded to one digit before they are compared, as are the figures derived from them.
     """
     fields = R.resolve_fields(df.columns, INSIGHT_ALIASES)
     if fields["income"] is None:
@@ -57,61 +57,52 @@ def insight_record(df: DataFrame, rules: R.Rules = R.Rules()) -> DataFrame:
     numeric = numeric_columns(df)
     if fields["hours"] in numeric:
         h = number(df, fields["hours"])
-        aggs += [pearson(h, target.cast("double")).alias("hrs_corr"), F.avg(F.when(target, h)).alias("avg_hrs_high"),
-                 F.avg(F.when(~target, h)).alias("avg_hrs_low")]
+        aggs += [pearson(h, target.cast("double")).alias("hours_r"), F.avg(F.when(target, h)).alias("hours_mean_high"),
+                 F.avg(F.when(~target, h)).alias("hours_mean_low")]
     if fields["capital_gain"] in numeric:
         g = number(df, fields["capital_gain"])
-        aggs += [share(F.count_if(g > 0), n, 100.0).alias("cg_pct_pos"), F.max(g).cast("bigint").alias("cg_max"),
-                 F.count_if(g >= R.CEILING).alias("cg_clipped")]
+        aggs += [share(F.count_if(g > 0), n, 100.0).alias("gain_pct_positive"), F.max(g).cast("bigint").alias("gain_max"),
+                 F.count_if(g >= R.CEILING).alias("gain_at_ceiling")]
     out = df.agg(*aggs).select("*", F.lit(len(df.columns)).cast("bigint").alias("cols"))
 
     groups = [fields[k] for k in ("education", "occupation", "sex") if fields[k]]
     if groups:
         rates = rates_of_many(df, groups, target).select("feature", "label", F.round(F.col("rate") * 100, 1).alias("rate"))
-        picks = []
-
-        def of(field, value):
-            return F.when(F.col("feature") == field, value)
-
-        for key, short in (("education", "edu"), ("occupation", "occ")):
+        picks, derived = [], []
+        for key in ("education", "occupation"):
             if fields[key]:
-                rate, name = of(fields[key], F.col("rate")), F.col("label")
-                picks += [highest(rate, name).alias(f"best_{short}"), F.max(rate).alias(f"best_{short}_pct"),
-                          lowest(rate, name).alias(f"worst_{short}"), F.min(rate).alias(f"worst_{short}_pct")]
-        if fields["sex"]:
-            low = F.lower("label")
-            male = (F.col("feature") == fields["sex"]) & low.contains("male") & ~low.contains("fe")
-            female = (F.col("feature") == fields["sex"]) & (low.contains("female") | (low == "f"))
-            for who, test in (("male", male), ("female", female)):
-                first = F.min(F.when(test, F.struct("label", "rate")))
-                picks += [first["label"].alias(f"{who}_key"), first["rate"].alias(f"{who}_pct")]
-        found = rates.agg(*picks)
-        derived = []
+                own = F.col("feature") == fields[key]
+                rate, name = F.when(own, F.col("rate")), F.col("label")
+                picks += [highest(rate, name).alias(f"{key}_best"), F.max(rate).alias(f"{key}_best_pct"),
+                          lowest(rate, name).alias(f"{key}_worst"), F.min(rate).alias(f"{key}_worst_pct")]
         if fields["education"]:
-            derived.append(F.round(F.col("best_edu_pct") / F.greatest(F.col("worst_edu_pct"), F.lit(1.0)), 1).alias("edu_ratio"))
+            derived.append(F.round(F.col("education_best_pct") / F.greatest(F.col("education_worst_pct"), F.lit(1.0)), 1).alias("education_ratio"))
         if fields["occupation"]:
-            derived.append(F.round(F.col("best_occ_pct") - F.col("worst_occ_pct"), 1).alias("occ_spread"))
+            derived.append(F.round(F.col("occupation_best_pct") - F.col("occupation_worst_pct"), 1).alias("occupation_spread"))
         if fields["sex"]:
-            derived.append(F.round(F.col("male_pct") - F.col("female_pct"), 1).alias("gender_gap"))
-        found = found.select("*", *derived)
-        packed = found.select(F.struct("*")).scalar()
+            own, low = F.col("feature") == fields["sex"], F.lower("label")
+            tests = {"men": low.contains("male") & ~low.contains("fe"), "women": low.contains("female") | (low == "f")}
+            for who, test in tests.items():
+                first = F.min(F.when(own & test, F.struct("label", "rate")))
+                picks += [first["label"].alias(f"{who}_label"), first["rate"].alias(f"{who}_pct")]
+            derived.append(F.round(F.col("men_pct") - F.col("women_pct"), 1).alias("gender_gap"))
+        packed = rates.agg(*picks).select("*", *derived).select(F.struct("*")).scalar()
         out = out.select("*", packed.alias("_groups")).select("*", "_groups.*").drop("_groups")
     block = integrity(df, rules)
     return out.select("*", block.select(F.struct("*")).scalar().alias("_block")).select("*", "_block.*").drop("_block")
 
 
 def dataset_context(df: DataFrame) -> DataFrame:
-    """Metrics and columns with missing cells as one line of text."""
-    gaps = missing_report(df)
-    listed = gaps.agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("column", "missing"))),
-        lambda s: F.concat(s["column"], F.lit(": "), s["missing"].cast("string"))), ", ")).scalar()
-    m = dataset_metrics(df).select("*", listed.alias("gaps"))
-    return m.select(F.concat(
-        F.lit("Total Rows: "), F.col("rows").cast("string"), F.lit("; Total Columns: "), F.col("cols").cast("string"),
-        F.lit("; Duplicate Rows: "), F.col("duplicates").cast("string"), F.lit("; Missing Data Percentage: "),
-        F.format_string("%.1f", F.col("missing_pct")), F.lit("%; Columns with missing values: "),
-        F.when(F.col("gaps") == "", "None").otherwise(F.col("gaps"))).alias("context"))
+    """Rows, columns, duplicates, missing share and the (column, missing) pairs of columns with gaps, from the groups of equal rows."""
+    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    gaps = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.sum(F.when(~F.expr(present_sql(df, c)), F.col("_n"))), F.lit(0)).alias("missing"))
+                     for c in sorted(df.columns)])
+    found = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"), gaps.alias("gaps"))
+    total = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + g["missing"])
+    return found.select(
+        "rows", F.lit(len(df.columns)).cast("bigint").alias("cols"), "duplicates",
+        F.coalesce(share(total, F.col("rows") * F.lit(len(df.columns)), 100.0), F.lit(0.0)).alias("missing_pct"),
+        F.filter("gaps", lambda g: g["missing"] > 0).alias("gaps"))
 
 
 def report_tables(df: DataFrame, rules: R.Rules = R.Rules()) -> dict[str, DataFrame]:

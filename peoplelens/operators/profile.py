@@ -12,7 +12,7 @@ from peoplelens.functions.expr import (
     col, double_sql, integral_columns, label, number, number_sql, numeric_columns, pearson_sql, text_sql,
 )
 from peoplelens.functions.frames import per_column, small_frame
-from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
+from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles, sketch_sql
 
 QUARTILES = (0.25, 0.5, 0.75)
 PAIRS_PER_PASS = 40
@@ -25,8 +25,8 @@ def skewness_sql(x: str) -> str:
             f"ELSE skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2) END")
 
 
-def moments(df: DataFrame, columns=None) -> DataFrame:
-    """One row per numeric column: n, missing, mean, std, skewness, min, max.
+def moments(df: DataFrame, columns=None, probs=()) -> DataFrame:
+    """One row per numeric column: n, missing, mean, std, skewness, min, max, and a sketch around ``probs`` if there are any.
 
     All columns share one pass without a shuffle of rows.
     """
@@ -35,7 +35,8 @@ def moments(df: DataFrame, columns=None) -> DataFrame:
     def make(c):
         x = number_sql(df, c)
         return {"n": f"count({x})", "missing": f"count(1) - count({x})", "mean": f"avg({x})",
-                "std": f"stddev_samp({x})", "skewness": skewness_sql(x), "min": f"min({x})", "max": f"max({x})"}
+                "std": f"stddev_samp({x})", "skewness": skewness_sql(x), "min": f"min({x})", "max": f"max({x})",
+                **({"sketch": sketch_sql(x, probs)} if probs else {})}
 
     return per_column(df, columns, make)
 
@@ -64,7 +65,7 @@ class Profile:
 
 
 def fit_profiles(df: DataFrame, columns=None, quantiles: bool = True, mad: bool = True) -> dict[str, Profile]:
-    """Profiles of the numeric columns: one pass for moments, one for quartiles, one for the MAD.
+    """Profiles of the numeric columns: three scans for moments and quartiles, three more for the MAD.
 
     Skewness is rounded to three digits here, before any threshold is applied to it.
     """
@@ -72,15 +73,14 @@ def fit_profiles(df: DataFrame, columns=None, quantiles: bool = True, mad: bool
     if not columns:
         return {}
     whole = integral_columns(df)
-    rows = {r["column"]: r for r in moments(df, columns).collect()}
+    rows = {r["column"]: r for r in moments(df, columns, QUARTILES if quantiles or mad else ()).collect()}
     quarts, mads = {}, {}
     if quantiles or mad:
         quarts = column_quantiles(df, {c: number_sql(df, c) for c in columns}, QUARTILES,
-                                  {c: (r["n"], r["min"], r["max"]) for c, r in rows.items()})
+                                  {c: (r["n"], r["min"], r["max"], r["sketch"]) for c, r in rows.items()})
     if mad:
-        away = {c: f"abs({number_sql(df, c)} - {double_sql(quarts[c][1])})" for c in columns if quarts[c][1] is not None}
-        reach = {c: (rows[c]["n"], 0.0, max(rows[c]["max"] - quarts[c][1], quarts[c][1] - rows[c]["min"])) for c in away}
-        mads = column_quantiles(df, away, (0.5,), reach)
+        mads = column_quantiles(df, {c: f"abs({number_sql(df, c)} - {double_sql(quarts[c][1])})"
+                                     for c in columns if quarts[c][1] is not None}, (0.5,))
     out = {}
     for c in columns:
         r = rows[c]

@@ -1,8 +1,11 @@
-"""The exploration dashboard as named tables over one binned projection."""
+"""The exploration dashboard as named tables over one binned table.
+
+Each section names the fields it needs and is left out where one is absent, so any table with a target has a dashboard.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
@@ -10,15 +13,71 @@ from peoplelens.functions.expr import col, is_target, to_number
 from peoplelens.operators import exploration as E
 from peoplelens.operators.association import association_scores
 from peoplelens.operators.features import bin_and_group
-from peoplelens.session import cut_lineage
+from peoplelens.session import staged
+
+RAW = ("age", "hours", "capital_gain")
 
 
 def binned_with_raw(df: DataFrame, fields: dict, rules: R.Rules) -> DataFrame:
-    """Binned table plus the raw numbers, sex and target flag the sections need, in one projection."""
-    raw = [to_number(df, fields[k]).alias(f"_{k}") for k in ("age", "hours", "capital_gain") if fields[k]]
-    flag = is_target(col(fields["income"])).alias("_high")
-    tagged = df.select("*", *raw, flag)
-    return bin_and_group(tagged, rules)
+    """Binned table plus the raw numbers and the target flag the sections need, in one projection."""
+    raw = [to_number(df, fields[k]).alias(f"_{k}") for k in RAW if fields[k]]
+    return bin_and_group(df.select("*", *raw, is_target(col(fields["income"])).alias("_high")), rules)
+
+
+def sections(b: DataFrame, columns: list[str], c: dict[str, Column], income: str) -> dict[str, tuple]:
+    """Section → (fields it needs, function that makes its table)."""
+    high = F.col("_high")
+    age, hours, gain = (F.col(f"_{k}") if k in c else None for k in RAW)
+    plain = b.select(*map(col, columns))
+    target = is_target(c["income"])
+
+    def pair(row, column, best=0):
+        """Cells of two fields, and the best and worst of them."""
+        return lambda: E.rate_cells(b, c[row], c[column], high), lambda: E.best_and_worst_cell(E.rate_cells(b, c[row], c[column], high), best)
+
+    relation, relation_ends = pair("relationship", "sex", R.MIN_CELL_ROWS)
+    marital, marital_ends = pair("marital", "sex", R.MIN_CELL_ROWS)
+    schooling, schooling_ends = pair("age", "education")
+    trade, trade_ends = pair("age", "occupation", R.MIN_CELL_ROWS)
+    return {
+        "kpi": ((), lambda: E.kpis(b, high, age, c.get("sex"), hours).drop("n_cols")),
+        "target_split": ((), lambda: E.target_split(b, high)),
+        "associations": ((), lambda: association_scores(plain, income)),
+        "feature_rates": ((), lambda: E.top_feature_rates(plain, income, target)),
+        "breakdown": ((), lambda: E.top_feature_breakdown(plain, income, target)),
+        "relationship_by_sex": (("relationship", "sex"), relation),
+        "relationship_by_sex_ends": (("relationship", "sex"), relation_ends),
+        "marital_by_sex": (("marital", "sex"), marital),
+        "marital_by_sex_ends": (("marital", "sex"), marital_ends),
+        "age_by_education": (("age", "education"), schooling),
+        "age_by_education_ends": (("age", "education"), schooling_ends),
+        "age_by_occupation": (("age", "occupation"), trade),
+        "age_by_occupation_ends": (("age", "occupation"), trade_ends),
+        "education_in_occupation": (("education", "occupation"), lambda: E.composition(b, c["occupation"], c["education"])),
+        "top_education_share": (("education", "occupation"), lambda: E.best_and_worst_share(
+            E.level_share(E.composition(b, c["occupation"], c["education"])))),
+        "occupation_by_hours": (("occupation", "hours"), lambda: E.hours_cells(b, c["occupation"], c["hours"], high)),
+        "occupation_by_hours_best": (("occupation", "hours"), lambda: E.best_cell(E.rate_cells(b, c["occupation"], c["hours"], high))),
+        "gain_by_target": (("capital_gain",), lambda: E.numeric_by_target(b, gain, high)),
+        "gain_prevalence": (("education", "occupation", "capital_gain"),
+                            lambda: E.prevalence_grid(b, c["education"], c["occupation"], high, gain)),
+        "gain_prevalence_peak": (("education", "occupation", "capital_gain"), lambda: E.prevalence_peak(
+            E.prevalence_grid(b, c["education"], c["occupation"], high, gain))),
+        "segments_by_marital": (("marital", "capital_gain"), lambda: E.segment_composition(b, c["marital"], high, gain)),
+        "segments_by_occupation": (("occupation", "capital_gain"), lambda: E.segment_composition(b, c["occupation"], high, gain)),
+        "segments_by_gender_and_occupation": (("occupation", "sex", "capital_gain"), lambda: E.segment_composition(
+            b, c["occupation"], high, gain, c["sex"])),
+        "dual_by_marital": (("marital", "capital_gain"), lambda: E.dual_rate_by(b, c["marital"], high, gain)),
+        "dual_by_marital_ends": (("marital", "capital_gain"), lambda: E.best_and_worst(E.dual_rate_by(b, c["marital"], high, gain))),
+        "dual_by_occupation": (("occupation", "capital_gain"), lambda: E.dual_rate_by(b, c["occupation"], high, gain)),
+        "dual_by_occupation_ends": (("occupation", "capital_gain"), lambda: E.best_and_worst(E.dual_rate_by(b, c["occupation"], high, gain))),
+        "target_by_gender": (("sex",), lambda: E.target_by_gender(b, c["sex"], high)),
+        "gender_by_occupation": (("occupation", "sex"), lambda: E.gender_rates(b, c["occupation"], c["sex"], high)),
+        "gender_gap": (("occupation", "sex"), lambda: E.gender_gap(E.gender_rates(b, c["occupation"], c["sex"], high))),
+        "dual_by_gender": (("sex", "capital_gain"), lambda: E.dual_rate_by_gender(b, c["sex"], high, gain)),
+        "archetype": ((), lambda: E.archetype(b, high, {k: c[k] for k in ("sex", "marital", "education", "occupation") if k in c}, age, hours, gain)),
+        "education_of_target": (("education", "occupation"), lambda: E.composition(b.where(high), c["occupation"], c["education"])),
+    }
 
 
 def dashboard(df: DataFrame, rules: R.Rules = R.Rules()) -> dict[str, DataFrame]:
@@ -26,42 +85,21 @@ def dashboard(df: DataFrame, rules: R.Rules = R.Rules()) -> dict[str, DataFrame]
     f = R.resolve_fields(df.columns)
     if f["income"] is None:
         raise ValueError("no target column found")
-    # Some twenty sections read the binned table: it is written once, with the columns they use.
-    b = cut_lineage(binned_with_raw(df, f, rules))
-    plain = b.select(*[col(c) for c in df.columns])
-    high = F.col("_high")
+    # Some thirty sections read the binned table: it is written once, and each reads the columns it needs.
+    b = staged(binned_with_raw(df, f, rules), "dashboard")
     c = {k: col(v) for k, v in f.items() if v}
-    out = {
-        "kpi": E.kpis(b.select(*[col(x) for x in df.columns], "_age", "_hours", "_high"), high, F.col("_age"), c["sex"], F.col("_hours"))
-        .drop("n_cols"),
-        "target_split": E.target_split(b, high),
-        "associations": association_scores(plain, f["income"]),
-        "breakdown": E.top_feature_breakdown(plain, f["income"], is_target(c["income"])),
-        "relationship_by_sex": E.rate_cells(b, c["relationship"], c["sex"], high),
-        "marital_by_sex": E.rate_cells(b, c["marital"], c["sex"], high),
-        "age_by_education": E.rate_grid(b, c["age"], c["education"], high),
-        "age_by_occupation": E.rate_cells(b, c["age"], c["occupation"], high),
-        "education_in_occupation": E.composition(b, c["occupation"], c["education"]),
-        "occupation_by_hours": E.hours_cells(b, c["occupation"], c["hours"], high),
-        "gain_by_target": E.numeric_by_target(b, F.col("_capital_gain"), high),
-        "gain_prevalence": E.prevalence_grid(b, c["education"], c["occupation"], high, F.col("_capital_gain")),
-        "segments_by_marital": E.segment_composition(b, c["marital"], high, F.col("_capital_gain")),
-        "segments_by_occupation": E.segment_composition(b, c["occupation"], high, F.col("_capital_gain")),
-        "dual_by_occupation": E.dual_rate_by(b, c["occupation"], high, F.col("_capital_gain")),
-        "target_by_gender": E.target_by_gender(b, c["sex"], high),
-        "gender_by_occupation": E.gender_rates(b, c["occupation"], c["sex"], high),
-        "dual_by_gender": E.dual_rate_by_gender(b, c["sex"], high, F.col("_capital_gain")),
-        "archetype": E.archetype(b, high, {k: c[k] for k in ("sex", "marital", "education", "occupation")},
-                                 F.col("_age"), F.col("_hours"), F.col("_capital_gain")),
-        "education_of_target": E.composition(b.where(high), c["occupation"], c["education"]),
-    }
-    return out
+    return {name: make() for name, (needed, make) in sections(b, df.columns, c, f["income"]).items() if all(k in c for k in needed)}
 
 
-def dashboard_long(df: DataFrame, rules: R.Rules = R.Rules()) -> DataFrame:
-    """Every section as rows of JSON under its name."""
+def dashboard_long(df: DataFrame, rules: R.Rules = R.Rules(), digits: int = 6) -> DataFrame:
+    """Every section as (section, key, value): the text cells of a row, in column order, name it; each number is a row of its own."""
     out = None
     for name, table in dashboard(df, rules).items():
-        part = table.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("row"))
+        words = [x for x, kind in table.dtypes if kind in ("string", "boolean")]
+        numbers = [x for x, _ in table.dtypes if x not in words]
+        key = F.concat_ws("|", *[F.coalesce(col(w).cast("string"), F.lit("")) for w in words]) if words else F.lit("")
+        cells = F.array(*[F.struct(F.lit(x).alias("measure"), (F.round(col(x).cast("double"), digits) + 0.0).alias("value")) for x in numbers]) \
+            if numbers else F.array(F.struct(F.lit("row").alias("measure"), F.lit(1.0).alias("value")))
+        part = table.select(F.lit(name).alias("section"), key.alias("key"), F.inline(cells))
         out = part if out is None else out.unionByName(part)
     return out

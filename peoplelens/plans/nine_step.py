@@ -1,7 +1,7 @@
 """The nine cleaning and feature steps as one plan.
 
-Every step is fitted on the output of the step before. The lineage is cut after the duplicates are gone and after
-the outliers are capped, so that later fits read a written table instead of repeating the shuffles before it.
+Every step is fitted on the output of the step before. The table is written after the duplicates are gone and after
+the outliers are capped, so that later fits read its columns from Parquet instead of repeating the shuffles before it.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from peoplelens.functions.expr import is_noise, numeric_columns
 from peoplelens.functions.frames import small_frame
 from peoplelens.operators import cleaning as C
 from peoplelens.operators import features as X
-from peoplelens.operators.audit import duplicate_count, missing_total
+from peoplelens.operators.audit import duplicate_count
 from peoplelens.operators.frequency import text_frequency
 from peoplelens.operators.outliers import outlier_counts, treat_auto
-from peoplelens.session import cut_lineage
+from peoplelens.session import staged
 
 
 @dataclass
@@ -31,10 +31,6 @@ class Outcome:
     scaling: dict = field(default_factory=dict)
 
 
-def _missing(df: DataFrame) -> int:
-    return missing_total(df).first()["missing"]
-
-
 def _noise(df: DataFrame, rules: R.Rules) -> int:
     return text_frequency(df).agg(F.coalesce(F.sum(F.when(
         is_noise(F.col("value"), rules.noise_tokens), F.col("n"))), F.lit(0)).alias("n")).first()["n"]
@@ -42,21 +38,20 @@ def _noise(df: DataFrame, rules: R.Rules) -> int:
 
 def clean(df: DataFrame, rules: R.Rules = R.Rules()) -> tuple[DataFrame, list, dict]:
     """Steps 1 to 5 → cleaned table, before/after figures, counts."""
-    before_missing = _missing(df)
     before = duplicate_count(df).first()
     typed = C.standardize(df, rules)
     noise = _noise(typed, rules)
     quiet = C.clean_noise(typed, "replace_nan", rules=rules)
-    unique = cut_lineage(C.drop_duplicates(quiet))
+    unique = staged(C.drop_duplicates(quiet), "unique")
     rows_left = unique.count()
     full = C.impute(unique)
     found = outlier_counts(full, rules=rules)
-    cleaned = cut_lineage(treat_auto(full, rules=rules, found=found))
+    cleaned = staged(treat_auto(full, rules=rules, found=found), "cleaned")
     after = duplicate_count(cleaned).first()
     again = outlier_counts(cleaned, rules=rules)
     outliers = sum(r["real"] for r in found.values())
     comparison = [
-        ("Missing Values", before_missing + noise, _missing(cleaned), None),
+        ("Missing Values", before["missing"] + noise, after["missing"], None),
         ("Noise Values", noise, _noise(cleaned, rules), None),
         ("Duplicate Rows", before["duplicates"], after["duplicates"], None),
         # Capped values sit on their fence, so none is left by the fitted limits; a fresh fit is shown beside it.
@@ -75,7 +70,7 @@ def engineer(cleaned: DataFrame, rules: R.Rules = R.Rules(), skip_binned: bool =
     binned = X.bin_and_group(logged, rules)
     plan = X.plan_encoding(binned, rules)
     order = {c: list(rules.bin_rule(c)[1]) for c in binned_names} if rule_order else None
-    encoded = cut_lineage(X.encode(binned, plan, binned=binned_names, order=order))
+    encoded = staged(X.encode(binned, plan, binned=binned_names, order=order), "encoded")
     # One-hot columns hold two values by construction and are never scaled.
     scaling = X.plan_scaling(encoded, [c for c in numeric_columns(encoded) if c in binned.columns])
     counts = {

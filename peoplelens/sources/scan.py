@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import col, text_columns
+from peoplelens.functions.expr import col, present, text_columns
 from peoplelens.operators.audit import schema_findings
 
 
@@ -53,12 +53,12 @@ def gate(df: DataFrame, rules: R.Rules = R.Rules()) -> tuple[DataFrame, list]:
     return df, found["mismatches"]
 
 
-def gate_report(df: DataFrame, rules: R.Rules = R.Rules()) -> DataFrame:
-    """Verdict of the gate with the number of records accepted or held back."""
-    found = schema_findings(df, rules)
-    blocked = bool(found["missing"] or found["extra"])
-    verdict = "blocked" if blocked else "accepted with warnings" if found["mismatches"] else "accepted"
-    return df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(verdict).alias("verdict"), "records")
+def split_rows(df: DataFrame, required) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): rows with a value in all required columns, and the others."""
+    filled = F.lit(True)
+    for c in required:
+        filled = filled & present(col(c), df.schema[c].dataType)
+    return df.where(filled), df.where(~filled)
 
 
 def preview(df: DataFrame, order, rows: int = 10) -> DataFrame:

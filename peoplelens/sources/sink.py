@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+from peoplelens.session import names_in
 
 
 def free_path(spark: SparkSession, folder: str, stem: str, suffix: str) -> str:
-    """``<stem>_<suffix>``, then ``<stem>_<suffix>_1`` and so on, whichever is not taken yet."""
-    base = f"{folder.rstrip('/')}/{stem}_{suffix}"
-    path, i = base, 0
-    while path_exists(spark, path):
+    """``<stem>_<suffix>``, then ``<stem>_<suffix>_1`` and so on, whichever the folder does not hold yet."""
+    taken = names_in(spark, folder)
+    name, i = f"{stem}_{suffix}", 0
+    while (name if not i else f"{name}_{i}") in taken:
         i += 1
-        path = f"{base}_{i}"
-    return path
+    return f"{folder.rstrip('/')}/{name if not i else f'{name}_{i}'}"
 
 
 def write_versioned(df: DataFrame, folder: str, stem: str, suffix: str = "cleaned", fmt: str = "parquet") -> str:
