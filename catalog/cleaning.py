@@ -214,3 +214,15 @@ def c20(spark, sf):
 def c20_unknown(spark, sf):
     return O.treat(people(spark, sf).select("hours_per_week", "age"), "something_else", ["age", "hours_per_week"])
 
+
+OUTER = "' ' || " + " || ".join(f"chr({i})" for i in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160))
+
+
+@query("c1_trim_text_conversations", f"SELECT conv_id, turn, trim(role, {OUTER}) AS role, trim(text, {OUTER}) AS text FROM conversations")
+def c1_conversations(spark, sf):
+    return C.trim_text(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("c9_drop_duplicates_documents", "SELECT DISTINCT text, lang, source FROM documents")
+def c9_documents(spark, sf):
+    return C.drop_duplicates(table(spark, sf, "documents").select("text", "lang", "source"))

@@ -255,3 +255,14 @@ def a21(spark, sf):
     return S.scatter_sample(people(spark, sf), "age", "hours_per_week", "income")
 
 
+@query("a7_value_frequency_documents", f"""WITH c AS (SELECT text AS value, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS total FROM c)
+  SELECT value, n, {pct('n', 'total')} AS pct, CAST(n AS DOUBLE) / total * 100 <= 1.0 AS rare FROM c, t""")
+def a7_documents(spark, sf):
+    return rounded(V.value_counts(table(spark, sf, "documents"), "text"))
+
+
+@query("a15_duplicate_summary_documents", f"""WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text, lang) SELECT {big('sum(n)')} AS total_rows,
+  count(*) FILTER (n > 1) AS duplicate_groups, {big('coalesce(sum(n) FILTER (n > 1), 0)')} AS duplicate_instances,
+  {big('sum(n - 1)')} AS redundant_rows, {pct('sum(n - 1)', 'sum(n)')} AS redundant_pct, count(*) AS rows_after FROM g""")
+def a15_documents(spark, sf):
+    return rounded(C.duplicate_summary(table(spark, sf, "documents").select("text", "lang")))
