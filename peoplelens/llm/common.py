@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shared folder taken where ``spark.checkpoint.dir`` is unset, as in tests.
-DEFAULT_SHARED = "/tmp/checkpoints"
-_RUNS: dict[str, str] = {}
+from peoplelens.session import delete, names_in, new_folder, staged
+
+__all__ = ["delete", "names_in", "new_folder", "remainder", "row_key", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``; it is deleted when the driver's Python ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _RUNS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        _RUNS[app] = f"{(base or DEFAULT_SHARED).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        atexit.register(_forget, spark, _RUNS[app])
-    return _RUNS[app]
-
-
-def _forget(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete(spark, folder)
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

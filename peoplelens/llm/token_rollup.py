@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peoplelens.llm.common import exists, staged
+from peoplelens.llm.common import names_in, staged
 
 GROUP = ("source", "lang", "version")
 CHANGE = "op string, seq long, doc_id long, version string, source string, lang string, tokens long"
@@ -43,12 +43,10 @@ class Rollup:
         return f"{self.folder}/{kind}/{batch}"
 
     def is_committed(self, batch: str) -> bool:
-        return exists(self.spark, f"{self._at('commits', batch)}/_SUCCESS")
+        return "_SUCCESS" in names_in(self.spark, self._at("commits", batch))
 
     def batches(self) -> list[str]:
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        names = names_in(self.spark, f"{self.folder}/commits")
         return sorted(n for n in names if self.is_committed(n))
 
     def _read(self, kind: str, schema: str) -> DataFrame:

@@ -112,7 +112,7 @@ def totals(store):
 def test_rollup_follows_a_dictionary(spark):
     rng = random.Random(2)
     store, state = token_rollup.Rollup(spark, new_folder(spark, "test")), {}
-    for batch in range(6):
+    for batch in range(3):
         rows, last = [], {}
         for seq in range(60):
             doc = rng.randrange(40)
