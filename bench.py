@@ -22,7 +22,7 @@ HEADLINE = (
     "q7_consistency_report q14_modified_zscore_outliers q17_data_summary q18_health_score c2_canonical_casing c9_drop_duplicates "
     "c11_impute c13_outlier_preview f3_yeo_johnson_fit f7_binning_on_the_fly f10_label_encoding f11_one_hot f14_robust_scaling "
     "e1_cramers_v e4_association_ranking e7_target_rate_by_segment e10_rate_cross_tab e22_segments_by_occupation e25_archetype "
-    "n1_insight_record"
+    "n1_insight_record q22_full_audit f15_nine_steps_encoded f16_before_after_table e28_dashboard"
 ).split()
 
 

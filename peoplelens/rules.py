@@ -187,6 +187,10 @@ class Rules:
             return None
         return {member: group for group, members in groups.items() for member in members}
 
+    def group_labels(self, column: str) -> tuple:
+        """Group names of a column in the order of its rule."""
+        return tuple({k.lower(): v for k, v in self.groups.items()}.get(column.lower(), ()))
+
     def expected_type(self, column: str):
         types = {name.strip().lower(): kind.lower() for name, kind, _ in self.expected}
         return types.get(column.strip().lower())

@@ -1,22 +1,14 @@
-"""Spark session set-up, size bounds and lineage cuts."""
+"""Spark session set-up and intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows that are ever turned into literals inside a plan.
-MAX_LITERALS = 200
-#: Most rows of a lookup table that are broadcast. Larger ones are joined by shuffle.
-MAX_BROADCAST_ROWS = 100_000
-#: Most distinct values whose exact percentile is taken by one aggregate state.
-#: Above it the rank search over a range-partitioned frequency table takes over.
-MAX_PERCENTILE_STATE = 1_000_000
-#: Most rows of all open intervals together that the last step of a quantile search sorts.
-MAX_LEAF_ROWS = 200_000
-#: Most labels that may become columns (one-hot, grids). More raises an error.
-MAX_LABEL_COLUMNS = 1_000
+#: Shared folder taken where ``spark.checkpoint.dir`` is unset and Spark runs in local mode, as in tests.
+LOCAL_SCRATCH = "/tmp/checkpoints"
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +21,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+_RUN_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "peoplelens", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators expect; ``conf`` keys use ``_`` for ``.``."""
@@ -43,25 +37,49 @@ def build_session(app: str = "peoplelens", master: str | None = None, **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+    """Folder of this application below the cluster's ``spark.checkpoint.dir``; deleted when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUN_FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            base = LOCAL_SCRATCH
+        _RUN_FOLDERS[app] = f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, _RUN_FOLDERS[app])
+    return _RUN_FOLDERS[app]
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        delete(spark, folder)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> set[str]:
+    """Names in a folder, from one listing; none if it does not exist."""
+    path, files = _file_system(spark, folder)
+    return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back.
 
-    A temporary folder is used only where that setting is absent and Spark runs in local mode.
+    Lineage ends here, lost executors cost nothing, and later readers prune columns and push filters down.
     """
-    directory = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if directory:
-        return directory
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    directory = tempfile.mkdtemp(prefix="peoplelens-")
-    spark.conf.set("spark.checkpoint.dir", directory)
-    return directory
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so later passes neither recompute the plan nor depend on executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -9,14 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peoplelens.functions import frames
 from peoplelens.functions import quantiles as Q
-from peoplelens.operators import audit, cleaning as C, exploration as E, features as T, outliers as O
+from peoplelens.operators import association as A, audit, cleaning as C, exploration as E, features as T, frequency as V, insights as N, outliers as O
 from peoplelens.operators.profile import correlations, fit_profiles, histogram
 from peoplelens.plans import dashboard, nine_step
 from peoplelens.rules import Rules
 from peoplelens.sources import scan, sink
-from peoplelens.streaming import apply_fitted
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -31,26 +29,61 @@ def samples():
     }
 
 
-@pytest.mark.parametrize("leaf_rows,passes", [(10**9, 8), (50, 12), (0, 2)])
-def test_column_quantiles_against_numpy(spark, leaf_rows, passes):
+@pytest.mark.parametrize("accuracy", [10_000, 200])
+def test_column_quantiles_against_numpy(spark, monkeypatch, accuracy):
+    """With the coarse sketch the brackets of 4000 rows are real ones; with the fine one all rows are ranked."""
+    monkeypatch.setattr(Q, "ACCURACY", accuracy)
+    monkeypatch.setattr(Q, "GRID", min(Q.GRID, accuracy // 10))
     data = samples()
     df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"{c} double" for c in data)).repartition(4)
-    got = Q.column_quantiles(df, {c: c for c in data}, PROBS, leaf_rows=leaf_rows, buckets=16, passes=passes)
+    got = Q.column_quantiles(df, {c: c for c in data}, PROBS)
     for c, values in data.items():
         np.testing.assert_allclose(got[c], np.percentile(values, [p * 100 for p in PROBS]), rtol=1e-12)
 
 
+def jobs_of(spark, run):
+    tracker, group = spark.sparkContext.statusTracker(), f"g{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_profiles_take_few_jobs_whatever_the_shape(spark):
+    rng = np.random.default_rng(4)
+    values = np.exp(rng.normal(0, 3, 30_000))
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    # Three scans each for quartiles and MAD; an adaptive plan runs every shuffle as a job of its own.
+    assert jobs_of(spark, lambda: fit_profiles(df)) <= 16
+    p = fit_profiles(df)["x"]
+    np.testing.assert_allclose([p.q1, p.median, p.q3], np.percentile(values, [25, 50, 75]))
+    assert p.mad == pytest.approx(np.median(np.abs(values - np.median(values))))
+
+
+def scans(df):
+    """Scans of files or rows in the plan that Spark runs, a reused exchange counting once."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_scan_counts(spark, folk):
+    assert scans(audit.dataset_metrics(folk)) == 1
+    assert scans(audit.integrity(folk)) == 1
+    assert scans(V.hierarchy(folk, ["sex", "race", "education"])) == 1
+    assert scans(A.cramers_v(folk, F.col("education"), F.col("occupation"))) == 1
+    assert scans(N.dataset_context(folk)) == 1
+    assert scans(N.insight_record(folk)) <= 3
+
+
 def test_quantiles_of_infinite_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (float("inf"), None), (2.0, None)], "a double, b double")
     got = Q.column_quantiles(df, {"a": "a", "b": "b"}, (0.0, 0.5))
     assert got == {"a": [1.0, 2.0], "b": [None, None]}
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_grouped_quantiles_with_a_hot_group(spark, limit):
+def test_grouped_quantiles_with_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if i % 3 else f"g{i % 4}", rng.choice([rng.random(), 0.5])) for i in range(3000)]
-    got = Q.grouped_quantiles(spark.createDataFrame(rows, "key string, value double"), (0.25, 0.5, 0.9), limit=limit)
+    got = Q.grouped_quantiles(spark.createDataFrame(rows, "key string, value double"), (0.25, 0.5, 0.9))
     for r in got.collect():
         np.testing.assert_allclose(r["quantiles"], np.percentile([v for k, v in rows if k == r["key"]], [25, 50, 90]))
 
@@ -92,18 +125,92 @@ def test_label_codes_beyond_literals(spark):
     assert got == {**{v: i for i, v in enumerate(values)}, None: None}
 
 
-def test_one_hot_refuses_too_many_values(spark):
-    with pytest.raises(ValueError):
-        T.one_hot(spark.range(1500).select(F.col("id").cast("string").alias("v")), ["v"])
+@pytest.mark.parametrize("n", [300, 1200])
+def test_explicit_orders_of_any_length(spark, n):
+    values = [f"v{i:04d}" for i in range(n)]
+    df = spark.createDataFrame([(v, v) for v in values] + [(None, None)], "k string, v string")
+    got = {r["k"]: r["v"] for r in T.label_encode(df, ["v"], {"v": values[::-1]}).collect()}
+    assert got == {**{v: n - 1 - i for i, v in enumerate(values)}, None: None}
+
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_one_hot_of_many_values(spark, n):
+    df = spark.range(n).select(F.col("id").cast("string").alias("v"))
+    hot = T.one_hot(df, ["v"])
+    assert len(hot.columns) == n - 1
+    assert T.one_hot_long(df.withColumn("k", F.col("v")), "k", ["v"]).select(F.sum("level")).first()[0] == n * (n - 1) // 2
 
-@pytest.mark.parametrize("literals,broadcast", [(200, 10**5), (1, 10**5), (1, 1)])
-def test_replacements_by_literal_broadcast_and_shuffle(spark, monkeypatch, literals, broadcast):
-    monkeypatch.setattr(frames, "MAX_LITERALS", literals)
-    monkeypatch.setattr(frames, "MAX_BROADCAST_ROWS", broadcast)
-    rows = ["Male"] * 50 + ["MALE"] * 3 + ["male"] * 2 + ["x", "X", "X"] + [None]
+
+def test_one_hot_names_never_clash(spark, tmp_path):
+    df = spark.createDataFrame([("A", "c"), ("a", "b_c"), ("b", "x"), (None, "x")], "a string, a_b string")
+    hot = T.one_hot(df, ["a", "a_b"])
+    assert len({c.lower() for c in hot.columns}) == len(hot.columns) == 4
+    hot.write.parquet(str(tmp_path / "hot"))
+    assert hot.select(*[F.col(f"`{c}`") for c in hot.columns]).count() == 4
+    twice = T.one_hot(spark.createDataFrame([("x", 1), ("Private", 2), ("private", 3)], "w string, w_private int"), ["w"])
+    assert twice.columns == ["w_private", "w_private_2", "w_x"]
+
+
+def test_replacements_with_null_and_hot_values(spark):
+    rows = ["Male"] * 50 + ["MALE"] * 3 + ["male"] * 2 + ["x", "X", "X"] + [None] * 60
     got = C.unify_casing(spark.createDataFrame([(v, v) for v in rows], "a string, b string")).collect()
-    assert sorted((r["a"] or "-") for r in got) == sorted(["Male"] * 55 + ["X"] * 3 + ["-"])
+    assert sorted((r["a"] or "-") for r in got) == sorted(["Male"] * 55 + ["X"] * 3 + ["-"] * 60)
+
+
+def test_long_identifiers_stay_apart(spark):
+    df = spark.createDataFrame([(2 ** 53,), (2 ** 53 + 1,), (2 ** 53 + 2,)], "id bigint")
+    row = V.dominance(df).first()
+    assert row["distinct_values"] == 3 and row["dominant_pct"] == pytest.approx(100 / 3)
+    assert V.low_variance(df).isEmpty()
+
+
+def test_low_variance_by_the_median(spark):
+    rng = random.Random(1)
+    rows = [(0.0 if i % 10 < 8 else rng.random(), 7 if i % 10 < 7 else i, None) for i in range(1000)]
+    got = V.low_variance(spark.createDataFrame(rows, "a double, b int, c double")).collect()
+    assert [(r["column"], r["dominant_value"], r["dominant_pct"], r["distinct_values"]) for r in got] == [("a", 0.0, 80.0, 201)]
+    with pytest.raises(ValueError):
+        V.low_variance(spark.createDataFrame(rows, "a double, b int, c double"), threshold=0.4)
+
+
+def test_distinct_counts_ignore_nan_in_both_modes(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (1.0,)], "x double")
+    assert audit.distinct_counts(df).first()["distinct_values"] == audit.distinct_counts(df, exact=False).first()["distinct_values"] == 1
+
+
+def test_yeo_johnson_without_spread(spark):
+    df = spark.createDataFrame([(0.0, -5.0, None)] * 4, "a double, b double, c double")
+    assert T.fit_yeo_johnson(df, ["a", "b", "c"]) == {"a": None, "b": None, "c": None}
+    assert T.log_transform(df, {"b": T.YEO_JOHNSON}).first()["b"] == -5.0
+
+
+def test_associations_of_nothing(spark):
+    lone = spark.createDataFrame([(">50K",), ("<=50K",)] * 20, "income string")
+    assert A.association_scores(lone, "income").isEmpty()
+    assert E.top_feature_breakdown(lone, "income", F.col("income") == ">50K").isEmpty()
+    # Ten values of its own make a column worth ranking, even where few of them have a target.
+    rows = [("a" if i % 2 else "b", (">50K" if i % 2 else "<=50K") if i < 6 else None) for i in range(12)]
+    assert A.association_scores(spark.createDataFrame(rows, "x string, income string"), "income").count() == 1
+
+
+def test_archetype_strips_sex(spark):
+    df = spark.createDataFrame([(" Male",), ("Male ",), ("Male",), ("Female",), ("Female",)], "sex string")
+    got = E.archetype(df, F.lit(True), {"sex": F.col("sex")}).first()
+    assert (got["label"], got["value"]) == ("Male", 60.0)
+
+
+def test_grids_of_many_labels(spark):
+    df = spark.range(1200).select(F.col("id").cast("string").alias("r"), (F.col("id") % 1100).cast("string").alias("c"), (F.col("id") % 2 == 0).alias("t"))
+    assert E.rate_grid(df, F.col("r"), F.col("c"), F.col("t")).count() == 1200
+    assert V.grouped_counts(df, "r", "c").count() == 1200
+
+
+def test_source_bytes(spark, folk, tmp_path):
+    folder = tmp_path / "x"
+    folk.repartition(3).write.parquet(str(folder))
+    row = audit.source_bytes(spark.read.parquet(str(folder))).first()
+    files = list(folder.glob("*.parquet"))
+    assert (row["files"], row["bytes"]) == (len(files), sum(f.stat().st_size for f in files))
 
 
 def test_capping_is_idempotent_and_respects_zones(spark):
@@ -191,9 +298,12 @@ def test_rule_order_gives_ordinal_codes(spark, folk):
         assert {e.column: e.encoding for e in plan}["age"] == T.LABEL
 
 
+FIELDS = ["age", "workclass", "education", "marital_status", "occupation", "relationship", "sex", "capital_gain", "hours_per_week"]
+
+
 def test_dashboard_sections(folk):
     tables = dashboard.dashboard(folk)
-    assert len(tables) == 20
+    assert len(tables) == 33
     total = folk.count()
     assert tables["target_split"].first()["total"] == total
     assert tables["marital_by_sex"].agg(F.sum("n")).first()[0] == total
@@ -201,14 +311,31 @@ def test_dashboard_sections(folk):
         dashboard.dashboard(folk.drop("income"))
 
 
-def test_fitted_transforms_run_on_a_stream(spark, folk, tmp_path):
-    folder = str(tmp_path / "in")
-    folk.select("age", "workclass").write.parquet(folder)
-    values = C.fit_fill_values(folk.select("age", "workclass"))
-    stream = spark.readStream.schema(folk.select("age", "workclass").schema).parquet(folder)
-    out = apply_fitted(stream, C.trim_text, lambda d: C.impute(d, values), lambda d: T.bin_and_group(d, Rules()))
-    run = out.writeStream.format("memory").queryName("filled").trigger(availableNow=True) \
-        .option("checkpointLocation", str(tmp_path / "ck")).start()
-    run.awaitTermination(60)
-    got = spark.table("filled")
-    assert got.count() == folk.count() and got.where("workclass IS NULL").count() == 0
+@pytest.mark.parametrize("field", FIELDS)
+def test_dashboard_without_a_field(folk, field):
+    tables = dashboard.dashboard(folk.drop(field))
+    assert "target_split" in tables and len(tables) <= 33
+    assert all(t.columns for t in tables.values())
+    assert tables["kpi"].count() == 1 and tables["archetype"].count() >= 1
+
+
+def test_dashboard_of_a_target_alone(spark):
+    lone = spark.createDataFrame([(">50K", 1), ("<=50K", 2)] * 20, "income string, other int")
+    assert set(dashboard.dashboard(lone)) == {"kpi", "target_split", "associations", "feature_rates", "breakdown", "archetype"}
+    assert dashboard.dashboard_long(lone).where("section = 'target_split' AND measure = 'pct_high'").first()["value"] == 50.0
+
+
+def test_rules_without_data(folk):
+    from peoplelens.functions.expr import numeric_columns, text_columns
+    from peoplelens.rules import resolve_fields
+
+    assert resolve_fields(folk.columns)["hours"] == "hours_per_week"
+    assert (len(text_columns(folk)), len(numeric_columns(folk))) == (13, 6)
+    found = audit.schema_validation(folk).first()
+    assert found["status"] == "fail" and sorted(found["extra_columns"]) == ["badge_no", "body_weight", "joined_date", "team"]
+
+
+def test_rejected_rows_are_kept_apart(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (None, 3.0), (4, float("nan"))], "k int, x double")
+    good, bad = scan.split_rows(df, ["k", "x"])
+    assert good.count() == 1 and bad.count() == 3
