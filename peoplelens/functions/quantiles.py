@@ -1,8 +1,8 @@
 """Exact quantiles (linear interpolation) at any number of rows, distinct values and groups.
 
 Columns: Spark's percentile sketch brackets every wanted rank (its rank error is known), a second sketch of the values inside each bracket
-narrows it by another factor of some hundreds, and the few values left are ranked: three scans (``column_quantiles``). What is ranked is about a
-millionth of the rows.
+narrows it by another factor of fifty, and the few values left are ranked: three scans (``column_quantiles``). What is ranked is about one in
+25 000 rows.
 
 Groups: distinct values are range-partitioned with their counts, partitions are counted, and a value's rank is its place in its partition plus
 the partitions before it. No task ever holds all values of a key (``grouped_quantiles``).
@@ -21,9 +21,9 @@ from peoplelens.functions.frames import per_column
 from peoplelens.session import staged
 
 #: Accuracy of the sketch: a rank is met up to 1 / ACCURACY of the rows.
-ACCURACY = 10_000
+ACCURACY = 2_000
 #: Steps of the second sketch, each some errors of the sketch wide.
-GRID = 1_000
+GRID = 200
 
 
 def _ranked(freq: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ def casing_map(df: DataFrame, columns=None) -> DataFrame:
 
 def unify_casing(df: DataFrame, columns=None) -> DataFrame:
     """Replace every casing variant by the most frequent one."""
-    columns = text_columns(df) if columns is None else columns
-    return apply_replacements(df, staged(casing_map(df, columns), "casing"), columns)
+    mapping = staged(casing_map(df, columns), "casing")
+    affected = {r["column"] for r in mapping.select("column").distinct().collect()}
+    return apply_replacements(df, mapping, [c for c in df.columns if c in affected])
 
 
 def text_issue_preview(df: DataFrame, columns=None) -> DataFrame:

@@ -29,7 +29,7 @@ def samples():
     }
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 200])
+@pytest.mark.parametrize("accuracy", [2_000, 200])
 def test_column_quantiles_against_numpy(spark, monkeypatch, accuracy):
     """With the coarse sketch the brackets of 4000 rows are real ones; with the fine one all rows are ranked."""
     monkeypatch.setattr(Q, "ACCURACY", accuracy)
