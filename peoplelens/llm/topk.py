@@ -10,7 +10,7 @@ Queries travel to partitions of candidates, in blocks, and only to those they ca
 about ``GROUP`` vectors. A pair of blocks returns at most k rows per query, so what is ranked at the end is small.
 
 Defined cases: NULL vectors, empty ones and those with NULL or non-finite components take no part. Vectors are compared only with those
-of their own dimension. A whole row that is repeated counts once. A query that has fewer than k candidates gets them all. Components
+of their own dimension. A whole row that is repeated counts once, and so does an id that has one score by several vectors. A query that has fewer than k candidates gets them all. Components
 of 2^31 / scale or more raise an error, and so does a score that does not fit a long.
 """
 
@@ -141,6 +141,7 @@ def block_scores(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.n
     rest = np.linalg.norm(qf[:, d:], axis=1)[:, None] * np.linalg.norm(xf[:longest, d:], axis=1)[None, :]
     maybe = partial + rest + slack[:, None] >= bounds[:, None]
     out = []
+    repeated = len(np.unique(ids)) < len(ids)
     for i in range(len(q)):
         at = np.flatnonzero(maybe[i, :reach[i]])
         at = at[ids[at] != q_ids[i]]
@@ -149,6 +150,9 @@ def block_scores(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.n
         scores = _exact(q[i], x[at])
         enough = scores >= bounds[i]
         at, scores = at[enough], scores[enough]
+        if repeated:  # one id with one score is one result, and counts once towards the k-th best
+            once = np.unique(np.stack((ids[at], scores)), axis=1, return_index=True)[1]
+            at, scores = at[once], scores[once]
         best = _best(ids[at], scores, k)
         if len(best) == k:
             bounds[i] = max(bounds[i], float(scores[best[-1]]))
@@ -160,7 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
           embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other rows for each row that ``is_query`` (over ``vec_id``) selects."""
     spark = vectors.sparkSession
-    numbers = staged(whole_numbers(vectors, vec_id, embedding, scale), "numbers")
+    numbers = staged(whole_numbers(vectors, vec_id, embedding, scale).distinct(), "numbers")
     total = numbers.count()
     turns = _rotation(numbers)
     parallel = spark.sparkContext.defaultParallelism

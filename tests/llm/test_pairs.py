@@ -137,3 +137,21 @@ def test_top_k_ties_hot_vectors_and_odd_rows(spark, monkeypatch):
 def test_large_components_stay_exact(spark):
     rows = [(i, [1_000_000.0 - i, -999_999.5, 999_998.25]) for i in range(30)] + [(100, [1_000_000.0, 500_000.0, 1.0])]
     check_top(spark, rows)
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Every row twice, the longest rows 20 times, and ids with two vectors of equal score: ten different results each."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [*rng.normal(size=7).tolist(), 0.0]) for i in range(300)] * 2
+    rows += [(i, [*(9 * rng.normal(size=7)).tolist(), 0.0]) for i in range(301, 304) for _ in range(2)]
+    rows += [(310, [20.0] * 7 + [0.0])] * 20 + [(311 + i // 2, [9.0 + i // 2] * 7 + [float(i)]) for i in range(8)]
+    whole = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows}
+    want = {}
+    for q in (0, 100, 200):
+        found = {(-sum(a * b for a, b in zip(qv, v)), i) for p, qv in whole if p == q for i, v in whole if i != q}
+        want[q] = [(i, -s) for s, i in sorted(found)[:10]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(table, F.col("vec_id").isin(0, 100, 200)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
