@@ -1,12 +1,12 @@
-"""Registered queries of the ten operators, and the SQL that two of them are checked against."""
+"""Registered queries of the operators, and the SQL that some of them are checked against."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.llm import (decontaminate, html_text, language, line_dedup, packing, pseudonyms, quality, simhash, token_rollup,
-                            topk)
+from peoplelens.llm import (decontaminate, html_text, language, line_dedup, packing, pseudonyms, quality, secret_scan, simhash,
+                            token_rollup, topk)
 from peoplelens.llm.common import new_folder, remainder, staged, table
 
 #: Key of the registered query only; a real run brings its own secret.
@@ -83,8 +83,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is an owner and each document a repository of it."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.col("doc_id"))
+    return found.select("doc_id", *[c.alias(name) for name, c in secret_scan.digest().items()])
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing)}
+    op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing,
+    op13_secrets)}
 #: Whole numbers as lists of doubles keep every product and sum exact.
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
@@ -136,4 +143,39 @@ SELECT doc_id, source, CASE WHEN changed THEN array_to_string(kept, chr(10)) ELS
   CAST(CASE WHEN changed THEN len(lines) - len(kept) ELSE 0 END AS INTEGER) AS lines_dropped FROM done
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_decontaminate": _op8_sql(), "op9_line_dedup": OP9_SQL}
+def _op13_sql() -> str:
+    """Positions from the lengths of the pieces between matches; owners and repositories of each value counted over all documents."""
+    kinds = dict(zip(secret_scan.KINDS, (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.OPAQUE, secret_scan.DSN)))
+    group = {"assign": 2, "dsn": 1}
+    holds = {"assign": "length(v) >= 8", "dsn": "length(v) >= 8",
+             "opaque": "regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"}
+    found = []
+    for at, (kind, pattern) in enumerate(kinds.items()):
+        p = "'" + pattern.replace("'", "''") + "'"
+        value = f"regexp_extract(m, {p}, {group[kind]})" if kind in group else "m"
+        found.append(f"""
+SELECT id, source, doc_id, {at} AS kind, '{kind}' AS name, s, s + length(m) AS e, m, {value} AS v FROM (
+  SELECT id, source, doc_id, ms[i] AS m, CAST(list_sum([length(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT id, source, doc_id, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS pieces FROM docs) WHERE len(ms) > 0))
+WHERE {holds.get(kind, 'true')}""")
+    every = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in found)
+    told = "name || ':' || s || ':' || e"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({every}),
+candidates AS (SELECT * FROM found AS x WHERE kind < 3 OR NOT EXISTS (
+  SELECT 1 FROM found AS y WHERE y.id = x.id AND y.kind < 3 AND x.s < y.e AND y.s < x.e)),
+held AS (SELECT v, count(*) AS repositories, count(DISTINCT coalesce(source, '?')) AS owners
+         FROM (SELECT DISTINCT v, source, doc_id FROM candidates) GROUP BY v),
+spans AS (SELECT *, owners > {secret_scan.MAX_OWNERS} OR repositories > {secret_scan.MAX_REPOSITORIES} AS copied FROM candidates JOIN held USING (v)),
+digests AS (SELECT id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+  coalesce(string_agg({told}, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base, string_agg({told}, ',' ORDER BY s, kind) AS spans,
+  count(*) FILTER (NOT copied) AS live, count(*) FILTER (copied) AS n_copied FROM spans WHERE kind < 3 OR NOT copied GROUP BY id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN digests USING (id)
+"""
+
+
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_decontaminate": _op8_sql(), "op9_line_dedup": OP9_SQL,
+                           "op13_secrets": _op13_sql()}
