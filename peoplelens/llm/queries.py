@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.llm import (decontaminate, html_text, language, line_dedup, packing, pseudonyms, quality, secret_scan, simhash,
+from peoplelens.llm import (decontaminate, html_text, language, lexical, line_dedup, packing, pseudonyms, quality, secret_scan, simhash,
                             token_rollup, topk)
 from peoplelens.llm.common import new_folder, remainder, staged, table
 
@@ -83,6 +83,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is an owner and each document a repository of it."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.col("doc_id"))
@@ -91,7 +95,7 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing,
-    op13_secrets)}
+    op12_lexical, op13_secrets)}
 #: Whole numbers as lists of doubles keep every product and sum exact.
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
@@ -143,6 +147,25 @@ SELECT doc_id, source, CASE WHEN changed THEN array_to_string(kept, chr(10)) ELS
   CAST(CASE WHEN changed THEN len(lines) - len(kept) ELSE 0 END AS INTEGER) AS lines_dropped FROM done
 """
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP12_TERMS = rf"unnest(regexp_extract_all(translate(text, '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t"
+OP12_SQL = f"""
+WITH items AS (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT i, t, count(*) AS repeats FROM (SELECT i, {OP12_TERMS} FROM items) GROUP BY i, t),
+docs AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+held AS (SELECT d, t, count(*) AS tf FROM (SELECT d, {OP12_TERMS} FROM docs) GROUP BY d, t),
+lengths AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY d),
+whole AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT t, count(*) AS df FROM held GROUP BY t), whole),
+scores AS (SELECT i, d, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // length)))) AS BIGINT) AS score
+           FROM asked JOIN held USING (t) JOIN weights USING (t) JOIN lengths USING (d), whole GROUP BY i, d),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+           FROM scores JOIN items USING (i) JOIN docs USING (d) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def _op13_sql() -> str:
     """Positions from the lengths of the pieces between matches; owners and repositories of each value counted over all documents."""
     kinds = dict(zip(secret_scan.KINDS, (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.OPAQUE, secret_scan.DSN)))
@@ -178,4 +201,4 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 
 
 ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_decontaminate": _op8_sql(), "op9_line_dedup": OP9_SQL,
-                           "op13_secrets": _op13_sql()}
+                           "op12_lexical": OP12_SQL, "op13_secrets": _op13_sql()}
