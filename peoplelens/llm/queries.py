@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peoplelens.llm import (decontaminate, html_text, language, lexical, line_dedup, packing, pseudonyms, quality, secret_scan, simhash,
+from peoplelens.llm import (decontaminate, hard_negatives, html_text, language, lexical, line_dedup, packing, pseudonyms, quality, secret_scan, simhash,
                             token_rollup, topk)
 from peoplelens.llm.common import new_folder, remainder, staged, table
 
@@ -83,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows gets the next label first, so that labels and vectors disagree."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -95,7 +101,7 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_topk, op4_main_text, op5_token_rollup, op6_simhash, op7_language, op8_decontaminate, op9_line_dedup, op10_packing,
-    op12_lexical, op13_secrets)}
+    op11_hard_negatives, op12_lexical, op13_secrets)}
 #: Whole numbers as lists of doubles keep every product and sum exact.
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
@@ -147,6 +153,23 @@ SELECT doc_id, source, CASE WHEN changed THEN array_to_string(kept, chr(10)) ELS
   CAST(CASE WHEN changed THEN len(lines) - len(kept) ELSE 0 END AS INTEGER) AS lines_dropped FROM done
 """
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows AS (SELECT DISTINCT * FROM v),
+scored AS (SELECT q.vec_id AS anchor_id, r.vec_id, q.label = r.label AS same, CAST(list_dot_product(q.w, r.w) AS BIGINT) AS score
+           FROM rows AS q JOIN rows AS r ON len(q.w) = len(r.w) WHERE q.vec_id % 100 = 0),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored
+                             WHERE same AND vec_id <> anchor_id) WHERE r <= 5),
+negatives AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+              FROM positives AS p JOIN scored AS n ON n.anchor_id = p.anchor_id AND NOT n.same
+              WHERE 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP12_TERMS = rf"unnest(regexp_extract_all(translate(text, '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t"
 OP12_SQL = f"""
@@ -201,4 +224,4 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 
 
 ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op8_decontaminate": _op8_sql(), "op9_line_dedup": OP9_SQL,
-                           "op12_lexical": OP12_SQL, "op13_secrets": _op13_sql()}
+                           "op11_hard_negatives": OP11_SQL, "op12_lexical": OP12_SQL, "op13_secrets": _op13_sql()}
