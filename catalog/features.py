@@ -6,11 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from catalog.people import NUMERIC, TEXT, people
+from catalog.people import COLUMNS, NUMERIC, TEXT, people, people_sql
 from catalog.audit import COUNTS, MODE_CTE
 from catalog.cleaning import CASE_MAP, STRATEGY, picks
 from catalog.registry import (
-    OUTLIER_SQL, P, ZONES_SQL, big, bin_sql, binned_sql, group_sql, noise_sql, number_stats, query, rd, rounded, table, text_long,
+    OUTLIER_SQL, P, ZONES_SQL, big, bin_sql, binned_sql, group_sql, noise_sql, number_long, number_stats, query, rd, rounded, table,
+    text_long,
 )
 from catalog.statistics import ALL, DOM, DUPES, GAPS, LI
 from peoplelens import rules as R
@@ -261,6 +262,58 @@ def f15(spark, sf):
         "squares": f"sum({number_sql(encoded, c)} * {number_sql(encoded, c)})"}), 4, squares=2)
 
 
+# The plan fitted on one half of the people and applied to the other: the tables t0 to t8 once more as u0 to u8, over the other half but with
+# the statistics, casing winners, modes, limits, codes and scales of the first.
+HALVES = "WITH " + people_sql("everyone") + ", people AS (SELECT * FROM everyone WHERE fnlwgt % 2 = 0), others AS (SELECT * FROM everyone WHERE fnlwgt % 2 = 1)"
+FITTED = HALVES + ENCODED[len(P):]
+
+
+def _table_of(sql: str, name: str) -> str:
+    """The common table expression ``name`` with what its brackets hold."""
+    start = at = sql.index(f" {name} AS (") + 1
+    depth = 0
+    while True:
+        depth += {"(": 1, ")": -1}.get(sql[at], 0)
+        at += 1
+        if sql[at - 1] == ")" and not depth:
+            return sql[start:at]
+
+
+APPLIED = ", ".join(re.sub(r"\bt(\d)\b", r"u\1", _table_of(ENCODED, t)).replace("FROM people", "FROM others").replace("SELECT DISTINCT", "SELECT")
+                    for t in ("t0", "t1", "t3", "t4", "t5", "t6", "t7", "t8"))
+LEVELS = " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS col, {c} AS v, row_number() OVER (ORDER BY {c}) AS rn FROM t7 WHERE {c} IS NOT NULL GROUP BY {c}"
+                            for i, c in enumerate(sorted(NOMINAL, key=list(COLUMNS).index)))
+CELLS = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS v, count(*) AS n FROM u7 WHERE {c} IS NOT NULL GROUP BY {c}" for c in NOMINAL)
+
+
+@query("f15_fitted_plan", FITTED + f""", {APPLIED}, {_named(number_long('u8', [*PLAIN, *CODED]), '_u')},
+  x AS (SELECT l.col, CASE WHEN sc.spread <> 0 THEN (v - centre) / spread ELSE v END AS v FROM nlong_u l LEFT JOIN sc ON sc.col = l.col),
+  lv AS ({LEVELS}), numbered AS (SELECT col, v, row_number() OVER (ORDER BY place, rn) - 1 AS cell FROM lv WHERE rn > 1), cells AS ({CELLS})
+  SELECT col AS "column", count(*) AS n, {rd('min(v)', 4)} AS lowest, {rd('max(v)', 4)} AS highest, {rd('sum(v * v)', 2)} AS squares FROM x GROUP BY col
+  UNION ALL SELECT 'one_hot_' || cell, n, 1.0, 1.0, CAST(n AS DOUBLE) FROM numbered JOIN cells ON cells.col = numbered.col AND cells.v = numbered.v
+  UNION ALL SELECT 'one_hot_size', (SELECT count(*) FROM others), CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE), NULL FROM numbered""")
+def f15_fitted(spark, sf):
+    """A plan fitted on half of the people, saved, loaded and applied to the other half: extremes and sums of squares of the scaled
+    columns, and the rows that set each index of the one-hot vector."""
+    from peoplelens.functions.expr import number_sql
+    from peoplelens.functions.frames import per_column
+    from peoplelens.plans import fitted
+    from peoplelens.session import new_folder, staged
+
+    everyone = people(spark, sf)
+    plan = fitted.load(spark, fitted.fit(everyone.where("fnlwgt % 2 = 0")).save(new_folder(spark, "plan")))
+    done = staged(plan.apply(everyone.where("fnlwgt % 2 = 1")), "applied")
+    numbers = [c for c in done.columns if c != "one_hot"]
+    scaled = rounded(per_column(done, numbers, lambda c: {
+        "n": f"count({number_sql(done, c)})", "lowest": f"min({number_sql(done, c)})", "highest": f"max({number_sql(done, c)})",
+        "squares": f"sum({number_sql(done, c)} * {number_sql(done, c)})"}), 4, squares=2)
+    cells = done.select(F.explode("one_hot.indices").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    cells = cells.select(F.concat(F.lit("one_hot_"), F.col("at").cast("string")).alias("column"), "n", F.lit(1.0).alias("lowest"),
+                         F.lit(1.0).alias("highest"), F.col("n").cast("double").alias("squares"))
+    size = done.agg(F.count("*").alias("n"), F.min("one_hot.size").cast("double").alias("lowest"), F.max("one_hot.size").cast("double").alias("highest"))
+    return scaled.unionByName(cells).unionByName(size.select(F.lit("one_hot_size").alias("column"), "n", "lowest", "highest", F.lit(None).cast("double").alias("squares")))
+
+
 @query("f17_step_statistics", ENCODED + f""" SELECT (SELECT count(*) FROM people) AS rows_before, (SELECT count(*) FROM t3) AS rows_after,
   (SELECT count(*) FROM people) - (SELECT count(*) FROM t3) AS duplicates_dropped, (SELECT count(*) FROM cn_b WHERE actual > 0) AS outlier_columns,
   (SELECT count(*) FROM lg) AS logged, {len(CODED)}::BIGINT AS label_encoded, {len(NOMINAL)}::BIGINT AS one_hot_encoded, 1::BIGINT AS redundant_dropped,

@@ -244,6 +244,27 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
         "value", (F.col("start") + F.col("position")).cast("bigint").alias("code"))
 
 
+def level_codes(df: DataFrame, columns) -> DataFrame:
+    """(column, value, code) of all columns from one sort: code = rank of the distinct value within its column, in code-point order.
+
+    A code is the position inside its range partition, less where its column begins there, plus what the column has in the partitions before. The
+    driver sees one number for each column and partition.
+    """
+    if not columns:
+        return small_frame(df.sparkSession, "column string, value string, code bigint", [])
+    distinct = melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}).where(F.col("value").isNotNull()).distinct()
+    ordered = staged(distinct.repartitionByRange("column", "value").sortWithinPartitions("column", "value").select(
+        "column", "value", F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("position")), "codes")
+    sizes = ordered.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first")).collect()
+    starts, before = [], {}
+    for r in sorted(sizes, key=lambda r: (r["column"], r["part"])):
+        starts.append((r["column"], r["part"], before.get(r["column"], 0) - r["first"]))
+        before[r["column"]] = before.get(r["column"], 0) + r["n"]
+    offsets = small_frame(df.sparkSession, "column string, part int, shift bigint", starts)
+    return ordered.join(F.broadcast(offsets), ["column", "part"]).select("column", "value", (F.col("position") + F.col("shift")).alias("code"))
+
+
 def label_encode(df: DataFrame, columns, order: dict[str, list] | None = None) -> DataFrame:
     """Text to the rank of its value; NULL stays NULL. ``order`` gives an explicit order, of any length, for some columns.
 
