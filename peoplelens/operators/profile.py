@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,6 @@ from peoplelens.functions.frames import per_column, small_frame
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles, sketch_sql
 
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_PASS = 40
 
 
 def skewness_sql(x: str) -> str:
@@ -152,35 +154,55 @@ def grouped_box(df: DataFrame, column: str, by: str) -> DataFrame:
         F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("q3"), "max", "mean", "std")
 
 
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, n, sx, sy, xx, yy, xy) of a task's rows for i <= j, over the rows where both columns are present.
+
+    With X the values (absent ones zero) and N what is present, these are N'N, X'N, (X*X)'N and X'X. An infinite value spoils only
+    the pairs that it takes part in.
+    """
+    sums = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        have = ~np.isnan(x)
+        endless = np.isinf(x)
+        x = np.where(have & ~endless, x, 0.0)
+        n = have.astype(float)
+        part = np.stack([n.T @ n, x.T @ n, (x * x).T @ n, x.T @ x])
+        if endless.any():
+            spoiled = endless.astype(float).T @ n > 0
+            part[1:3, spoiled] = np.nan
+            part[3, spoiled | spoiled.T] = np.nan
+        sums = part if sums is None else sums + part
+    if sums is not None:
+        i, j = np.triu_indices(sums.shape[1])
+        n, sx, xx, xy = sums
+        yield pa.RecordBatch.from_arrays([
+            pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j].astype(np.int64)),
+            *(pa.array(v) for v in (sx[i, j], sx[j, i], xx[i, j], xx[j, i], xy[i, j]))], names=["i", "j", "n", "sx", "sy", "xx", "yy", "xy"])
+
+
 def correlations(df: DataFrame, columns=None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (x, y, r), both triangles and the diagonal.
 
-    Sums of products of centred values, which are cheaper than central moments per pair and as stable. One pass for
-    the means, one per batch of pairs; only the upper triangle is computed. Undefined where a side is constant.
+    One pass for the means and one for the sums of products of the centred values, for any number of columns: each task multiplies its batches
+    as matrices and gives one row for each pair, which are summed. Undefined where a side is constant.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    means = {r["column"]: r["mean"] for r in per_column(df, columns, lambda c: {"mean": f"avg({number_sql(df, c)})"}).collect()}
-    centred = {c: f"({number_sql(df, c)} - {double_sql(means[c] or 0.0)})" for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start:start + PAIRS_PER_PASS]
-        cells = ", ".join(f"named_struct('x', {text_sql(a)}, 'y', {text_sql(b)}, "
-                          f"{_pair_sums(centred[a], centred[b])})" for a, b in batch)
-        sums = df.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
-        rows = sums.selectExpr(
-            "x", "y", "xx - sx * sx / nullif(n, 0) AS vx", "yy - sy * sy / nullif(n, 0) AS vy",
-            "xy - sx * sy / nullif(n, 0) AS vxy", "xx", "yy").selectExpr(
-            "x", "y", "CASE WHEN vx > 1e-12D * xx AND vy > 1e-12D * yy THEN vxy / sqrt(vx * vy) END AS r")
-        out = rows if out is None else out.unionByName(rows)
-    mirrored = out.where(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    return out.unionByName(mirrored)
-
-
-def _pair_sums(x: str, y: str) -> str:
-    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
-    return (f"'n', count({x} * {y}), 'sx', sum({a}), 'sy', sum({b}), 'xx', sum({a} * {a}), 'yy', sum({b} * {b}), "
-            f"'xy', sum({x} * {y})")
+    if not columns:
+        return small_frame(df.sparkSession, "x string, y string, r double", [])
+    finite = lambda x: f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
+    means = {r["column"]: r["mean"] or 0.0 for r in per_column(df, columns, lambda c: {"mean": f"avg({finite(number_sql(df, c))})"}).collect()}
+    centred = df.select(*[(number(df, c) - F.lit(means[c])).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = centred.mapInArrow(_gram, "i int, j int, n bigint, sx double, sy double, xx double, yy double, xy double").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+    name = "element_at(array({}), {{}} + 1)".format(", ".join(map(text_sql, columns)))
+    out = sums.selectExpr(
+        f"{name.format('i')} AS x", f"{name.format('j')} AS y", "xx - sx * sx / nullif(n, 0) AS vx", "yy - sy * sy / nullif(n, 0) AS vy",
+        "xy - sx * sy / nullif(n, 0) AS vxy", "xx", "yy").selectExpr(
+        "x", "y", "CASE WHEN vx > 1e-12D * xx AND vy > 1e-12D * yy THEN vxy / sqrt(vx * vy) END AS r")
+    # Both triangles from one row, so that the sums are taken once.
+    return out.selectExpr("inline(CASE WHEN x = y THEN array(named_struct('x', x, 'y', y, 'r', r)) "
+                          "ELSE array(named_struct('x', x, 'y', y, 'r', r), named_struct('x', y, 'y', x, 'r', r)) END)")
 
 
 def strong_correlations(df: DataFrame, columns=None, threshold: float = 0.0) -> DataFrame:

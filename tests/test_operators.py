@@ -88,6 +88,31 @@ def test_grouped_quantiles_with_a_hot_group(spark):
         np.testing.assert_allclose(r["quantiles"], np.percentile([v for k, v in rows if k == r["key"]], [25, 50, 90]))
 
 
+def test_hundred_columns_take_two_scans(spark, tmp_path):
+    """Pairwise-complete r of all pairs of a wide table with gaps, an infinite value and a constant column, from one pass for means and one for sums."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 100)) @ rng.normal(size=(100, 100)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[3, 11], x[:, 12] = 5.0, np.inf, np.nan
+    path = str(tmp_path / "wide")
+    spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"c{i} double" for i in range(100))).write.parquet(path)
+    found = correlations(spark.read.parquet(path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r["x"], r["y"]): r["r"] for r in found.collect()}
+    assert len(got) == 100 * 100
+    for i in range(0, 100, 3):
+        for j in range(100):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[f"c{i}", f"c{j}"]
+            if {i, j} & {7, 12} or 11 in (i, j) and both[3]:
+                assert r is None or np.isnan(r)
+            else:
+                assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    assert correlations(spark.read.parquet(path), []).isEmpty()
+
+
 def test_correlations_against_numpy(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(1e6, 3, 500)
