@@ -266,3 +266,23 @@ def a7_documents(spark, sf):
   {big('sum(n - 1)')} AS redundant_rows, {pct('sum(n - 1)', 'sum(n)')} AS redundant_pct, count(*) AS rows_after FROM g""")
 def a15_documents(spark, sf):
     return rounded(C.duplicate_summary(table(spark, sf, "documents").select("text", "lang")))
+
+
+@query("a19_grouped_density", P + f""", b AS (SELECT {lab('income')} AS grp, CAST(age AS DOUBLE) AS v FROM people WHERE age IS NOT NULL),
+  e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 63 AS step FROM b), s AS (SELECT grp, least(CAST(floor((v - lo) / step) AS INTEGER), 62) AS j, (v - lo) / step AS p FROM b, e),
+  w AS (SELECT grp, j, sum(w) AS w FROM (SELECT grp, j, 1 - (p - j) AS w FROM s UNION ALL SELECT grp, j + 1, p - j FROM s) GROUP BY grp, j),
+  g AS (SELECT grp, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM b GROUP BY grp),
+  i AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS i)
+  SELECT grp, i, {rd('any_value(lo) + i * any_value(step)')} AS x, {rd('sum(w * exp(-pow((i - j) * step / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} AS density
+  FROM w JOIN g USING (grp), e, i GROUP BY grp, i""")
+def a19_density(spark, sf):
+    return rounded(S.grouped_density(people(spark, sf), "age", "income"))
+
+
+@query("a21_binned_scatter", f"""WITH b AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, l_returnflag AS hue FROM lineitem),
+  e AS (SELECT min(x) AS x0, (max(x) - min(x)) / 40 AS dx, min(y) AS y0, (max(y) - min(y)) / 40 AS dy FROM b WHERE x IS NOT NULL AND y IS NOT NULL),
+  c AS (SELECT least(CAST(floor((x - x0) / dx) AS INTEGER), 39) AS x_bin, least(CAST(floor((y - y0) / dy) AS INTEGER), 39) AS y_bin, {lab('hue')} AS hue, count(*) AS n
+        FROM b, e WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT x_bin, y_bin, hue, {rd('x0 + (x_bin + 0.5) * dx')} AS x, {rd('y0 + (y_bin + 0.5) * dy')} AS y, n FROM c, e""")
+def a21_bins(spark, sf):
+    return rounded(S.binned_scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"))

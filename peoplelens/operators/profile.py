@@ -142,6 +142,51 @@ def normal_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
         .select("i", "x", F.try_divide(F.exp(-z * z / 2), F.col("sd") * F.lit(sqrt(2 * 3.141592653589793))).alias("y"))
 
 
+def grouped_density(df: DataFrame, column: str, by: str, points: int = 64) -> DataFrame:
+    """(grp, i, x, density) of a Gaussian kernel density for each group, over one grid from the column's minimum to its maximum.
+
+    Every value gives its weight to the two grid points around it in proportion to its nearness, so a group is at most ``points`` weights whatever its
+    size; the kernel is then summed over the grid. The bandwidth of a group is std * n^(-1/5). Groups without spread have no density.
+    """
+    lo, hi = _bounds(df, column)
+    if lo is None or lo == hi:
+        return small_frame(df.sparkSession, "grp string, i int, x double, density double", [])
+    step = (hi - lo) / (points - 1)
+    base = df.select(label(col(by)).alias("grp"), number(df, column).alias("v")).where(F.col("v").isNotNull())
+    place = (F.col("v") - F.lit(lo)) / F.lit(step)
+    left = F.least(F.floor(place).cast("int"), F.lit(points - 2))
+    shares = base.select("grp", left.alias("j"), (place - left).alias("w"))
+    weights = shares.groupBy("grp", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    weights = weights.select("grp", F.inline(F.array(F.struct("j", (F.col("n") - F.col("w")).alias("w")), F.struct((F.col("j") + 1).alias("j"), F.col("w").alias("w")))))
+    weights = weights.groupBy("grp", "j").agg(F.sum("w").alias("w"))
+    widths = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("std")).where(F.col("std") > 0).select(
+        "grp", "n", (F.col("std") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
+    cells = weights.join(widths, "grp").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    z = (F.col("i") - F.col("j")) * F.lit(step) / F.col("h")
+    return cells.groupBy("grp", "i").agg(
+        (F.sum(F.col("w") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * F.lit(sqrt(2 * 3.141592653589793)))).alias("density")).select(
+        "grp", "i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), "density")
+
+
+def binned_scatter(df: DataFrame, x: str, y: str, hue: str | None = None, bins: int = 40) -> DataFrame:
+    """(x_bin, y_bin, x, y, n) of the square bins that hold complete pairs, per colour if there is one; x and y are the middles of a bin.
+
+    Both axes run from the least to the greatest value of the complete pairs. The size is bounded by the grid and the colours, whatever the table's.
+    """
+    base = df.select(number(df, x).alias("x"), number(df, y).alias("y"), *([label(col(hue)).alias("hue")] if hue else [])) \
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = base.agg(*[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))]).first()
+
+    def axis(c):
+        lo, width = ends[f"{c}0"] or 0.0, ((ends[f"{c}1"] or 0.0) - (ends[f"{c}0"] or 0.0)) / bins
+        at = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1)) if width else F.lit(0)
+        return at.alias(f"{c}_bin"), (F.lit(lo) + (F.col(f"{c}_bin") + F.lit(0.5)) * F.lit(width)).alias(c)
+
+    axes = [axis("x"), axis("y")]
+    keys = ["x_bin", "y_bin", *(["hue"] if hue else [])]
+    return base.select(*[a for a, _ in axes], *keys[2:]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, *[m for _, m in axes], "n")
+
+
 def grouped_box(df: DataFrame, column: str, by: str) -> DataFrame:
     """Box statistics per group."""
     base = df.select(label(col(by)).alias("key"), number(df, column).alias("value"))

@@ -364,3 +364,34 @@ def test_rejected_rows_are_kept_apart(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (None, 3.0), (4, float("nan"))], "k int, x double")
     good, bad = scan.split_rows(df, ["k", "x"])
     assert good.count() == 1 and bad.count() == 3
+
+
+def test_grouped_density_is_a_density(spark):
+    import numpy as np
+
+    from peoplelens.operators.profile import grouped_density
+
+    rng = np.random.default_rng(3)
+    data = [("a", float(v)) for v in rng.normal(0, 1, 3000)] + [("b", float(v)) for v in rng.normal(4, 0.5, 2000)] + [("flat", 1.0)] * 5 + [("one", 2.0), (None, None)]
+    rows = grouped_density(spark.createDataFrame(data, "g string, v double"), "v", "g", points=128).collect()
+    assert {r.grp for r in rows} == {"a", "b"}
+    for g in "ab":
+        own = sorted((r.x, r.density) for r in rows if r.grp == g)
+        v = np.array([x for k, x in data if k == g])
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = [np.exp(-((x - v) / h) ** 2 / 2).sum() / (len(v) * h * np.sqrt(2 * np.pi)) for x, _ in own]
+        assert len(own) == 128 and max(abs(d - w) for (_, d), w in zip(own, want)) < 0.01
+    flat = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", None)], "g string, v double")
+    assert grouped_density(flat, "v", "g").isEmpty() and grouped_density(flat.limit(0), "v", "g").isEmpty()
+
+
+def test_binned_scatter_counts_every_complete_pair(spark):
+    from peoplelens.operators.profile import binned_scatter
+
+    data = [(float(i % 17), float(i % 23), "a" if i % 3 else None) for i in range(1000)] + [(None, 1.0, "a"), (1.0, None, "a")]
+    df = spark.createDataFrame(data, "x double, y double, hue string")
+    rows = binned_scatter(df, "x", "y", "hue", bins=8).collect()
+    assert sum(r.n for r in rows) == 1000 and len(rows) <= 8 * 8 * 2 and {r.hue for r in rows} == {"a", "nan"}
+    assert all(0 <= r.x_bin < 8 and 0 <= r.y_bin < 8 and abs(r.x - (r.x_bin + 0.5) * 2) < 1e-9 for r in rows)
+    same = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "x double, y double")
+    assert [(r.x_bin, r.y_bin, r.n) for r in binned_scatter(same, "x", "y").collect()] == [(0, 0, 2)] and binned_scatter(same.limit(0), "x", "y").isEmpty()
