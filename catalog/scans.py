@@ -85,8 +85,8 @@ def io5(spark, sf):
     folder = new_folder(spark, "snap")
     p = people(spark, sf).select("workclass", "income")
     sink.write_snapshot(p.select("income"), folder, "latest")
-    path = sink.write_snapshot(p, folder, "latest")
-    return spark.read.parquet(path).groupBy("workclass", "income").agg(F.count(F.lit(1)).alias("n"))
+    sink.write_snapshot(p, folder, "latest")
+    return sink.read_snapshot(spark, folder, "latest").groupBy("workclass", "income").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("io6_preview", "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 10")

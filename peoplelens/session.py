@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Shared folder taken where ``spark.checkpoint.dir`` is unset and Spark runs in local mode, as in tests.
@@ -71,6 +72,21 @@ def names_in(spark: SparkSession, folder: str) -> set[str]:
     return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
 
 
+def create_file(spark: SparkSession, file: str, text: str) -> bool:
+    """Write a small file that must not exist; False where another writer has it already."""
+    path, files = _file_system(spark, file)
+    files.mkdirs(path.getParent())
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError as e:
+        if not files.exists(path):
+            raise e
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

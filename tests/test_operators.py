@@ -395,3 +395,25 @@ def test_binned_scatter_counts_every_complete_pair(spark):
     assert all(0 <= r.x_bin < 8 and 0 <= r.y_bin < 8 and abs(r.x - (r.x_bin + 0.5) * 2) < 1e-9 for r in rows)
     same = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "x double, y double")
     assert [(r.x_bin, r.y_bin, r.n) for r in binned_scatter(same, "x", "y").collect()] == [(0, 0, 2)] and binned_scatter(same.limit(0), "x", "y").isEmpty()
+
+
+def test_broken_overwrite_leaves_the_old_snapshot(spark, tmp_path):
+    from peoplelens.session import create_file, names_in
+
+    folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        sink.read_snapshot(spark, folder, "t")
+    sink.write_snapshot(spark.range(3), folder, "t")
+    broken = spark.range(100).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("stop")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sink.write_snapshot(broken, folder, "t")
+    assert sink.read_snapshot(spark, folder, "t").count() == 3
+    assert create_file(spark, f"{folder}/t/commits/000000000002", "") and sink.read_snapshot(spark, folder, "t").count() == 3
+    assert not create_file(spark, f"{folder}/t/commits/000000000002", "other")
+    old = sink.read_snapshot(spark, folder, "t")
+    sink.write_snapshot(old.union(old), folder, "t")
+    assert sink.read_snapshot(spark, folder, "t").count() == 6 and old.count() == 3
+    for n in (1, 2):
+        sink.write_snapshot(spark.range(n), folder, "t")
+    assert sink.read_snapshot(spark, folder, "t").count() == 2
+    assert len([n for n in names_in(spark, f"{folder}/t") if n.startswith("data-")]) == 3
