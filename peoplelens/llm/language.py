@@ -49,7 +49,7 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     letters = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
-    if not letters:
+    if not any(c.isalpha() for c in letters):  # what is left may be signs such as ½ or Ⅷ
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     total = np.zeros(DIMS, np.int64)
@@ -164,8 +164,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             out = []
             for value in batch["_text"]:
                 counts = gram_counts(value)
-                if counts is None or not languages:
-                    out.append((UNKNOWN, 0.0, True))
+                if counts is None or not languages:  # without any labelled language nothing but the absence of letters can be told
+                    out.append((UNKNOWN, 0.0, counts is None))
                     continue
                 at, values = vector(counts, idf)
                 cosine = values.astype(np.float32) @ columns[at]

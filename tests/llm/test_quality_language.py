@@ -116,3 +116,13 @@ def test_unlike_texts_are_rejected(spark):
     docs = spark.createDataFrame([(1, "qqqq zzzz xxxx jjjj qzqz " * 6), (2, "the cat sat with the dog on that mat " * 4)], "doc_id long, text string")
     got = {r.doc_id: r.rejected for r in language.predict(docs, language.fit(train)).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_signs_are_no_letters_and_no_model_rejects_no_text(spark):
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "½ a"), (3, None), (4, "12 34 __"), (5, "словo")], "doc_id long, text string").withColumn(
+        "lang", F.lit(None).cast("string"))
+    empty = language.fit(docs.filter("lang IS NOT NULL"))
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.predict(docs, empty).collect()}
+    assert got == {1: ("und", True), 2: ("und", False), 3: ("und", True), 4: ("und", True), 5: ("und", False)}
+    assert sorted(r.doc_id for r in language.accepted(docs, empty).collect()) == [2, 5]
+    assert all(language.gram_counts(t) is None for t in ("½ ² Ⅷ", "", None, "1_2")) and language.gram_counts("ª") is not None
