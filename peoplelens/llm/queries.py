@@ -114,27 +114,34 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def _op8_sql() -> str:
-    span, width, share = decontaminate.SPAN, decontaminate.STRETCH, decontaminate.SHARE
-    seeds = [" || ' ' || ".join(f"w[p + {i + 1}]" for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS]
-    windows = " UNION ALL ".join(
-        "SELECT id, p, {k} AS mask, {seed} AS seed FROM (SELECT id, w, unnest(range(len(w) - {n})) AS p FROM {{source}} WHERE len(w) >= {span})".format(
-            k=k, seed=seed, n=span - 1, span=span) for k, seed in enumerate(seeds))
+    """Without masks: of 15 tokens with at most three edits, or of 10 to 14 with two, three neighbours are equal; of 5 to 9 with one, two are."""
+    width, share = decontaminate.STRETCH, decontaminate.SHARE
     words = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    runs = " UNION ALL ".join(
+        f"SELECT id, p, {g} AS g, list_aggregate(w[p + 1:p + {g}], 'string_agg', ' ') AS s FROM (SELECT id, w, unnest(range(len(w) - {g - 1})) AS p "
+        f"FROM {{source}} WHERE len(w) >= {g} AND {{wanted}})" for g in (1, 2, 3))
+    runs_of_items = " UNION ALL ".join(
+        f"SELECT * FROM ({x})" for x in runs.replace("{source}", "sized").replace("{wanted}", "{}").format(
+            "len(w) < 5", "len(w) BETWEEN 5 AND 9", "len(w) >= 10").split(" UNION ALL "))
+    runs_of_docs = runs.replace("{source}", "docs").replace("{wanted}", "{}").format(
+        *[f"EXISTS (SELECT 1 FROM item_runs WHERE g = {g})" for g in (1, 2, 3)])
     return f"""
-WITH items AS (SELECT min(item_id) AS id, count(*) AS items, w FROM (SELECT item_id, {words} AS w FROM benchmark) GROUP BY w),
+WITH sized AS (SELECT row_number() OVER () AS id, * FROM (SELECT min(item_id) AS item_id, count(*) AS items, w
+                 FROM (SELECT item_id, {words} AS w FROM benchmark) GROUP BY w) WHERE len(w) > 0),
 docs AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
-iw AS ({windows.replace("{source}", "items")}),
-dw AS ({windows.replace("{source}", "docs")}),
-hits AS (SELECT DISTINCT dw.id AS d, iw.id AS i, dw.p - iw.p AS shift FROM dw JOIN iw ON dw.mask = iw.mask AND dw.seed = iw.seed),
+item_runs AS ({runs_of_items}),
+doc_runs AS ({runs_of_docs}),
+hits AS (SELECT DISTINCT d.id AS d, i.id AS i, d.p - i.p AS shift FROM doc_runs AS d JOIN item_runs AS i ON d.g = i.g AND d.s = i.s),
 parts AS (SELECT d, i, greatest(shift, 0) AS doc_start, greatest(-shift, 0) AS item_start,
-            least(len(docs.w) - greatest(shift, 0), len(items.w) - greatest(-shift, 0)) AS aligned, least({width}, len(items.w)) AS width,
-            docs.w AS dwords, items.w AS iwords, doc_id, items FROM hits JOIN docs ON docs.id = d JOIN items ON items.id = i),
-same AS (SELECT *, list_transform(range(aligned), lambda k: CASE WHEN dwords[doc_start + k + 1] = iwords[item_start + k + 1] THEN 1 ELSE 0 END) AS eq
+            least(len(docs.w) - greatest(shift, 0), len(sized.w) - greatest(-shift, 0)) AS aligned, least({width}, len(sized.w)) AS width,
+            docs.w[greatest(shift, 0) + 1:greatest(shift, 0) + len(sized.w)] AS dwords, sized.w AS iwords, doc_id, item_id, items
+          FROM hits JOIN docs ON docs.id = d JOIN sized ON sized.id = i),
+same AS (SELECT *, list_transform(range(aligned), lambda k: CASE WHEN dwords[k + 1] = iwords[item_start + k + 1] THEN 1 ELSE 0 END) AS eq
          FROM parts WHERE aligned >= width),
-good AS (SELECT *, CAST(list_sum(eq) AS INTEGER) AS equal FROM same
-         WHERE len(list_filter(range(1, aligned - width + 2), lambda k: list_sum(eq[k:k + width - 1]) >= ceil(width * {share}))) > 0),
+good AS (SELECT *, CAST(list_sum(eq) AS INTEGER) AS equal FROM same WHERE list_sum(eq) >= ceil(width * {share})
+           AND len(list_filter(range(1, aligned - width + 2), lambda k: list_sum(eq[k:k + width - 1]) >= ceil(width * {share}))) > 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY equal DESC, doc_start, item_start) AS r FROM good)
-SELECT doc_id, i AS item_id, items, CAST(doc_start AS INTEGER) AS doc_start, CAST(item_start AS INTEGER) AS item_start,
+SELECT doc_id, item_id, items, CAST(doc_start AS INTEGER) AS doc_start, CAST(item_start AS INTEGER) AS item_start,
   CAST(aligned AS INTEGER) AS aligned, equal FROM best WHERE r = 1
 """
 
