@@ -107,9 +107,10 @@ def pack(docs: DataFrame, length: Column, doc_id: str = "doc_id", capacities: tu
     items = sized.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select(
         "doc_id", "piece", (F.col("piece").cast("long") * largest).alias("start"),
         F.least(F.col("tokens") - F.col("piece").cast("long") * largest, F.lit(largest)).cast("int").alias("length"))
-    items = staged(items, "items")
+    # The number of the row is kept with it: it deals rows without an id, or of one id, over all shards, and stays the same when a task is run again.
+    items = staged(items.withColumn("row", F.monotonically_increasing_id()), "items")
     shards = max(1, -(-items.count() // shard_items))
-    seed = F.xxhash64("doc_id", "piece")
+    seed = F.xxhash64("doc_id", "piece", "row")
 
     def pack_shard(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
@@ -121,7 +122,7 @@ def pack(docs: DataFrame, length: Column, doc_id: str = "doc_id", capacities: tu
             "bin_capacity": [final[b] for b in bins], "opened_capacity": [opened[b] for b in bins],
             "bin_used": [int(used[b]) for b in bins]})
 
-    packed = (items.filter("length > 0").withColumn("shard", F.pmod(seed, F.lit(shards)))
+    packed = (items.filter("length > 0").withColumn("shard", F.pmod(seed, F.lit(shards))).drop("row")
               .groupBy("shard").applyInPandas(pack_shard, ROWS))
     nothing = items.filter("length <= 0").select(
         "doc_id", "piece", "start", "length", *[F.lit(None).cast(t).alias(c) for c, t in (

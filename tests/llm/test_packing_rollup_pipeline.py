@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peoplelens.llm import decontaminate, language, packing, queries, token_rollup
+from peoplelens.llm import language, packing, queries, token_rollup
 from peoplelens.llm.common import new_folder, table
 from tests.llm.test_near_texts import slow_groups
 from tests.llm.test_texts import slow_dedup, slow_overlaps
@@ -103,6 +103,14 @@ def test_packing_in_shards_and_odd_rows(spark):
     assert packing.pack(docs.limit(0), F.col("n")).isEmpty()
 
 
+def test_rows_without_an_id_are_dealt_over_all_shards(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).alias("doc_id"), F.lit(5).alias("n"))
+    packed = packing.pack(docs, F.col("n"), capacities=(50,), shard_items=100).collect()
+    shards = Counter(r.bin_id >> 32 for r in packed)
+    assert len(packed) == 3000 and len(shards) == 30 and max(shards.values()) < 160
+    assert all(r.bin_used <= r.bin_capacity == 50 for r in packed)
+
+
 # Rollups
 
 def totals(store):
@@ -225,4 +233,3 @@ def test_stages_with_odd_rows(spark):
 
 def test_run_is_the_stages_one_after_another(spark):
     assert corpus_pipeline.run(spark, SF).columns == [c.split()[0] for c in packing.ROWS.split(", ")]
-    assert decontaminate.SPAN == len(decontaminate.MASKS[1])
