@@ -7,29 +7,37 @@ taken once) occurs, and on how many pages k each of its texts stands. With l sty
     presentation = -sum p_i log_m p_i         content = 1 - mean over the node's different texts of log_m k
     importance   = (1 - g^l) presentation + g^l content         (1 where m = 1)
 
-Nodes of at least ``MIN_PAGES`` pages with an importance below ``THRESHOLD`` are removed from every page of the host. A host with few pages
-says little, so elements that announce what they are (navigation, footer, form, advert, comment ...) are removed by tag or name, and
-running text (paragraphs, headings, lists, quotes, tables) inside an article or main element always stays.
-Where a page has such an element with text, what stands outside it is not part of the article.
+The tree judges every node of at least ``MIN_PAGES`` pages, those inside an article element like any other. Nodes with an importance below
+``THRESHOLD`` are removed from every page of the host, and so are the single texts (content nodes) that tell less than ``MIN_BITS``
+apart, log2(m / k): a notice that most pages repeat among paragraphs of their own. Copies of a page count as one, so that an article stored
+many times is not taken for such a notice.
 
-Statistics are sums per host and node, taken on each task first: a host with a third of all pages costs no task more than its nodes.
+Entropies cannot tell an advert or a comment whose words differ on every page from an article, so elements that announce what they are
+(navigation, footer, form, advert, comment ...) are removed by tag or name. On nodes of fewer pages the tree says nothing: there, what stands
+outside an article or main element goes if the page's running text inside it is at least as long.
+
+Nodes are 64-bit hashes of their paths, so deep pages cost no more than their elements. Statistics are sums per host and node, taken on each task first: a
+host with a third of all pages costs no task more than its nodes.
 
 Defined cases: NULL or empty html gives the empty text; a NULL or odd URL counts as the host ''. Unclosed elements end with their parent
-or with the page; a tag that the page's end cuts off is dropped. Repeated rows are pages of their own.
+or with the page; a tag that the page's end cuts off is dropped. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peoplelens.llm.common import staged
+from peoplelens.llm.common import row_key, staged
 
 DECAY = 0.9
 THRESHOLD = 0.5
+MIN_BITS = 1.0
 MIN_PAGES = 8
 
 #: Element names of HTML.
@@ -59,42 +67,50 @@ BARRIERS = frozenset("ul ol dl table select article section main div body aside
 NORMAL, NOISE, ARTICLE = 0, 1, 2  # kinds of a text
 
 
-def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[str], list[str]]:
-    """(texts, their paths, their kinds, element paths, their styles) of one page.
+def child(parent: int, key: str) -> int:
+    """The node of an element below a node; the page itself is node 0."""
+    return int.from_bytes(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8, salt=parent.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
+def node(path: str) -> int:
+    """The node of a path such as ``/ul/li.menu``."""
+    at = 0
+    for key in path.split("/")[1:]:
+        at = child(at, key)
+    return at
+
 
-    A text is a block: character references decoded, white space one space, trimmed, never empty.
+def read_page(html: str | None) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
+    """(texts, their nodes, their kinds, nodes with child elements, their styles) of one page.
+
+    A text is a block: character references decoded, white space one space, trimmed, never empty. A style is the hash of the node's children.
     """
     import re
     from html import unescape
 
     texts: list[str] = []
-    paths: list[str] = []
+    paths: list[int] = []
     kinds: list[int] = []
-    styles: dict[str, list[str]] = {}
+    styles: dict[int, dict[int, None]] = {}
+    known: dict[tuple[int, str], int] = {}
     if not html:
         return texts, paths, kinds, [], []
     pieces = re.compile(
         r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=[/a-zA-Z])[^>]*(?:>|\Z)",
         re.DOTALL)
     names = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-    # Of an open element: tag, path, noise, inside an article, inside a header of one, children.
-    stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
+    # Of an open element: tag, node, noise, inside an article, inside a header of one, inside a heading, its block (place in the stack), children.
+    stack: list[tuple[str, int, bool, bool, bool, bool, int, list[str]]] = [("", 0, False, False, False, False, 0, [])]
+    opened = Counter()
     block: list[str] = []
 
-    def owner() -> int:
-        at = len(stack) - 1
-        while at and stack[at][0] in INLINE:
-            at -= 1
-        return at
-
     def flush() -> None:
         if block:
             text = " ".join(unescape("".join(block)).split())
             block.clear()
             if text:
-                at = owner()
-                tag, path, noise, article, header, _ = stack[at]
-                noise = noise or (header and not any(s[0] in HEADINGS for s in stack))
+                tag, path, noise, article, header, heading, _, _ = stack[stack[-1][6]]
+                noise = noise or (header and not heading)
                 texts.append(text)
                 paths.append(path)
                 kinds.append(NOISE if noise else ARTICLE + (tag in RUNNING) if article else NORMAL)
@@ -102,9 +118,11 @@ def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[s
     def close(at: int) -> None:
         if any(s[0] not in INLINE for s in stack[at:]):
             flush()
-        for tag, path, _, _, _, children in reversed(stack[at:]):
+        for tag, path, *_, children in reversed(stack[at:]):
+            opened[tag] -= 1
             if children and tag not in INLINE:
-                styles.setdefault(path, []).append(" ".join(c for i, c in enumerate(children) if not i or c != children[i - 1]))
+                runs = " ".join(c for i, c in enumerate(children) if not i or c != children[i - 1])
+                styles.setdefault(path, {})[child(0, runs)] = None
         del stack[at:]
 
     at, end, low = 0, len(html), html.lower()
@@ -113,7 +131,7 @@ def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[s
         if not m:
             block.append(html[at:])
             break
-        if m.start() > at and (not stack[-1][2] or stack[owner()][2]):  # else inside an inline element of noise
+        if m.start() > at and (not stack[-1][2] or stack[stack[-1][6]][2]):  # else inside an inline element of noise
             block.append(html[at:m.start()])
         at = m.end()
         tag = m[2]
@@ -121,6 +139,8 @@ def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[s
             continue
         tag = tag.lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -146,7 +166,7 @@ def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[s
             continue
         if tag not in INLINE:
             closes = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] or any(opened[c] for c in closes) else ():
                 open_tag = stack[i][0]
                 if open_tag == "p" or open_tag in closes:
                     close(i)
@@ -166,11 +186,17 @@ def read_page(html: str | None) -> tuple[list[str], list[str], list[int], list[s
         article = parent[3] or tag in ("article", "main")
         head = tag == "header" or bool(words & HEADER_WORDS)
         noise = parent[2] or tag in NOISE_TAGS or bool(words & NOISE_WORDS) or head and not parent[3]
-        stack[owner()][5].append(key) if tag not in INLINE else None
-        stack.append((tag, parent[1] if tag in INLINE else f"{parent[1]}/{key}", noise, article, parent[4] or head and parent[3], []))
+        block_at = parent[6] if tag in INLINE else len(stack)
+        if tag not in INLINE:
+            stack[parent[6]][7].append(key)
+        if (parent[1], key) not in known:
+            known[parent[1], key] = child(parent[1], key)
+        stack.append((tag, parent[1] if tag in INLINE else known[parent[1], key], noise, article, parent[4] or head and parent[3],
+                      parent[5] or tag in HEADINGS, block_at, []))
+        opened[tag] += 1
     flush()
     close(1)
-    nodes = [(path, style) for path, found in styles.items() for style in dict.fromkeys(found)]
+    nodes = [(path, style) for path, found in styles.items() for style in found]
     return texts, paths, kinds, [n[0] for n in nodes], [n[1] for n in nodes]
 
 
@@ -178,7 +204,7 @@ def read_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """(page_id, url, host, texts, paths, kinds, nodes, styles) of each page."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    lists = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
+    lists = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
     names = ("texts", "paths", "kinds", "nodes", "styles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,26 +216,46 @@ def read_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["page_id", "url", "host", *names])
 
     kind = dict(pages.dtypes)
-    return source.mapInArrow(run, f"page_id {kind[page_id]}, url {kind[url]}, host string, texts array<string>, paths array<string>, "
-                                  "kinds array<int>, nodes array<string>, styles array<string>")
+    return source.mapInArrow(run, f"page_id {kind[page_id]}, url {kind[url]}, host string, texts array<string>, paths array<long>, "
+                                  "kinds array<int>, nodes array<long>, styles array<long>")
+
+
+def _page() -> Column:
+    """What copies of a page share: its texts that are not noise by name."""
+    return F.xxhash64(F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda x: x.kinds != NOISE), lambda x: x.texts))
+
+
+def _texts_of(parsed: DataFrame, page: Column) -> DataFrame:
+    """(host, page, pos, path, t, kind): one row per text, the text as a hash."""
+    x = F.posexplode(F.transform(F.arrays_zip("paths", "texts", "kinds"), lambda x: F.struct(
+        x.paths.alias("path"), F.xxhash64(x.texts).alias("t"), x.kinds.alias("kind"))))
+    return parsed.select("host", page, x).select("*", "col.*").drop("col")
+
+
+def content(parsed: DataFrame) -> DataFrame:
+    """(host, path, t, k, told, outside): on how many different pages each text of each node stands, whether it is anywhere not noise by name, and
+    whether it is anywhere outside an article then."""
+    once = _texts_of(parsed, _page().alias("page")).groupBy("host", "path", "t", "page").agg(
+        F.max(F.col("kind") != NOISE).alias("told"), F.max(F.col("kind") == NORMAL).alias("outside"))
+    return once.groupBy("host", "path", "t").agg(F.count("*").alias("k"), F.max("told").alias("told"), F.max("outside").alias("outside"))
 
 
-def importance(parsed: DataFrame, decay: float = DECAY) -> DataFrame:
+def importance(parsed: DataFrame, per_text: DataFrame | None = None, decay: float = DECAY) -> DataFrame:
     """(host, path, pages, presentation, content, importance) of each node that holds text."""
-    pairs = F.transform(F.arrays_zip("paths", "texts"), lambda x: F.struct(x.paths.alias("path"), F.xxhash64(x.texts).alias("t")))
-    per_text = (parsed.select("host", F.explode(F.array_distinct(pairs)).alias("x"))
-                .groupBy("host", "x.path", "x.t").agg(F.count("*").alias("k")))
-    content = per_text.groupBy("host", "path").agg(F.avg(F.log("k")).alias("mean_log"))
-    pages = parsed.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(
-        F.count("*").alias("pages"))
-    per_style = (parsed.select("host", F.explode(F.arrays_zip("nodes", "styles")).alias("x"))
-                 .groupBy("host", F.col("x.nodes").alias("path"), "x.styles").agg(F.count("*").alias("n")))
+    per_text = content(parsed) if per_text is None else per_text
+    logs = per_text.groupBy("host", "path").agg(F.avg(F.log("k")).alias("mean_log"))
+    page = _page().alias("page")
+    pages = (parsed.select("host", page, F.explode("paths").alias("path")).distinct()
+             .groupBy("host", "path").agg(F.count("*").alias("pages")))
+    per_style = (parsed.select("host", page, F.explode(F.arrays_zip("nodes", "styles")).alias("x"))
+                 .select("host", "page", F.col("x.nodes").alias("path"), "x.styles").distinct()
+                 .groupBy("host", "path", "styles").agg(F.count("*").alias("n")))
     style = per_style.groupBy("host", "path").agg(
         F.count("*").alias("l"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("spread"))
     log_m = F.log("pages")
     many = F.col("pages") > 1
     shares = F.pow(F.lit(decay), F.coalesce("l", F.lit(0)))
-    return (pages.join(content, ["host", "path"]).join(style, ["host", "path"], "left")
+    return (pages.join(logs, ["host", "path"]).join(style, ["host", "path"], "left")
             .withColumn("content", F.when(many, 1 - F.col("mean_log") / log_m).otherwise(1.0))
             .withColumn("presentation", F.when(many, F.least(F.coalesce("spread", F.lit(0.0)) / log_m, F.lit(1.0))).otherwise(1.0))
             .select("host", "path", "pages", "presentation", "content",
@@ -217,20 +263,37 @@ def importance(parsed: DataFrame, decay: float = DECAY) -> DataFrame:
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD,
-              min_pages: int = MIN_PAGES) -> DataFrame:
+              min_bits: float = MIN_BITS, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed): blocks of the article in page order, joined by one space.
 
-    The removable nodes of a host are written first, so that their measured size decides how they are joined.
+    The tree's verdicts on texts are written first, so that their measured size decides how they are joined; only texts that are removed,
+    or that the tree cannot judge, meet the pages again.
     """
     parsed = staged(read_pages(pages, page_id, url, html), "parsed")
-    low = staged(importance(parsed).filter((F.col("importance") < threshold) & (F.col("pages") >= min_pages))
-                 .groupBy("host").agg(F.collect_set("path").alias("low")), "low")
-    blocks = F.transform(F.arrays_zip("texts", "paths", "kinds"), lambda b: F.struct(
-        b.texts.alias("text"), F.when(b.kinds == ARTICLE + 1, b.kinds).when(
-            F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b.paths), NOISE).otherwise(b.kinds).alias("kind")))
-    kept = (parsed.join(low, "host", "left").select("page_id", "url", blocks.alias("blocks"))
-            .withColumn("inside", F.exists("blocks", lambda b: b.kind >= ARTICLE))
-            .withColumn("main", F.filter("blocks", lambda b: F.when(F.col("inside"), b.kind >= ARTICLE).otherwise(b.kind != NOISE))))
+    per_text = staged(content(parsed), "content")
+    nodes = staged(importance(parsed, per_text), "nodes")
+    judged = F.col("pages") >= min_pages
+    low = judged & ((F.col("importance") < threshold) | (F.log2(F.col("pages") / F.col("k")) < min_bits))
+    verdicts = staged(per_text.filter("told").join(nodes, ["host", "path"])
+                      .select("host", "path", "t", low.alias("low"), (~judged & F.col("outside")).alias("rare")).filter("low OR rare"), "verdicts")
+    key = row_key("page_id", "url", "texts").alias("key")
+    marks = (_texts_of(parsed, key).join(verdicts, ["host", "path", "t"])
+             .filter(F.col("low") | (F.col("kind") == NORMAL))
+             .groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("pos"))).alias("low"),
+                                 F.collect_set(F.when(F.col("rare"), F.col("pos"))).alias("rare")))
+    marks = staged(marks, "marks")
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.arrays_zip("texts", "kinds"), lambda b, i: F.struct(
+        b.texts.alias("text"),
+        F.when((b.kinds == NOISE) | F.array_contains("low", i), NOISE).otherwise(b.kinds).alias("kind"), F.array_contains("rare", i).alias("rare")))
+    length = lambda keep: F.aggregate(F.filter("blocks", keep), F.lit(0).cast("long"), lambda a, b: a + F.length(b.text))
+    outside = lambda b: b.rare & (b.kind == NORMAL)
+    kept = (parsed.withColumn("key", key).join(marks, "key", "left")
+            .withColumns({"low": F.coalesce("low", none), "rare": F.coalesce("rare", none)})
+            .select("page_id", "url", blocks.alias("blocks"))
+            .withColumns({"inside": length(lambda b: b.kind > ARTICLE), "beside": length(outside)})
+            .withColumn("article", (F.col("inside") > 0) & (F.col("inside") >= F.col("beside")))
+            .withColumn("main", F.filter("blocks", lambda b: (b.kind != NOISE) & ~(F.col("article") & outside(b)))))
     text = F.array_join(F.transform("main", lambda b: b.text), " ")
     return kept.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"),
                        (F.coalesce(F.size("blocks"), F.lit(0)) - F.coalesce(F.size("main"), F.lit(0))).alias("n_removed")).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -138,8 +138,99 @@ def test_importance_is_the_entropy_of_styles_and_texts(spark):
     rows = [("<ul><li>a</li></ul>" if i < 3 else "<ul><li>b</li><p>c</p></ul>") for i in range(4)]
     table = spark.createDataFrame([(i, "http://h/x", r) for i, r in enumerate(rows)], "page_id long, url string, html string")
     got = {r.path: r for r in html_text.importance(html_text.read_pages(table)).collect()}
-    assert got["/ul/li"].content == pytest.approx(1 - (log(3, 4) + 0) / 2) and got["/ul/li"].importance == pytest.approx(got["/ul/li"].content)
-    assert got["/ul/p"].importance == 1.0
+    item = got[html_text.node("/ul/li")]
+    assert item.pages == 2 and item.content == pytest.approx(1 - (log(1, 2) + 0) / 2) and item.importance == pytest.approx(item.content)
+    assert got[html_text.node("/ul/p")].importance == 1.0
+
+
+def slow_main_text(pages):
+    """The tree by plain dictionaries: statistics over the different pages of a host, then verdicts text by text."""
+    from math import log, log2
+    from urllib.parse import urlsplit
+
+    read, hosts = [], defaultdict(dict)
+    for i, url, page in pages:
+        found = html_text.read_page(page)
+        host = (urlsplit(url or "").hostname or "") if "://" in (url or "") else ""
+        read.append((i, host, found))
+        own = tuple(t for t, kind in zip(found[0], found[2]) if kind != html_text.NOISE)
+        hosts[host].setdefault(own, []).append(found)
+    verdict = {}
+    for host, different in hosts.items():
+        stands, has, styles = defaultdict(set), defaultdict(set), defaultdict(set)
+        for own, copies in different.items():
+            for texts, paths, _, nodes, shapes in copies:
+                for text, path in zip(texts, paths):
+                    stands[path, text].add(own)
+                    has[path].add(own)
+                for path, shape in zip(nodes, shapes):
+                    styles[path, shape].add(own)
+        for path, with_it in has.items():
+            m, k = len(with_it), [len(v) for (p, _), v in stands.items() if p == path]
+            n = [len(v) for (p, _), v in styles.items() if p == path]
+            if m < html_text.MIN_PAGES:
+                verdict.update({(host, p, t): "rare" for p, t in stands if p == path})
+                continue
+            content = 1 - sum(log(x) for x in k) / len(k) / log(m)
+            presentation = min(1.0, -sum(x / sum(n) * log(x / sum(n)) for x in n) / log(m)) if n else 0.0
+            share = html_text.DECAY ** len(n)
+            node_low = (1 - share) * presentation + share * content < html_text.THRESHOLD
+            verdict.update({(host, p, t): "low" for (p, t), v in stands.items() if p == path and (node_low or log2(m / len(v)) < html_text.MIN_BITS)})
+    out = Counter()
+    for i, host, (texts, paths, kinds, *_) in read:
+        left = [(t, kind, verdict.get((host, p, t))) for t, p, kind in zip(texts, paths, kinds) if kind != html_text.NOISE]
+        left = [x for x in left if x[2] != "low"]
+        inside = sum(len(t) for t, kind, _ in left if kind > html_text.ARTICLE)
+        beside = [t for t, kind, v in left if v == "rare" and kind == html_text.NORMAL]
+        drop = inside > 0 and inside >= sum(map(len, beside))
+        out[i, " ".join(t for t, kind, v in left if not (drop and v == "rare" and kind == html_text.NORMAL))] += 1
+    return out
+
+
+def planted_pages():
+    """A large host whose articles repeat a notice, with text beside a teaser; copies of one article; hosts of one page."""
+    rng = random.Random(12)
+    def words(n):
+        return " ".join(str(rng.randrange(10 ** 6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        body, more = words(12), words(9)
+        rows.append((i, f"http://big.example/{i}", f"<p>Big news</p><article><h1>{body}</h1><p>Join our club</p><p>{more}</p></article>"
+                     f"<div class=story><p>{body}</p><p>{more}</p></div><div class=ad>{words(5)}</div><p class=fine>{('a', 'b')[i % 2]}</p>"))
+        want[i] = f"{body} {more} {body} {more}"
+    page = f"<h2>Copied</h2><article><p>{words(9)}</p><p>{words(9)}</p></article>"
+    for i in range(100, 130):
+        rows.append((i, f"https://copies.example/{i}", f"{page}<nav>{words(3)}</nav>"))
+        want[i] = re.sub(r"<[^>]*>", " ", page.removeprefix("<h2>Copied</h2>"))
+    story = words(20)
+    rows.append((200, "http://one.example", f"<article class=teaser><p>Teaser card</p></article><div class=story><p>{story}</p></div>"))
+    want[200] = "Teaser card " + story
+    rows.append((201, "http://two.example", f"<p>skip</p><article><p>{story}</p></article>"))
+    want[201] = story
+    return rows, {i: " ".join(t.split()) for i, t in want.items()}
+
+
+def test_tree_judges_texts_in_and_outside_articles(spark):
+    rows, want = planted_pages()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.main_text(table).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert Counter((r.page_id, r.text) for r in got) == slow_main_text(rows)
+    twice = html_text.main_text(table.union(table)).collect()
+    assert Counter((r.page_id, r.text) for r in twice) == Counter({k: 2 for k in slow_main_text(rows)})
+
+
+def test_op4_against_the_tree_by_dictionaries(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert Counter((r.page_id, r.text) for r in queries.op4_main_text(spark, SF).collect()) == slow_main_text(pages)
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "p", "li", "x-y"])
+def test_a_megabyte_of_nested_elements(tag):
+    deep = 1_000_000 // (len(tag) + 2)
+    found = html_text.read_page(f"<{tag}>" * deep + "deep" + f"</{tag}>" * deep + "</b>" * 1000 + "end")
+    assert " ".join(found[0]).split() in (["deep", "end"], ["deepend"])
+    assert html_text.read_page(f"<{tag}>a" * 20_000 + "</i>" * 20_000)[0]
 
 
 # Line dedup
