@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peoplelens.llm.common import row_key, staged
+from peoplelens.llm.common import staged
 
 DECAY = 0.9
 THRESHOLD = 0.5
@@ -201,7 +201,8 @@ def read_page(html: str | None) -> tuple[list[str], list[int], list[int], list[i
 
 
 def read_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, host, texts, paths, kinds, nodes, styles) of each page."""
+    """(page_id, url, host, texts, paths, kinds, nodes, styles, hashes, page, row) of each page: the hashes of its texts, what copies of a page
+    share (its texts that are not noise by name, and their nodes), and a number of its own."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     lists = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -216,46 +217,48 @@ def read_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["page_id", "url", "host", *names])
 
     kind = dict(pages.dtypes)
-    return source.mapInArrow(run, f"page_id {kind[page_id]}, url {kind[url]}, host string, texts array<string>, paths array<long>, "
+    read = source.mapInArrow(run, f"page_id {kind[page_id]}, url {kind[url]}, host string, texts array<string>, paths array<long>, "
                                   "kinds array<int>, nodes array<long>, styles array<long>")
+    own = F.transform(F.filter(F.arrays_zip("paths", "texts", "kinds"), lambda x: x.kinds != NOISE), lambda x: F.struct(x.paths, x.texts))
+    return read.withColumns({"hashes": F.transform("texts", lambda t: F.xxhash64(t)), "page": F.xxhash64(own),
+                             "row": F.monotonically_increasing_id()})
 
 
-def _page() -> Column:
-    """What copies of a page share: its texts that are not noise by name."""
-    return F.xxhash64(F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda x: x.kinds != NOISE), lambda x: x.texts))
+def different(parsed: DataFrame) -> DataFrame:
+    """One row of each set of copies of a page on a host, without the texts. Only sets of several are written and joined."""
+    copies = staged(parsed.groupBy("host", "page").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+                    .select("host", "page", "first"), "copies")
+    return (parsed.select("host", "page", "row", "paths", "kinds", "nodes", "styles", "hashes").join(copies, ["host", "page"], "left")
+            .filter("first IS NULL OR row = first"))
 
 
-def _texts_of(parsed: DataFrame, page: Column) -> DataFrame:
-    """(host, page, pos, path, t, kind): one row per text, the text as a hash."""
-    x = F.posexplode(F.transform(F.arrays_zip("paths", "texts", "kinds"), lambda x: F.struct(
-        x.paths.alias("path"), F.xxhash64(x.texts).alias("t"), x.kinds.alias("kind"))))
-    return parsed.select("host", page, x).select("*", "col.*").drop("col")
+def _texts_of(pages: DataFrame) -> DataFrame:
+    """(host, row, pos, path, t, kind): one row per text, the text as a hash."""
+    x = F.posexplode(F.arrays_zip(F.col("paths").alias("path"), F.col("hashes").alias("t"), F.col("kinds").alias("kind")))
+    return pages.select("host", "row", x).select("host", "row", "pos", "col.*")
 
 
-def content(parsed: DataFrame) -> DataFrame:
-    """(host, path, t, k, told, outside): on how many different pages each text of each node stands, whether it is anywhere not noise by name, and
-    whether it is anywhere outside an article then."""
-    once = _texts_of(parsed, _page().alias("page")).groupBy("host", "path", "t", "page").agg(
-        F.max(F.col("kind") != NOISE).alias("told"), F.max(F.col("kind") == NORMAL).alias("outside"))
-    return once.groupBy("host", "path", "t").agg(F.count("*").alias("k"), F.max("told").alias("told"), F.max("outside").alias("outside"))
+def content(pages: DataFrame) -> DataFrame:
+    """(host, path, t, k, told, outside): on how many of the different pages each text of each node stands, whether it is anywhere not noise by
+    name, and whether it is anywhere outside an article then."""
+    once = pages.withColumns({"x": F.array_distinct(F.arrays_zip(F.col("paths").alias("path"), F.col("hashes").alias("t"), F.col("kinds").alias("kind")))})
+    return once.select("host", F.explode("x").alias("x")).groupBy("host", "x.path", "x.t").agg(
+        F.count("*").alias("k"), F.max(F.col("x.kind") != NOISE).alias("told"), F.max(F.col("x.kind") == NORMAL).alias("outside"))
 
 
-def importance(parsed: DataFrame, per_text: DataFrame | None = None, decay: float = DECAY) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of each node that holds text."""
-    per_text = content(parsed) if per_text is None else per_text
+def importance(pages: DataFrame, per_text: DataFrame | None = None, decay: float = DECAY) -> DataFrame:
+    """(host, path, pages, presentation, content, importance) of each node that holds text, over ``different`` pages."""
+    per_text = content(pages) if per_text is None else per_text
     logs = per_text.groupBy("host", "path").agg(F.avg(F.log("k")).alias("mean_log"))
-    page = _page().alias("page")
-    pages = (parsed.select("host", page, F.explode("paths").alias("path")).distinct()
-             .groupBy("host", "path").agg(F.count("*").alias("pages")))
-    per_style = (parsed.select("host", page, F.explode(F.arrays_zip("nodes", "styles")).alias("x"))
-                 .select("host", "page", F.col("x.nodes").alias("path"), "x.styles").distinct()
-                 .groupBy("host", "path", "styles").agg(F.count("*").alias("n")))
+    held = pages.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"))
+    per_style = (pages.select("host", F.explode(F.arrays_zip("nodes", "styles")).alias("x"))
+                 .groupBy("host", F.col("x.nodes").alias("path"), "x.styles").agg(F.count("*").alias("n")))
     style = per_style.groupBy("host", "path").agg(
         F.count("*").alias("l"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("spread"))
     log_m = F.log("pages")
     many = F.col("pages") > 1
     shares = F.pow(F.lit(decay), F.coalesce("l", F.lit(0)))
-    return (pages.join(logs, ["host", "path"]).join(style, ["host", "path"], "left")
+    return (held.join(logs, ["host", "path"]).join(style, ["host", "path"], "left")
             .withColumn("content", F.when(many, 1 - F.col("mean_log") / log_m).otherwise(1.0))
             .withColumn("presentation", F.when(many, F.least(F.coalesce("spread", F.lit(0.0)) / log_m, F.lit(1.0))).otherwise(1.0))
             .select("host", "path", "pages", "presentation", "content",
@@ -270,16 +273,16 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     or that the tree cannot judge, meet the pages again.
     """
     parsed = staged(read_pages(pages, page_id, url, html), "parsed")
-    per_text = staged(content(parsed), "content")
-    nodes = staged(importance(parsed, per_text), "nodes")
+    once = different(parsed)
+    per_text = staged(content(once), "content")
+    nodes = staged(importance(once, per_text), "nodes")
     judged = F.col("pages") >= min_pages
     low = judged & ((F.col("importance") < threshold) | (F.log2(F.col("pages") / F.col("k")) < min_bits))
     verdicts = staged(per_text.filter("told").join(nodes, ["host", "path"])
                       .select("host", "path", "t", low.alias("low"), (~judged & F.col("outside")).alias("rare")).filter("low OR rare"), "verdicts")
-    key = row_key("page_id", "url", "texts").alias("key")
-    marks = (_texts_of(parsed, key).join(verdicts, ["host", "path", "t"])
+    marks = (_texts_of(parsed).join(verdicts, ["host", "path", "t"])
              .filter(F.col("low") | (F.col("kind") == NORMAL))
-             .groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("pos"))).alias("low"),
+             .groupBy("row").agg(F.collect_set(F.when(F.col("low"), F.col("pos"))).alias("low"),
                                  F.collect_set(F.when(F.col("rare"), F.col("pos"))).alias("rare")))
     marks = staged(marks, "marks")
     none = F.array().cast("array<int>")
@@ -288,7 +291,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         F.when((b.kinds == NOISE) | F.array_contains("low", i), NOISE).otherwise(b.kinds).alias("kind"), F.array_contains("rare", i).alias("rare")))
     length = lambda keep: F.aggregate(F.filter("blocks", keep), F.lit(0).cast("long"), lambda a, b: a + F.length(b.text))
     outside = lambda b: b.rare & (b.kind == NORMAL)
-    kept = (parsed.withColumn("key", key).join(marks, "key", "left")
+    kept = (parsed.select("row", "page_id", "url", "texts", "kinds").join(marks, "row", "left")
             .withColumns({"low": F.coalesce("low", none), "rare": F.coalesce("rare", none)})
             .select("page_id", "url", blocks.alias("blocks"))
             .withColumns({"inside": length(lambda b: b.kind > ARTICLE), "beside": length(outside)})

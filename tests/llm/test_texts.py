@@ -137,7 +137,7 @@ def test_importance_is_the_entropy_of_styles_and_texts(spark):
 
     rows = [("<ul><li>a</li></ul>" if i < 3 else "<ul><li>b</li><p>c</p></ul>") for i in range(4)]
     table = spark.createDataFrame([(i, "http://h/x", r) for i, r in enumerate(rows)], "page_id long, url string, html string")
-    got = {r.path: r for r in html_text.importance(html_text.read_pages(table)).collect()}
+    got = {r.path: r for r in html_text.importance(html_text.different(html_text.read_pages(table))).collect()}
     item = got[html_text.node("/ul/li")]
     assert item.pages == 2 and item.content == pytest.approx(1 - (log(1, 2) + 0) / 2) and item.importance == pytest.approx(item.content)
     assert got[html_text.node("/ul/p")].importance == 1.0
@@ -153,18 +153,17 @@ def slow_main_text(pages):
         found = html_text.read_page(page)
         host = (urlsplit(url or "").hostname or "") if "://" in (url or "") else ""
         read.append((i, host, found))
-        own = tuple(t for t, kind in zip(found[0], found[2]) if kind != html_text.NOISE)
-        hosts[host].setdefault(own, []).append(found)
+        own = tuple((t, p) for t, p, kind in zip(*found[:3]) if kind != html_text.NOISE)
+        hosts[host].setdefault(own, found)
     verdict = {}
     for host, different in hosts.items():
         stands, has, styles = defaultdict(set), defaultdict(set), defaultdict(set)
-        for own, copies in different.items():
-            for texts, paths, _, nodes, shapes in copies:
-                for text, path in zip(texts, paths):
-                    stands[path, text].add(own)
-                    has[path].add(own)
-                for path, shape in zip(nodes, shapes):
-                    styles[path, shape].add(own)
+        for own, (texts, paths, _, nodes, shapes) in different.items():
+            for text, path in zip(texts, paths):
+                stands[path, text].add(own)
+                has[path].add(own)
+            for path, shape in zip(nodes, shapes):
+                styles[path, shape].add(own)
         for path, with_it in has.items():
             m, k = len(with_it), [len(v) for (p, _), v in stands.items() if p == path]
             n = [len(v) for (p, _), v in styles.items() if p == path]
