@@ -213,16 +213,31 @@ def pseudonymise(text: str, key: bytes, back: bool = False, _compiled: list = []
     import re
 
     if not _compiled:
-        _compiled.append((re.compile(r"[0-9]"), re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in KINDS)),
-                          {k: re.compile(PATTERNS[k]) for k in KINDS}))
-    digit, every, single = _compiled[0]
+        _compiled.append((re.compile(r"[0-9]"), re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in KINDS if k != "email")),
+                          {k: re.compile(PATTERNS[k]) for k in KINDS},
+                          re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"), re.compile(r"(?<![\w.+-])[A-Za-z0-9]")))
+    digit, others, single, local, first = _compiled[0]
     counts = dict.fromkeys(KINDS, 0)
     if "@" not in text and not digit.search(text):
         return text, counts
-    out, done, at = [], 0, 0
-    while m := every.search(text, at):
-        start = m.start()
-        for kind in KINDS[KINDS.index(m.lastgroup):]:  # a value that is not valid as one kind may be so as another
+    # What stands before an @ is looked at once: searching for addresses from every possible start takes the square of a long token.
+    locals_ = [m.span() for m in local.finditer(text)] if "@" in text else []
+    next_local, email, out, done, at, m = 0, None, [], 0, 0, others.search(text)
+    while True:
+        while m and m.start() < at:
+            m = others.search(text, at)
+        if email and email.start() < at:
+            email, next_local = None, next_local - 1  # another start in the same token may follow
+        while not email and next_local < len(locals_):
+            start, end = locals_[next_local]
+            begin = first.search(text, max(start, at), end - 1) if at < end else None
+            email = single["email"].match(text, begin.start()) if begin else None
+            next_local += 1
+        if not m and not email:
+            break
+        start = min(x.start() for x in (m, email) if x)
+        kinds = KINDS if email and email.start() == start else KINDS[KINDS.index(m.lastgroup):]
+        for kind in kinds:  # a value that is not valid as one kind may be so as another
             found = single[kind].match(text, start)
             new = pseudonym(kind, found[0], key, back) if found else None
             if new is not None:

@@ -57,6 +57,35 @@ def test_texts_turn_back_and_equal_values_stay_linked():
     assert pseudonyms.pseudonymise("x 43.105.121.42", b"another key 1234")[0] != again
 
 
+def slow_pseudonymise(text):
+    """All kinds by one pattern, tried at every place."""
+    every, single = re.compile("|".join(f"(?P<{k}>{pseudonyms.PATTERNS[k]})" for k in pseudonyms.KINDS)), pseudonyms.PATTERNS
+    counts, out, at, done = dict.fromkeys(pseudonyms.KINDS, 0), "", 0, 0
+    while m := every.search(text, at):
+        at = m.start() + 1
+        for kind in pseudonyms.KINDS[pseudonyms.KINDS.index(m.lastgroup):]:
+            found = re.compile(single[kind]).match(text, m.start())
+            new = pseudonyms.pseudonym(kind, found[0], KEY) if found else None
+            if new is not None:
+                out, done, at = out + text[done:m.start()] + new, found.end(), found.end()
+                counts[kind] += 1
+                break
+    return out + text[done:], counts
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "%", "@", "@x.com", ".", "-", "+", "_", " ", "1.2.3.4", "2024-02-29", "9", "555-12", "\u00e9", "x.org", "078-05-1120"]), max_size=14))
+def test_finding_values_equals_one_pattern_at_every_place(parts):
+    text = "".join(parts)
+    assert pseudonyms.pseudonymise(text, KEY) == slow_pseudonymise(text)
+
+
+def test_a_megabyte_of_one_token():
+    for token in ("%20ab", "a@b", "a%@", "@", "1.", "12-", "a.b+"):
+        text = token * (1_000_000 // len(token))
+        assert pseudonyms.pseudonymise(text, KEY)[0] and pseudonyms.pseudonymise(text + " x%y@mail.example.com", KEY)[1]["email"] >= 1
+
+
 def test_what_is_no_value_stays():
     text = "version 4.0. 300.1.1.1 1.2.3.4.5 4035065943088455 2023-02-30 000-12-3456 GB00 WEST 1234 5698 7654 32 a@b 12 345 3.14 1999"
     assert pseudonyms.pseudonymise(text, KEY) == (text, dict.fromkeys(pseudonyms.KINDS, 0))
