@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.people import NUMERIC, people
 from catalog.registry import (
@@ -59,6 +60,45 @@ def io3(spark, sf):
     return both.groupBy("verdict", F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("records"))
 
 
+TOKENS_SQL = "(" + ", ".join("'" + t + "'" for t in R.CSV_NULL_TOKENS) + ")"
+
+
+@query("io3_quarantine", f"""
+WITH d AS (SELECT doc_id % 7 AS kind, lang IS NULL OR lang IN {TOKENS_SQL} OR doc_id % 7 IN (2, 5) AS no_lang,
+             CASE WHEN text IN {TOKENS_SQL} THEN 0 ELSE coalesce(length(text), 0) END AS chars FROM documents),
+r AS (SELECT 'fields' AS reason, kind, 0 AS chars FROM d WHERE kind IN (0, 3)
+  UNION ALL SELECT 'missing:lang', kind, 0 FROM d WHERE kind NOT IN (0, 3) AND no_lang
+  UNION ALL SELECT 'unparsable:n_chars', kind, 0 FROM d WHERE kind IN (1, 5)
+  UNION ALL SELECT 'accepted', kind, chars FROM d WHERE kind NOT IN (0, 1, 3, 5) AND NOT no_lang)
+SELECT reason, kind, count(*) AS records, CAST(sum(chars) AS BIGINT) AS chars FROM r GROUP BY reason, kind""")
+def io3_quarantine(spark, sf):
+    """All documents as CSV lines, most of them damaged by their id; accepted and rejected records are written, read back and counted by reason."""
+    schema = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("n_chars", "long")
+    accepted, rejected = scan.quarantine(spark, _damaged_csv(spark, sf), schema, required=("doc_id", "lang"), multiline=True)
+    folder = new_folder(spark, "quarantine")
+    good = spark.read.parquet(sink.write_snapshot(accepted, folder, "accepted"))
+    bad = spark.read.parquet(sink.write_snapshot(rejected, folder, "rejected"))
+    counted = good.select(F.lit("accepted").alias("reason"), (F.col("doc_id") % 7).alias("kind"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    doc = F.regexp_extract(scan.RECORD, r"^(\d+),", 1).cast("long")
+    counted = counted.unionByName(bad.select(F.explode(scan.REASONS).alias("reason"), (doc % 7).alias("kind"), F.lit(0).alias("chars")))
+    return counted.groupBy("reason", "kind").agg(F.count(F.lit(1)).alias("records"), F.sum("chars").cast("long").alias("chars"))
+
+
+def _damaged_csv(spark, sf):
+    """Of each seven documents: one with a field too many, one cut off, one and one with a number that is none, two without a language."""
+    kind, doc = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    quoted = F.concat(F.lit('"'), F.regexp_replace("text", '"', '""'), F.lit('"'))
+    fields = [doc, F.when(kind.isin(1, 5), F.concat(F.lit("about "), doc)).otherwise(F.length("text").cast("string")),
+              F.when(~kind.isin(2, 5), F.col("lang")), quoted]
+    line = F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
+    line = F.when(kind == 0, F.concat(line, F.lit(",extra"))).when(kind == 3, F.concat(doc, F.lit(",1"))).otherwise(line)
+    # The first row of a task begins its file, with the header.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    path = new_folder(spark, "damaged")
+    table(spark, sf, "documents").select(F.when(first, F.concat(F.lit("Doc_ID,n_chars, Lang,text\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
 @query("io4_versioned_sink", P + """ SELECT version, sex, count(*) AS n FROM people
   JOIN (VALUES (0), (1)) AS t(version) ON true GROUP BY version, sex""")
 def io4(spark, sf):

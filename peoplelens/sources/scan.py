@@ -61,6 +61,39 @@ def split_rows(df: DataFrame, required) -> tuple[DataFrame, DataFrame]:
     return df.where(filled), df.where(~filled)
 
 
+#: Columns that a quarantine adds; a table that has them is refused.
+RECORD, REASONS = "_record", "_reasons"
+
+
+def quarantine(spark: SparkSession, path: str, schema: T.StructType, required=(), multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of CSV files with a header: the typed rows, and the others as ``_record`` text with ``_reasons``.
+
+    Reasons are ``fields`` (a record with too many or too few fields, of which nothing else is said), ``missing:<column>`` for a required column that is empty or
+    an empty-value token, and ``unparsable:<column>`` for a value that is not of its type; a record can have several. A header that lacks columns
+    or has others raises ``SchemaRejected``; their order is free, but the same in all files. Every record is in exactly one of the two tables, and both are lazy projections of one scan.
+    """
+    options = dict(header=True, escape='"', multiLine=multiline)
+    names = normalise_header(spark.read.options(**options).csv(path)).columns
+    kinds = {f.name: f.dataType for f in schema.fields}
+    missing, extra = sorted(set(kinds) - set(names)), sorted(set(names) - set(kinds))
+    if missing or extra or {RECORD, REASONS} & set(names):
+        raise SchemaRejected(f"missing: {missing}; not expected: {extra}")
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
+    # Without column pruning a record is always cut into all of its fields, so that their number is known.
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, columnPruning=False).schema(texts).csv(path)
+    cut = raw.select(*[F.when(~col(c).isin(*R.CSV_NULL_TOKENS), col(c)).alias(c) for c in names], RECORD,
+                     F.to_csv(F.struct(*[col(c) for c in names])).alias("_line"))
+    typed = {c: col(c) if isinstance(kinds[c], T.StringType) else col(c).try_cast(kinds[c]) for c in names}
+    broken = [F.when(col(c).isNull(), F.lit(f"missing:{c}")) for c in names if c in required]
+    broken += [F.when(col(c).isNotNull() & typed[c].isNull(), F.lit(f"unparsable:{c}")) for c in names if not isinstance(kinds[c], T.StringType)]
+    reasons = F.when(F.col(RECORD).isNotNull(), F.array(F.lit("fields"))).otherwise(
+        F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
+    judged = cut.withColumn(REASONS, reasons)
+    accepted = judged.where(F.size(REASONS) == 0).select(*[typed[f.name].alias(f.name) for f in schema.fields])
+    rejected = judged.where(F.size(REASONS) > 0).select(F.coalesce(RECORD, "_line").alias(RECORD), REASONS)
+    return accepted, rejected
+
+
 def preview(df: DataFrame, order, rows: int = 10) -> DataFrame:
     """First rows in an explicit order."""
     return df.orderBy(*order).limit(rows)

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from peoplelens.functions import quantiles as Q
 from peoplelens.operators import association as A, audit, cleaning as C, exploration as E, features as T, frequency as V, insights as N, outliers as O
@@ -283,6 +284,19 @@ def test_result_does_not_depend_on_partitions(folk):
     assert answers(folk.repartition(1)) == answers(folk.repartition(8))
 
 
+def test_quarantine_gives_each_record_its_reasons(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Name,Age, City \n"Ann, B",31,Rome\nBob,x,NA\nCy,,"Os\nlo"\n\nDi,4,Bern,more\nEd\n,7,NULL\n"q""q",8,Ulm\n')
+    schema = StructType().add("age", "integer").add("name", "string").add("city", "string")
+    good, bad = scan.quarantine(spark, str(tmp_path), schema, required=("name", "city"), multiline=True)
+    assert good.schema == schema
+    assert {tuple(r) for r in good.collect()} == {(31, "Ann, B", "Rome"), (None, "Cy", "Os\nlo"), (8, 'q"q', "Ulm")}
+    reasons = {r[scan.RECORD].strip(): sorted(r[scan.REASONS]) for r in bad.collect()}
+    assert reasons == {"Bob,x,NA": ["missing:city", "unparsable:age"], "Di,4,Bern,more": ["fields"], "Ed": ["fields"], ",7,NULL": ["missing:city", "missing:name"]}
+    assert good.count() == 3 and bad.count() == 4  # whichever columns are read
+    with pytest.raises(scan.SchemaRejected):
+        scan.quarantine(spark, str(tmp_path), StructType().add("age", "integer").add("town", "string"))
+
+
 def test_csv_round_trip_gate_and_sinks(spark, folk, tmp_path):
     folder = str(tmp_path)
     census = folk.drop("joined_date", "body_weight", "team", "badge_no")
@@ -336,6 +350,30 @@ def test_dashboard_sections(folk):
         dashboard.dashboard(folk.drop("income"))
 
 
+def test_counted_sections_come_from_one_pass(folk):
+    """Their plans read the counted cells only, and equal the operators on rows."""
+    f = dashboard.R.resolve_fields(folk.columns)
+    b = dashboard.binned_with_raw(folk, f, Rules())
+    names = {k: v for k, v in f.items() if v}
+    cells = dashboard.count_cells(b, names)
+    assert cells.keys() == set(dashboard.COUNTED)
+    tables, high, gain = dashboard.dashboard(folk), F.col("_high"), F.col("_capital_gain")
+    c = {k: F.col(v) for k, v in names.items()}
+    by_rows = {
+        "marital_by_sex": E.rate_cells(b, c["marital"], c["sex"], high), "education_of_target": E.composition(b.where(high), c["occupation"], c["education"]),
+        "gain_prevalence": E.prevalence_grid(b, c["education"], c["occupation"], high, gain), "target_split": E.target_split(b, high),
+        "segments_by_gender_and_occupation": E.segment_composition(b, c["occupation"], high, gain, c["sex"]),
+        "gender_by_occupation": E.gender_rates(b, c["occupation"], c["sex"], high), "target_by_gender": E.target_by_gender(b, c["sex"], high),
+        "dual_by_gender": E.dual_rate_by_gender(b, c["sex"], high, gain), "dual_by_marital": E.dual_rate_by(b, c["marital"], high, gain),
+        "occupation_by_hours": E.hours_cells(b, c["occupation"], c["hours"], high)}
+    for name, rows in by_rows.items():
+        assert [[pytest.approx(x) if isinstance(x, float) else x for x in r] for r in sorted(map(tuple, rows.collect()))] == \
+            [list(r) for r in sorted(map(tuple, tables[name].collect()))], name
+    of_rows = {"kpi", "associations", "feature_rates", "breakdown", "gain_by_target", "archetype"}
+    folders = {name: {file.split("/part-")[0].rsplit("/", 1)[-1].split("-")[0] for file in t.inputFiles()} for name, t in tables.items()}
+    assert all(folders[name] == {"cells"} for name in tables.keys() - of_rows)
+
+
 @pytest.mark.parametrize("field", FIELDS)
 def test_dashboard_without_a_field(folk, field):
     tables = dashboard.dashboard(folk.drop(field))
