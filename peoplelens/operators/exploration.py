@@ -1,6 +1,8 @@
 """Exploration of a binary target: rates, cross-tabs, compositions, gaps, profile of the target group.
 
 Groups are labels, with NULL as the label ``nan``. Ties for best and worst go to the smallest label.
+
+The counting operators read rows, or counted cells of rows: ``weight`` is then the number of rows that a cell stands for, as ``counted_cells`` gives it.
 """
 
 from __future__ import annotations
@@ -9,17 +11,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
-from peoplelens.functions.expr import first_int, gender, label, name_sql, ranked_first, share, strip
+from peoplelens.functions.expr import col, first_int, gender, label, name_sql, ranked_first, share, strip
 from peoplelens.functions.frames import melt
 from peoplelens.functions.quantiles import column_quantiles, grouped_quantiles
 from peoplelens.operators.association import association_scores
+from peoplelens.session import staged
 
 # Labels of the four segments.
 SEGMENTS = ("High & Has CapGain", "High & No CapGain", "Std & Has CapGain", "Std & No CapGain")
 
 
-def _rate(target: Column) -> Column:
-    return F.avg(target.cast("double"))
+def _n(weight: Column | None) -> Column:
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))
+
+
+def _n_if(condition: Column, weight: Column | None) -> Column:
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
+
+
+def _rate(target: Column, weight: Column | None = None) -> Column:
+    return F.avg(target.cast("double")) if weight is None else share(_n_if(target, weight), _n_if(target.isNotNull(), weight))
+
+
+def counted_cells(df: DataFrame, sets: list[tuple[str, ...]], flags: tuple[str, ...]) -> dict[tuple[str, ...], DataFrame]:
+    """For each set of columns its cells (the set's columns, the flags, n), all from one pass over the rows.
+
+    One aggregate by grouping sets, folded on each task first and written; a set's cells are then a filter of what was written.
+    """
+    columns = [*dict.fromkeys(c for one in sets for c in one), *flags]
+    grouped = df.groupingSets([[col(c) for c in (*one, *flags)] for one in sets], *[col(c) for c in columns])
+    cells = staged(grouped.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n")), "cells")
+    number = {one: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in one and c not in flags) for one in sets}
+    return {one: cells.where(F.col("_set") == number[one]).select(*map(col, (*one, *flags)), "n") for one in sets}
 
 
 def highest(value: Column, name: Column) -> Column:
@@ -33,19 +56,19 @@ def lowest(value: Column, name: Column) -> Column:
 
 # --- rates -----------------------------------------------------------------------------------------------------
 
-def target_split(df: DataFrame, target: Column) -> DataFrame:
+def target_split(df: DataFrame, target: Column, weight: Column | None = None) -> DataFrame:
     """Counts and shares of both classes and the ratio of the standard to the target class."""
-    n, high = F.count(F.lit(1)), F.count_if(target)
+    n, high = _n(weight), _n_if(target, weight)
     return df.agg(n.alias("total"), high.alias("n_high"), (n - high).alias("n_std"),
                   share(high, n, 100.0).alias("pct_high"), share(n - high, n, 100.0).alias("pct_std"),
                   share(n - high, F.greatest(high, F.lit(1))).alias("ratio"))
 
 
-def rate_by(df: DataFrame, group: Column, target: Column, top: int | None = None) -> DataFrame:
+def rate_by(df: DataFrame, group: Column, target: Column, top: int | None = None, weight: Column | None = None) -> DataFrame:
     """Target rate per label. ``top`` keeps the labels with the most rows, NULL not competing."""
     if top is not None:
         df = df.where(group.isNotNull())
-    rates = df.groupBy(label(group).alias("label")).agg(F.count(F.lit(1)).alias("n"), _rate(target).alias("rate"))
+    rates = df.groupBy(label(group).alias("label")).agg(_n(weight).alias("n"), _rate(target, weight).alias("rate"))
     return rates if top is None else rates.orderBy(F.desc("n"), F.asc("label")).limit(top)
 
 
@@ -89,10 +112,10 @@ def top_feature_breakdown(df: DataFrame, target_column: str, target: Column, k:
 
 # --- cross-tabs --------------------------------------------------------------------------------------------------
 
-def rate_cells(df: DataFrame, row: Column, column: Column, target: Column) -> DataFrame:
+def rate_cells(df: DataFrame, row: Column, column: Column, target: Column, weight: Column | None = None) -> DataFrame:
     """Count and target rate per non-empty cell."""
     return df.groupBy(label(row).alias("row"), label(column).alias("col")).agg(
-        F.count(F.lit(1)).alias("n"), _rate(target).alias("rate"))
+        _n(weight).alias("n"), _rate(target, weight).alias("rate"))
 
 
 def rate_grid(df: DataFrame, row: Column, column: Column, target: Column) -> DataFrame:
@@ -123,12 +146,12 @@ def label_order(df: DataFrame, group: Column, target: Column, by: str = "rate")
     return rates.select("label", "sort_number", "rate").orderBy(key, F.asc("label"))
 
 
-def hours_cells(df: DataFrame, group: Column, hours: Column, target: Column) -> DataFrame:
+def hours_cells(df: DataFrame, group: Column, hours: Column, target: Column, weight: Column | None = None) -> DataFrame:
     """Count, rate and bubble size per (group, hours) cell with the group's hours-weighted total.
 
     The weight of an hours label is its first number, 999 without one.
     """
-    cells = rate_cells(df, group, hours, target).withColumn("weight", F.coalesce(first_int(F.col("col")), F.lit(999)))
+    cells = rate_cells(df, group, hours, target, weight).withColumn("weight", F.coalesce(first_int(F.col("col")), F.lit(999)))
     per_group = Window.partitionBy("row")
     size = F.greatest(F.lit(8.0), share(F.col("n"), cells.agg(F.max("n")).scalar(), 55.0))
     return cells.select("row", "col", "n", "rate", size.alias("size"),
@@ -148,9 +171,9 @@ def top_median(medians: DataFrame) -> DataFrame:
 
 # --- compositions --------------------------------------------------------------------------------------------------
 
-def composition(df: DataFrame, row: Column, column: Column) -> DataFrame:
+def composition(df: DataFrame, row: Column, column: Column, weight: Column | None = None) -> DataFrame:
     """Share in % of every column label within its row label."""
-    cells = df.groupBy(label(row).alias("row"), label(column).alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(label(row).alias("row"), label(column).alias("col")).agg(_n(weight).alias("n"))
     return cells.select("row", "col", "n", share(F.col("n"), F.sum("n").over(Window.partitionBy("row")), 100.0).alias("pct"))
 
 
@@ -170,35 +193,37 @@ def segment(target: Column, gain: Column) -> Column:
     return (F.when(target & has, SEGMENTS[0]).when(target, SEGMENTS[1]).when(has, SEGMENTS[2]).otherwise(SEGMENTS[3]))
 
 
-def segment_composition(df: DataFrame, group: Column, target: Column, gain: Column, sex: Column | None = None) -> DataFrame:
+def segment_composition(df: DataFrame, group: Column, target: Column, gain: Column, sex: Column | None = None,
+                        weight: Column | None = None) -> DataFrame:
     """Share in % of the four segments per label, those with the largest target share first; within each gender if ``sex`` is given."""
-    flags = df.select(label(group).alias("label"), segment(target, gain).alias("s"), *([gender(sex).alias("gender")] if sex is not None else []))
+    w = F.lit(1) if weight is None else weight
+    flags = df.select(label(group).alias("label"), segment(target, gain).alias("s"), w.alias("w"),
+                      *([gender(sex).alias("gender")] if sex is not None else []))
     keys = ["label"] if sex is None else ["gender", "label"]
-    n = F.count(F.lit(1))
+    n = _n(F.col("w"))
     wide = (flags if sex is None else flags.where(F.col("gender").isin("male", "female"))).groupBy(*keys).agg(n.alias("n"), *[
-        share(F.count_if(F.col("s") == s), n, 100.0).alias(s) for s in SEGMENTS])
+        share(_n_if(F.col("s") == s, F.col("w")), n, 100.0).alias(s) for s in SEGMENTS])
     return wide.orderBy(*keys[:-1], F.desc(F.col(f"`{SEGMENTS[0]}`") + F.col(f"`{SEGMENTS[1]}`")), F.asc("label"))
 
 
-def dual_rate_by(df: DataFrame, group: Column, target: Column, gain: Column) -> DataFrame:
+def dual_rate_by(df: DataFrame, group: Column, target: Column, gain: Column, weight: Column | None = None) -> DataFrame:
     """Share of rows per label that are in the target class and have a gain."""
     both = target & F.coalesce(gain > 0, F.lit(False))
-    return rate_by(df, group, both)
+    return rate_by(df, group, both, weight=weight)
 
 
-def dual_rate_by_gender(df: DataFrame, sex: Column, target: Column, gain: Column) -> DataFrame:
+def dual_rate_by_gender(df: DataFrame, sex: Column, target: Column, gain: Column, weight: Column | None = None) -> DataFrame:
     """Target share and share with target and gain, for each gender."""
     both = target & F.coalesce(gain > 0, F.lit(False))
-    return df.select(gender(sex).alias("gender"), target.alias("t"), both.alias("b")) \
-        .where(F.col("gender").isin("male", "female")).groupBy("gender").agg(
-        (F.avg(F.col("t").cast("double")) * 100).alias("target_pct"), (F.avg(F.col("b").cast("double")) * 100).alias("dual_pct"))
+    return df.withColumn("_gender", gender(sex)).where(F.col("_gender").isin("male", "female")).groupBy(F.col("_gender").alias("gender")).agg(
+        (_rate(target, weight) * 100).alias("target_pct"), (_rate(both, weight) * 100).alias("dual_pct"))
 
 
-def prevalence_grid(df: DataFrame, row: Column, column: Column, target: Column, x: Column) -> DataFrame:
+def prevalence_grid(df: DataFrame, row: Column, column: Column, target: Column, x: Column, weight: Column | None = None) -> DataFrame:
     """Share in % with x > 0 per pair of labels within each target class; absent pairs stand for 0."""
-    has = F.coalesce(x > 0, F.lit(False)).cast("double")
+    has = F.coalesce(x > 0, F.lit(False))
     return df.groupBy(target.alias("high"), label(row).alias("row"), label(column).alias("col")).agg(
-        (F.avg(has) * 100).alias("pct"))
+        (_rate(has, weight) * 100).alias("pct"))
 
 
 def prevalence_peak(grid: DataFrame) -> DataFrame:
@@ -220,12 +245,12 @@ def numeric_by_target(df: DataFrame, x: Column, target: Column) -> DataFrame:
         F.when(std_mean > 0, high_mean / std_mean).otherwise(0.0).alias("multiplier"))
 
 
-def target_by_gender(df: DataFrame, sex: Column, target: Column) -> DataFrame:
+def target_by_gender(df: DataFrame, sex: Column, target: Column, weight: Column | None = None) -> DataFrame:
     """Counts of both classes and target share per gender, and the gap in points."""
     g = gender(sex)
 
     def n(who, cls):
-        return F.count_if((g == who) & cls)
+        return _n_if((g == who) & cls, weight)
 
     male, female = n("male", F.lit(True)), n("female", F.lit(True))
     pm = F.coalesce(share(n("male", target), male, 100.0), F.lit(0.0))
@@ -235,14 +260,15 @@ def target_by_gender(df: DataFrame, sex: Column, target: Column) -> DataFrame:
                   pm.alias("male_pct"), pf.alias("female_pct"), (pm - pf).alias("gap"))
 
 
-def gender_rates(df: DataFrame, group: Column, sex: Column, target: Column) -> DataFrame:
+def gender_rates(df: DataFrame, group: Column, sex: Column, target: Column, weight: Column | None = None) -> DataFrame:
     """Male and female target rate per label in one aggregate, 0 where a gender is absent, by their mean."""
     g = gender(sex)
-    y = target.cast("double")
+
+    def rate(who):
+        return F.coalesce(share(_n_if((g == who) & target, weight), _n_if((g == who) & target.isNotNull(), weight)), F.lit(0.0))
+
     rates = df.groupBy(label(group).alias("label")).agg(
-        F.coalesce(F.avg(F.when(g == "male", y)), F.lit(0.0)).alias("male_rate"),
-        F.coalesce(F.avg(F.when(g == "female", y)), F.lit(0.0)).alias("female_rate"),
-        F.count_if(g.isin("male", "female")).alias("n")).where(F.col("n") > 0)
+        rate("male").alias("male_rate"), rate("female").alias("female_rate"), _n_if(g.isin("male", "female"), weight).alias("n")).where(F.col("n") > 0)
     return rates.select("label", "male_rate", "female_rate", ((F.col("male_rate") + F.col("female_rate")) / 2).alias("mean_rate"),
                         ((F.col("male_rate") - F.col("female_rate")) * 100).alias("gap")).orderBy("mean_rate", "label")
 
