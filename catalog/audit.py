@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.people import NUMERIC, people
 from catalog.registry import (
     OUTLIER_SQL, P, ZONES_SQL, big, noise_sql, number_long, number_stats, pct, query, rd, rounded, table, text_long,
@@ -13,6 +15,8 @@ from peoplelens.operators import cleaning as C
 from peoplelens.operators import outliers as O
 from peoplelens.operators.frequency import text_frequency
 from peoplelens.operators.profile import fit_profiles
+from peoplelens.operators.state import AuditState
+from peoplelens.session import new_folder
 
 NOISY = f"noisy AS (SELECT * FROM tf WHERE {noise_sql('v')})"
 
@@ -229,6 +233,32 @@ def q22(spark, sf):
     return rounded(Q.audit_result(people(spark, sf)))
 
 
+@query("q22_audit_state", AUDIT + " SELECT * FROM found WHERE section NOT IN ('low_variance', 'outliers')")
+def q22_state(spark, sf):
+    """Two states of two batches each, a batch offered twice, merged: the audit of all rows."""
+    part = F.pmod(F.xxhash64("age", "fnlwgt", "team"), F.lit(4))
+    states = [AuditState(spark, new_folder(spark, "state")) for _ in range(2)]
+    for i in range(4):
+        for _ in range(2):
+            states[i // 2].add(f"batch-{i}", people(spark, sf).where(part == i))
+    return rounded(states[0].merged_into(new_folder(spark, "state"), states[1]).audit())
+
+
+@query("a5_quantiles_from_state", "WITH " + number_stats("lineitem", LI) + """ SELECT col AS "column", """
+       + ", ".join(f"{rd(x, 4)} AS {n}" for x, n in (("q1", "q1"), ("med", "median"), ("q3", "q3"))) + ", n AS filled, " + rd("mean", 4) + " AS mean, "
+       + rd("sd", 4) + " AS std, coalesce(round(skew, 3), 0.0) AS skewness FROM st")
+def a5_state(spark, sf):
+    """Exact quartiles bracketed by the merged sketches of four batches, with the merged moments."""
+    items = table(spark, sf, "lineitem")
+    state = AuditState(spark, new_folder(spark, "state"))
+    for i in range(4):
+        state.add(f"batch-{i}", items.where(F.col("l_orderkey") % 4 == i).select(*LI))
+    found = small_frame(spark, "column string, q1 double, median double, q3 double", [
+        (c, *q) for c, q in state.quantiles(items.select(*LI), (0.25, 0.5, 0.75)).items()])
+    moments = state.profile().select("column", (F.col("rows") - F.col("missing")).alias("filled"), "mean", "std", "skewness")
+    return rounded(found.join(moments, "column"), 4, skewness=3)
+
+
 @query("q21_key_issues", AUDIT + """, k(position, severity, kind) AS (VALUES (1, 'orange', 'missing'), (2, 'orange', 'noise'), (3, 'yellow', 'skewed'),
    (4, 'red', 'duplicates'), (5, 'orange', 'outliers'), (6, 'red', 'inconsistent'), (7, 'yellow', 'low_variance'))
   SELECT position, severity, kind, CASE WHEN kind IN ('duplicates', 'inconsistent') THEN '' ELSE string_agg(item, ', ' ORDER BY item) END AS columns,

@@ -92,10 +92,12 @@ def _brackets(column: str, n: int, ranks, edges, low: float, high: float) -> lis
     return found
 
 
-def column_quantiles(df: DataFrame, columns: dict[str, str], probs, sketches: dict[str, tuple] | None = None) -> dict[str, list]:
+def column_quantiles(df: DataFrame, columns: dict[str, str], probs, sketches: dict[str, tuple] | None = None,
+                     certain: bool = True) -> dict[str, list]:
     """Quantiles of several double expressions (SQL text) in three scans, all columns in each.
 
-    ``sketches`` gives (rows, lowest, highest, sketch) per column where a pass of the caller has taken them along.
+    ``sketches`` gives (rows, lowest, highest, sketch) per column where a pass of the caller has taken them along. If they only probably hold the
+    ranks (not ``certain``), every bracket is counted, and a column with a rank outside of them is sketched anew.
     """
     if not columns:
         return {}
@@ -111,13 +113,17 @@ def column_quantiles(df: DataFrame, columns: dict[str, str], probs, sketches: di
         if n:
             ranks = [{floor((n - 1) * probs[i]), ceil((n - 1) * probs[i])} for i in order]
             open_ += _brackets(c, n, ranks, [(edges[2 * i], edges[2 * i + 1]) for i in order], low, high)
-    open_ = _settled(open_, found)
+    lost: set[str] = set()
+    if certain:
+        open_ = _settled(open_, found)
     if open_:
-        open_ = _settled(_narrowed(df, columns, open_), found)
+        smaller, lost = _narrowed(df, columns, open_)
+        open_ = _settled(smaller, found)
     if open_:
         _rank_inside(df, columns, open_, found)
-    return {c: [None] * len(probs) if not sketches[c][0] else [_between(found[c], (sketches[c][0] - 1) * p) for p in probs]
-            for c in columns}
+    anew = column_quantiles(df, {c: columns[c] for c in lost}, probs)
+    return anew | {c: [None] * len(probs) if not sketches[c][0] else [_between(found[c], (sketches[c][0] - 1) * p) for p in probs]
+                   for c in columns if c not in lost}
 
 
 def _settled(open_: list[_Bracket], found: dict) -> list[_Bracket]:
@@ -128,8 +134,11 @@ def _settled(open_: list[_Bracket], found: dict) -> list[_Bracket]:
     return [b for b in open_ if b.low != b.high]
 
 
-def _narrowed(df: DataFrame, columns: dict[str, str], open_: list[_Bracket]) -> list[_Bracket]:
-    """The same ranks in smaller brackets: a grid of quantiles of the values inside each, and the number of values below it."""
+def _narrowed(df: DataFrame, columns: dict[str, str], open_: list[_Bracket]) -> tuple[list[_Bracket], set[str]]:
+    """The same ranks in smaller brackets: a grid of quantiles of the values inside each, and the number of values below it.
+
+    Columns with a rank outside its bracket are left out and named.
+    """
     grid = [i / GRID for i in range(GRID + 1)]
     cells = []
     for b in open_:
@@ -138,7 +147,11 @@ def _narrowed(df: DataFrame, columns: dict[str, str], open_: list[_Bracket]) ->
         cells.append(f"struct(count_if({x} < {low}) AS below, count({inside}) AS n, min({inside}) AS low, max({inside}) AS high, "
                      f"percentile_approx({inside}, array({', '.join(f'{g!r}D' for g in grid)}), {ACCURACY}) AS grid)")
     out = []
-    for b, r in zip(open_, df.agg(F.expr(f"array({', '.join(cells)})").alias("x")).first()["x"]):
+    counted = list(zip(open_, df.agg(F.expr(f"array({', '.join(cells)})").alias("x")).first()["x"]))
+    lost = {b.column for b, r in counted if any(not r["below"] <= rank < r["below"] + r["n"] for rank in b.ranks)}
+    for b, r in counted:
+        if b.column in lost:
+            continue
         ranks, edges = [], []
         for rank in b.ranks:
             at = (rank - r["below"]) / r["n"]
@@ -147,7 +160,7 @@ def _narrowed(df: DataFrame, columns: dict[str, str], open_: list[_Bracket]) ->
         for smaller in _brackets(b.column, r["n"], ranks, edges, r["low"], r["high"]):
             smaller.ranks = [rank + r["below"] for rank in smaller.ranks]
             out.append(smaller)
-    return out
+    return out, lost
 
 
 def _rank_inside(df: DataFrame, columns: dict[str, str], open_: list[_Bracket], found: dict) -> None:

@@ -19,6 +19,8 @@ from peoplelens.functions.frames import melt, per_column
 def text_frequency(df: DataFrame, columns=None, trimmed: bool = False) -> DataFrame:
     """Distinct values of the text columns with their row counts; NULL is left out."""
     columns = text_columns(df) if columns is None else list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     if trimmed:
         return _count(melt(df, {c: strip(col(c).cast("string")) for c in columns}))
     return _count(melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}))
