@@ -162,6 +162,13 @@ def e10(spark, sf):
     return rounded(E.rate_grid(binned(spark, sf), C("native_country"), C("occupation"), C("hi")))
 
 
+@query("e10_rate_cross_tab_dense", B + f""", cl AS ({_cells("native_country", "occupation")})
+  SELECT r."row", c.col, coalesce(cl.n, 0) AS n, coalesce({rd("cl.rate")}, 0.0) AS rate FROM (SELECT DISTINCT "row" FROM cl) r CROSS JOIN (SELECT DISTINCT col FROM cl) c
+  LEFT JOIN cl ON cl."row" = r."row" AND cl.col = c.col""")
+def e10_dense(spark, sf):
+    return rounded(E.dense(E.rate_grid(binned(spark, sf), C("native_country"), C("occupation"), C("hi"))))
+
+
 def _extremes(source):
     order = "\"row\", col LIMIT 1)"
     return f"""SELECT (SELECT "row" FROM {source} ORDER BY rate DESC, {order} AS best_row, (SELECT col FROM {source} ORDER BY rate DESC, {order} AS best_col,
@@ -227,6 +234,12 @@ def e17(spark, sf):
     return rounded(E.prevalence_grid(binned(spark, sf), C("education"), C("occupation"), C("hi"), C("gain")))
 
 
+@query("e17_prevalence_cross_tab_dense", B + f""", {PREV} SELECT r.high, r."row", c.col, coalesce({rd("pc.pct")}, 0.0) AS pct FROM (SELECT DISTINCT high, "row" FROM pc) r
+  JOIN (SELECT DISTINCT high, col FROM pc) c ON r.high = c.high LEFT JOIN pc ON pc.high = r.high AND pc."row" = r."row" AND pc.col = c.col""")
+def e17_dense(spark, sf):
+    return rounded(E.dense(E.prevalence_grid(binned(spark, sf), C("education"), C("occupation"), C("hi"), C("gain")), ("high",)))
+
+
 @query("e17_prevalence_peak", B + f', {PREV} SELECT "row", col, {rd("pct")} AS pct FROM pc WHERE high ORDER BY pc.pct DESC, "row", col LIMIT 1')
 def e17_peak(spark, sf):
     return rounded(E.prevalence_peak(E.prevalence_grid(binned(spark, sf), C("education"), C("occupation"), C("hi"), C("gain"))))

@@ -119,10 +119,31 @@ def rate_cells(df: DataFrame, row: Column, column: Column, target: Column, weigh
 
 
 def rate_grid(df: DataFrame, row: Column, column: Column, target: Column) -> DataFrame:
-    """Target rate of a cross-tab in long form. Pairs of labels that no row has are absent and stand for rate 0 of 0 rows."""
+    """Target rate of a cross-tab in long form. Pairs of labels that no row has are absent and stand for rate 0 of 0 rows (``dense``)."""
     return rate_cells(df, row, column, target)
 
 
+def dense(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of the row and column labels that the cells have, 0 in the pairs that are absent; a grid of its own for each value of ``by``.
+
+    Every row repeats the list of column labels, so the result has rows times columns cells, as any grid. NULL in ``by`` is a value.
+    No cells give no grid.
+    """
+    cells = staged(cells, "cells")
+    keys = [*by, "row", "col"]
+    other = [c for c in cells.columns if c not in keys]
+    rows = cells.select(*by, "row").distinct()
+    if by:
+        lists = cells.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.collect_set("col").alias("_cols"))
+        rows = rows.join(lists, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]).select(*by, "row", "_cols")
+    else:
+        rows = rows.withColumn("_cols", cells.agg(F.collect_set("col")).scalar())
+    held = cells.select(*[F.col(k).alias(f"_{k}") for k in keys], *other)
+    grid = rows.select(*by, "row", F.explode("_cols").alias("col"))
+    return grid.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(
+        *keys, *[F.coalesce(F.col(c), F.lit(0)).cast(cells.schema[c].dataType).alias(c) for c in other])
+
+
 def best_and_worst_cell(cells: DataFrame, min_rows: int = 0) -> DataFrame:
     """Cells with the highest and lowest rate among those with enough rows."""
     name = F.struct("row", "col")
@@ -220,7 +241,7 @@ def dual_rate_by_gender(df: DataFrame, sex: Column, target: Column, gain: Column
 
 
 def prevalence_grid(df: DataFrame, row: Column, column: Column, target: Column, x: Column, weight: Column | None = None) -> DataFrame:
-    """Share in % with x > 0 per pair of labels within each target class; absent pairs stand for 0."""
+    """Share in % with x > 0 per pair of labels within each target class; absent pairs stand for 0 (``dense``)."""
     has = F.coalesce(x > 0, F.lit(False))
     return df.groupBy(target.alias("high"), label(row).alias("row"), label(column).alias("col")).agg(
         (_rate(has, weight) * 100).alias("pct"))
