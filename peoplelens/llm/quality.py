@@ -5,8 +5,8 @@ gradients and curvatures of the log loss are summed, and the split with the larg
 three arrays (statistic, threshold, leaf value; complete binary trees), and all documents of a batch walk down all trees at once
 by indexing those arrays.
 
-Bound: the forest is fitted on about ``SAMPLE`` labelled rows (all, if there are fewer), those whose hash of doc_id lies below the share that
-gives this number. Their statistics, not their texts, come to the driver. All documents are scored.
+Bound: the forest is fitted on about ``SAMPLE`` labelled rows (all, if there are fewer), those whose hash of doc_id and statistics lies below the
+share that gives this number. Rows that are equal in both and in the label count once, so repeated rows cannot fill the sample. Their statistics, not their texts, come to the driver. All documents are scored.
 
 Defined cases: a NULL text has the statistics of the empty text. Rows without a label or without an id are scored, not learned from. If a doc_id
 is repeated with different labels, all of them are learned from. Without labels the score is 0.5.
@@ -157,10 +157,13 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
     """Fit on the labelled rows of ``stats`` (doc_id, stats); ``labels`` has doc_id and quality."""
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     rows = stats.select("doc_id", "stats").join(known, "doc_id")
-    # A share by hash, not an ordered limit, of which every task would send as many rows as the whole sample.
-    share = sample / max(rows.count(), sample)
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = rows.filter(at < share).select(at.alias("at"), "stats", "y").toPandas()
+    # A share by hash, not an ordered limit, of which every task would send as many rows as the whole sample. Equal rows have one hash: they are
+    # counted once in the share and folded before they leave a task, so that no repeated row fills the sample or the driver.
+    at = F.pmod(F.xxhash64("doc_id", "stats"), F.lit(1 << 40))
+    different = rows.agg(F.approx_count_distinct(at, 0.02)).first()[0]
+    share = sample / max(different, sample)
+    rows = (rows.select((at / F.lit(float(1 << 40))).alias("at"), "stats", "y").filter(F.col("at") < share)
+            .dropDuplicates(["at", "stats", "y"]).toPandas())
     rows = rows.iloc[np.lexsort((rows["y"], rows["stats"].map(tuple), rows["at"]))] if len(rows) else rows
     x = np.array(rows["stats"].tolist(), np.float32).reshape(-1, len(STATISTICS))
     return fit_forest(x, rows["y"].to_numpy(float), **options)

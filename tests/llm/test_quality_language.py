@@ -24,6 +24,22 @@ def slow_score(forest, row):
     return 1 / (1 + np.exp(-total))
 
 
+def test_repeated_rows_do_not_fill_the_quality_sample(spark, monkeypatch):
+    """Nine rows in ten are one document, or share its id: the sample stays bounded and holds the other documents all the same."""
+    width = len(quality.STATISTICS)
+    stats = spark.range(20_000).selectExpr("if(id < 18000, 7, id) AS doc_id", f"array_repeat(float(if(id < 12000, 0, id)), {width}) AS stats")
+    labels = stats.select("doc_id").distinct().selectExpr("doc_id", "int(doc_id % 2) AS quality")
+    seen = {}
+    monkeypatch.setattr(quality, "fit_forest", lambda x, y, **_: seen.update(x=x, y=y))
+    quality.fit(stats, labels, sample=400)
+    assert 300 < len(seen["x"]) < 500 and len(np.unique(seen["x"], axis=0)) == len(seen["x"])
+    assert (seen["x"][:, 0] >= 18_000).sum() > 50
+    quality.fit(stats, labels, sample=50_000)  # fewer different rows than the sample: all of them, each once
+    assert len(seen["x"]) == 1 + 8_000
+    quality.fit(stats.limit(0), labels, sample=10)
+    assert seen["x"].shape == (0, width)
+
+
 def test_forest_learns_and_arrays_agree_with_walking():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 4)).astype(np.float32)
