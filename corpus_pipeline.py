@@ -23,7 +23,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate group, the one with the smallest id: texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, and all that such pairs join. Repeated and absent ids make no difference to that."""
+    similarity of 0.8 or more, and all that such pairs join. SimHash links (op6) are tried first, then what two bits cannot reach; whole sets
+    confirm both. Repeated and absent ids make no difference to that."""
     return near_texts.keep_one(docs)
 
 

@@ -8,13 +8,17 @@ A text is the set of the 64-bit hashes of its shingles of ``WORDS`` words; equal
 * A linked pair differs in at most (|x| + |y|) / 9 shingles. A parity bit over the shingles of each of at least ``BITS`` classes differs at
   most that often, so pairs with more different bits are none.
 
-Candidates never are all pairs of a group. The prefix rows (shingle, node) are range-sorted once, and every node is paired with the first node of its
-shingle: a cluster of near copies becomes one component by as many pairs as it has members. Only shingles that still join several components
-go on, as blocks of ``bucket`` nodes against each other: each pair of blocks yields a spanning forest of the pairs that sizes and parities allow.
-Where a confirmed forest is complete the groups are; only where one of its pairs was refused do the other pairs of that group follow.
-Every candidate is confirmed on the two whole sets.
+Candidates never are all pairs of a group. They come in three steps, and each leaves out what the steps before have joined:
 
-Texts stay where they are: they are read once to see which shingles are frequent, once for the nodes, and again for the sets of candidates, where a bitmap of
+* SimHash (``simhash``): the fingerprints of the texts that links of two bits join are one bucket, and each of its nodes is paired with the first.
+* Two bits reach almost equal texts only, so the prefixes give the rest. Their rows (shingle, node) are range-sorted once, and every node is
+  paired with the first node of its shingle: a cluster of near copies becomes one component by as many pairs as it has members. Shingles that
+  still join several components go on, as blocks of ``bucket`` nodes against each other: each pair of blocks yields a spanning forest of the pairs
+  that sizes and parities allow. Every candidate is confirmed on the two whole sets.
+* Where a confirmed forest is complete the groups are. A refused pair may hide others, which all lie among what the forests of all shingles join
+  to it. Those nodes meet once, with their whole sets, in blocks, and each pair of blocks yields a spanning forest of its true links.
+
+Texts stay where they are: they are read once to see which shingles are frequent, once for the nodes, and again for the sets of each step's candidates, where a bitmap of
 a fixed greatest size over the wanted texts keeps the others out of the join. Nothing is capped or dropped.
 
 Defined cases: NULL and empty texts are the empty set, one node without links. A text with fewer words than a shingle is one shingle. Of each
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from peoplelens.llm import simhash
 from peoplelens.llm.common import staged
 from peoplelens.llm.components import components
 
@@ -39,6 +44,8 @@ SEED = 42
 BITS = 512
 MOST_BITS = 1 << 14
 BUCKET = 1024
+#: Shingles of a block of whole sets, about 2 MB.
+BLOCK = 1 << 18
 #: A shingle that more texts (and more than this share of all prefix rows) start with is moved to the end of the order.
 OFTEN = 256
 OFTEN_SHARE = 1 / 50_000
@@ -102,24 +109,35 @@ def frequent_shingles(docs: DataFrame, often: int = OFTEN) -> np.ndarray:
 
 
 def node_table(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(node, size, bits, prefix, least, text_key) of each different set; ``docs`` has ``least``, ``text_key`` and ``text``."""
+    """(node, size, bits, prefix, least, text_key, fp) of each different set, ``fp`` being the SimHash of the text with that key; ``docs`` has
+    ``least``, ``text_key`` and ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
     source = docs.select("least", "text_key", "text")
-    schema = StructType(source.schema.fields[:2]).add("node", "long").add("size", "integer").add("bits", "binary").add("prefix", ArrayType(LongType()))
+    schema = StructType(source.schema.fields[:2]).add("node", "long").add("size", "integer").add("bits", "binary").add("prefix", ArrayType(LongType())).add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 sets = [shingles(t.as_py()) for t in part.column(2)]
+                prints = np.fromiter((simhash.fingerprint(t.as_py()) for t in part.column(2)), np.uint64, part.num_rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([parities(s) for s in sets], pa.binary()), pa.array([prefix(s, shared.value) for s in sets], pa.list_(pa.int64()))],
+                    pa.array([parities(s) for s in sets], pa.binary()), pa.array([prefix(s, shared.value) for s in sets], pa.list_(pa.int64())), pa.array(prints)],
                     names=schema.names)
 
     return source.mapInArrow(run, schema).groupBy("node").agg(
         F.min("least").alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bits").alias("bits"),
-        F.first("prefix").alias("prefix"))
+        F.first("prefix").alias("prefix"), F.min(F.struct("text_key", "fp"))["fp"].alias("fp"))
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: each node with the first one whose fingerprint links of at most two bits join to its own."""
+    prints = staged(nodes.select("fp").distinct(), "prints")
+    joined = staged(components(simhash.links(prints)), "joined").select(F.col("node").alias("fp"), "component")
+    placed = nodes.select("node", "fp").join(joined, "fp", "left").select("node", F.coalesce("component", "fp").alias("bucket"))
+    heads = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
+    return placed.join(heads, "bucket").filter("node <> a").select("a", F.col("node").alias("b"))
 
 
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
@@ -217,9 +235,8 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.join(keys, "text_key", "left_semi")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, s) of the wanted nodes: the whole set, as bytes."""
     keys = staged(nodes.select("node", "text_key").join(wanted, "node"), "nodes_wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +246,22 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).astype("<i8").tobytes() for t in part.column(1)], pa.binary())],
                                                  names=["node", "s"])
 
-    held = staged(texts_of(docs, keys.select("text_key")).join(keys, "text_key").select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
+    return staged(texts_of(docs, keys.select("text_key")).join(keys, "text_key").select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of 0.8 or more."""
+    held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     both = (pairs.join(held.select(F.col("node").alias("b"), F.col("s").alias("v")), "b")
             .join(held.select(F.col("node").alias("a"), F.col("s").alias("u")), "a").select("a", "b", "u", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for u, v in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(u.as_py(), "<i8"), np.frombuffer(v.as_py(), "<i8")
-                good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            good = [_similar(np.frombuffer(u.as_py(), "<i8"), np.frombuffer(v.as_py(), "<i8")) for u, v in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -287,14 +310,18 @@ def forest(close: np.ndarray, parts: np.ndarray) -> tuple[list[tuple[int, int]],
     return out, total > len(out)
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, bucket: int, whole: bool) -> DataFrame:
-    """(shingle, lo, hi, a, b, more): for each pair of blocks of a shingle, the forest of its open pairs, or all of them if ``whole``.
-    ``members``: (shingle, node, part, n) with the number of nodes of the shingle."""
-    blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    rows = (members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _paired_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with their number of ``blocks`` → (lo, hi, block) for each pair of blocks that a row's own is part of."""
+    return (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part")
-            .join(nodes.select("node", "size", "bits"), "node"))
+            .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
+
+
+def block_pairs(members: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
+    """(shingle, lo, hi, a, b, more): for each pair of blocks of a shingle, the forest of its open pairs.
+    ``members``: (shingle, node, part, n) with the number of nodes of the shingle."""
+    rows = _paired_blocks(members.withColumn("blocks", F.ceil(F.col("n") / F.lit(bucket)).cast("int"))).select(
+        "shingle", "lo", "hi", "block", "node", "part").join(nodes.select("node", "size", "bits"), "node")
     groups = rows.groupBy("shingle", "lo", "hi").agg(F.collect_list(F.struct("node", "part", "size", "bits", "block")).alias("sets")).filter(
         F.size("sets") > 1)
 
@@ -310,12 +337,8 @@ def block_pairs(members: DataFrame, nodes: DataFrame, bucket: int, whole: bool)
                 order = np.argsort(node[a:b], kind="stable")
                 own, parts = node[a:b][order], part[a:b][order]
                 close = _close(size[a:b][order], bits.slice(a, b - a).take(pa.array(order)).to_pylist(), block[a:b][order])
-                if whole:
-                    i, j = np.nonzero(np.triu(close & (parts[:, None] != parts[None, :]), 1))
-                    more = False
-                else:
-                    pairs, more = forest(close, parts)
-                    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+                pairs, more = forest(close, parts)
+                i, j = np.array(pairs, np.int64).reshape(-1, 2).T
                 if len(i):
                     k = len(i)
                     yield pa.RecordBatch.from_arrays([
@@ -340,23 +363,73 @@ def _open(shared: DataFrame, joined: DataFrame) -> DataFrame:
     return members.join(one, "shingle")
 
 
+def true_forest(sets: list[np.ndarray], close: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs that join all ``parts`` which similar pairs among the ``close`` ones join, at most one less than there are parts."""
+    _, parts = np.unique(parts, return_inverse=True)
+    out = []
+    for i in range(len(sets)):
+        for j in np.flatnonzero(close[i, i + 1:]) + i + 1:
+            if parts[i] != parts[j] and _similar(sets[i], sets[j]):
+                out.append((i, int(j)))
+                parts[parts == parts[j]] = parts[i]
+    return out
+
+
+def whole_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, bucket: int) -> DataFrame:
+    """(a, b): similar pairs that join all parts which similar pairs of nodes of one ``root`` join. ``rest``: (root, node, part), each node once.
+
+    Blocks hold at most about ``bucket`` nodes and BLOCK shingles, or one longer set.
+    """
+    held = rest.join(nodes.select("node", "size", "bits"), "node")
+    spread = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(bucket), F.sum("size") / F.lit(BLOCK))).cast("int").alias("blocks"))
+    rows = _paired_blocks(held.join(sets_of(rest.select("node"), nodes, docs), "node").join(spread, "root"))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["node"].to_numpy())
+        own, part, size, block = (table[c].to_numpy()[order] for c in ("node", "part", "size", "block"))
+        pairs = []
+        if part.min() != part.max() and (block.min() != block.max() or table["lo"][0] == table["hi"][0]):
+            bits, sets = (table[c].take(pa.array(order)).to_pylist() for c in ("bits", "s"))
+            close = _close(size.astype(np.int64), bits, block)
+            pairs = true_forest([np.frombuffer(x, "<i8") for x in sets], close, part)
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(own[i]), "b": pa.array(own[j])})
+
+    return rows.select("root", "lo", "hi", "block", "node", "part", "size", "bits", "s").groupBy("root", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
+def _parted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, whose ``part`` is the component that the found pairs give their node."""
+    joined = staged(components(found), "joined").withColumnRenamed("component", "part")
+    return members.drop("part").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): similar pairs of nodes that join all nodes which similar pairs join."""
+    found = staged(confirmed(staged(allowed(print_pairs(nodes), nodes), "by_prints"), nodes, docs), "links")
+    joined = staged(components(found), "joined")
     shared = staged(shared_prefixes(nodes), "shared")
-    found = staged(confirmed(staged(allowed(first_pairs(shared), nodes), "first"), nodes, docs), "links")
+    first = first_pairs(shared)
+    for side in ("a", "b"):
+        first = first.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side, "left")
+    first = first.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    found = found.unionAll(staged(confirmed(staged(allowed(first, nodes), "first"), nodes, docs), "links"))
     members = staged(_open(shared, staged(components(found), "joined")), "open")
-    trees = staged(block_pairs(members, nodes, bucket, whole=False), "trees")
+    trees = staged(block_pairs(members, nodes, bucket), "trees")
     tried = staged(trees.select("a", "b").distinct(), "tried")
     good = staged(confirmed(tried, nodes, docs), "links")
     found = found.unionAll(good)
-    refused = trees.filter("more").join(good, ["a", "b"], "left_anti").select("shingle").distinct()
-    rest = staged(members.join(refused, "shingle", "left_semi"), "rest")
-    if rest.isEmpty():
+    refused = staged(trees.filter("more").select("a", "b").distinct().join(good, ["a", "b"], "left_anti"), "refused")
+    if refused.isEmpty():
         return found
-    joined = staged(components(found), "joined").withColumnRenamed("component", "part")
-    rest = rest.drop("part").join(joined, "node", "left").select("shingle", "node", F.coalesce("part", "node").alias("part"), "n")
-    last = staged(block_pairs(rest, nodes, bucket, whole=True).select("a", "b").distinct(), "rest_pairs")
-    return found.unionAll(staged(confirmed(last.join(tried, ["a", "b"], "left_anti"), nodes, docs), "links"))
+    # All pairs of a forest's group lie among the nodes that its pairs and the parts before it join.
+    placed = members.select("node", "part").distinct()
+    around = staged(components(tried.unionAll(placed.select("node", "part"))), "around").withColumnRenamed("component", "root")
+    hidden = refused.select(F.col("a").alias("node")).join(around, "node").select("root").distinct()
+    rest = _parted(placed.join(around.join(hidden, "root", "left_semi"), "node"), found)
+    several = rest.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("root")
+    rest = staged(rest.join(several, "root", "left_semi").select("root", "node", "part"), "rest")
+    return found if rest.isEmpty() else found.unionAll(staged(whole_links(rest, nodes, docs, bucket), "links"))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

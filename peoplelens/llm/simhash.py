@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,10 +125,11 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     if not 0 <= distance <= DISTANCE:
         raise ValueError("two of four blocks agree only up to a distance of two bits")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pair for fps in batch["fps"] for pair in _close(fps, distance)]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = [pair for fps in batch.column(0) for pair in _close(fps.values.to_numpy(), distance)]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     found, parents, current = None, None, nodes.select("fp")
     for depth, level in enumerate(levels()):
@@ -141,7 +141,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
         else:
             full, small = None, keyed
         groups = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        part = groups.select("fps").mapInPandas(verify, "a long, b long")
+        part = groups.select("fps").mapInArrow(verify, "a long, b long")
         found = part if found is None else found.unionAll(part)
         if full is None or full.isEmpty():
             break

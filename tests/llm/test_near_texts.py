@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peoplelens.llm import near_texts
+from peoplelens.llm import near_texts, simhash
 from peoplelens.llm.common import staged
 from tests.llm.test_pairs import slow_components
 
@@ -127,3 +127,43 @@ def test_forest_spans_what_is_close():
         same = [(i, j) for i in range(n) for j in range(i) if parts[i] == parts[j]]
         assert slow_components(list(range(n)), pairs + same) == slow_components(list(range(n)), every + same)
         assert all(close[i, j] and parts[i] != parts[j] for i, j in pairs) and len(pairs) < n and more == (len(every) > len(pairs))
+
+
+def test_fingerprints_give_the_first_candidates(spark):
+    """Texts that two bits tell apart at most are paired by their SimHash; of a bucket each text is paired once."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(f"new{i}" if i and k == 700 * i else w for k, w in enumerate(base)) for i in range(4)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(20)]
+    docs = near_texts._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    nodes = staged(near_texts.node_table(docs, np.zeros(0, np.int64)), "nodes")
+    by_node = {r.node: r for r in nodes.collect()}
+    assert {r.fp for r in by_node.values()} == {int(np.uint64(simhash.fingerprint(t)).view(np.int64)) for t in texts}
+    near = [(a, b) for a in by_node for b in by_node if a < b and (by_node[a].fp ^ by_node[b].fp).bit_count() <= simhash.DISTANCE]
+    pairs = [tuple(r) for r in near_texts.print_pairs(nodes).collect()]
+    assert near and slow_components(sorted(by_node), pairs) == slow_components(sorted(by_node), near)
+    assert len({b for _, b in pairs}) == len(pairs) and all(a < b for a, b in pairs)
+
+
+def test_texts_just_below_the_similarity_make_rows_in_proportion(spark, monkeypatch):
+    """Texts that all look alike by parities but are too different: no table grows with the square of their number."""
+    rows = Counter()
+
+    def counted(df, name="stage"):
+        out = staged(df, name)
+        rows[name] += out.count()
+        return out
+
+    def copies(n, rng):
+        return [" ".join(f"new{i}" if k % 80 == at else f"w{k}" for k in range(400)) for i in range(n) for at in [rng.randrange(10, 70)]]
+
+    monkeypatch.setattr(near_texts, "staged", counted)
+    found = []
+    for n in (50, 200):
+        rows.clear()
+        texts = spark.createDataFrame(list(enumerate(copies(n, random.Random(n)))), "doc_id long, text string").repartition(4)
+        assert near_texts.keep_one(texts).count() == len(set(slow_groups(dict(enumerate(copies(n, random.Random(n))))).values()))
+        found.append(dict(rows))
+    assert found[1]["tried"] > 100
+    assert found[1].pop("trees") < found[1]["open"]
+    assert {k: (found[0].get(k), v) for k, v in found[1].items() if v > 6 * max(50, found[0].get(k, 0))} == {}
