@@ -34,9 +34,9 @@ def trim_text(df: DataFrame, columns=None) -> DataFrame:
     return df.select(*[strip(col(c)).alias(c) if c in columns else col(c) for c in df.columns])
 
 
-def casing_map(df: DataFrame, columns=None) -> DataFrame:
+def casing_map(df: DataFrame, columns=None, freq: DataFrame | None = None) -> DataFrame:
     """(column, value, replacement) for every spelling that loses to a more frequent casing of itself."""
-    freq = text_frequency(df, columns).withColumn("folded", F.lower("value"))
+    freq = (text_frequency(df, columns) if freq is None else freq).withColumn("folded", F.lower("value"))
     winners = freq.groupBy("column", "folded").agg(
         ranked_first(F.col("value"), F.col("n")).alias("replacement"),
         F.count(F.lit(1)).alias("variants")).where(F.col("variants") > 1)
@@ -44,9 +44,9 @@ def casing_map(df: DataFrame, columns=None) -> DataFrame:
         .select("column", "value", "replacement")
 
 
-def unify_casing(df: DataFrame, columns=None) -> DataFrame:
+def unify_casing(df: DataFrame, columns=None, mapping: DataFrame | None = None) -> DataFrame:
     """Replace every casing variant by the most frequent one."""
-    mapping = staged(casing_map(df, columns), "casing")
+    mapping = staged(casing_map(df, columns), "casing") if mapping is None else mapping
     affected = {r["column"] for r in mapping.select("column").distinct().collect()}
     return apply_replacements(df, mapping, [c for c in df.columns if c in affected])
 
@@ -74,12 +74,23 @@ class TypeDecision:
     present: int
 
 
-def decide_types(df: DataFrame, rules: R.Rules = R.Rules()) -> list[TypeDecision]:
-    """Target type per column: the schema's, or a number when 90 % of a text column parses. One pass."""
+def decide_types(df: DataFrame, rules: R.Rules = R.Rules(), freq: DataFrame | None = None) -> list[TypeDecision]:
+    """Target type per column: the schema's, or a number when 90 % of a text column parses. One pass.
+
+    With a frequency table at hand only its values are parsed, each once.
+    """
     texts = set(text_columns(df))
+    seen = {}
+    if freq is not None:
+        x, n = parse_number(F.col("value")), F.col("n")
+        seen = {r["column"]: r for r in freq.groupBy("column").agg(
+            F.sum("n").alias("n"), F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0)).alias("ok"),
+            F.coalesce(F.sum(F.when(x == F.floor(x), n)), F.lit(0)).alias("whole")).collect()}
     aggs = []
     for c in df.columns:
-        if c in texts:
+        if c in texts and freq is not None:
+            aggs += [F.lit(seen[c][k] if c in seen else 0).alias(f"{c}|{k}") for k in ("n", "ok", "whole")]
+        elif c in texts:
             x = parse_number(col(c))
             aggs += [F.count(col(c)).alias(f"{c}|n"), F.count(x).alias(f"{c}|ok"),
                      F.count_if(x == F.floor(x)).alias(f"{c}|whole")]

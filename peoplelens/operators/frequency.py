@@ -16,14 +16,15 @@ from peoplelens.functions.expr import (
 from peoplelens.functions.frames import melt, per_column
 
 
-def text_frequency(df: DataFrame, columns=None, trimmed: bool = False) -> DataFrame:
-    """Distinct values of the text columns with their row counts; NULL is left out."""
+def text_frequency(df: DataFrame, columns=None, trimmed: bool = False, weight: str | None = None) -> DataFrame:
+    """Distinct values of the text columns with their row counts; NULL is left out. A row counts as often as its ``weight`` says."""
     columns = text_columns(df) if columns is None else list(columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    times = {"n": col(weight)} if weight else {}
     if trimmed:
-        return _count(melt(df, {c: strip(col(c).cast("string")) for c in columns}))
-    return _count(melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}))
+        return _count(melt(df, {c: strip(col(c).cast("string")) for c in columns}, times), *times)
+    return _count(melt(df, {c: f"CAST({name_sql(c)} AS STRING)" for c in columns}, times), *times)
 
 
 def numeric_frequency(df: DataFrame, columns=None) -> DataFrame:
@@ -42,8 +43,9 @@ def numeric_frequency(df: DataFrame, columns=None) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _count(long: DataFrame) -> DataFrame:
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _count(long: DataFrame, weight: str | None = None) -> DataFrame:
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(n.alias("n"))
 
 
 def value_counts(df: DataFrame, column: str, rare_pct: float = R.RARE_PCT) -> DataFrame:

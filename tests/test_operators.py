@@ -324,6 +324,23 @@ def test_nine_steps(spark, folk):
     assert issues["Missing Values"][2] == 0 and issues["Noise Values"][2] == 0
 
 
+def test_nine_steps_read_their_source_once(spark, folk):
+    """Also with a column that is called like the counts of equal rows would be."""
+    reads = spark.sparkContext.accumulator(0)
+    source = folk.unionAll(folk.limit(20))
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    done = nine_step.run(source.mapInArrow(counted, source.schema))
+    assert reads.value == source.count() == done.statistics["rows_before"]
+    named = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, "?", "b"), (2, " A", "b")], "_n int, t string, _n_ string")
+    cleaned, _, counts = nine_step.clean(named)
+    assert cleaned.columns == ["_n", "t", "_n_"] and (counts["rows_before"], counts["rows_after"]) == (4, 3)
+
+
 def test_rule_order_gives_ordinal_codes(spark, folk):
     ages = [20, 30, 40, 50, 60, 70] * 20
     cleaned = spark.createDataFrame([(a, f"{a}", ">50K" if a > 45 else "<=50K") for a in ages], "age bigint, tag string, income string")
