@@ -16,7 +16,7 @@ from peoplelens.operators import outliers as O
 from peoplelens.operators.frequency import text_frequency
 from peoplelens.operators.profile import fit_profiles
 from peoplelens.operators.state import AuditState
-from peoplelens.session import new_folder
+from peoplelens.session import compiled_methods, new_folder
 
 NOISY = f"noisy AS (SELECT * FROM tf WHERE {noise_sql('v')})"
 
@@ -236,11 +236,16 @@ def q22(spark, sf):
 @query("q22_audit_state", AUDIT + " SELECT * FROM found WHERE section NOT IN ('low_variance', 'outliers')")
 def q22_state(spark, sf):
     """Two states of two batches each, a batch offered twice, merged: the audit of all rows."""
-    part = F.pmod(F.xxhash64("age", "fnlwgt", "team"), F.lit(4))
+    # The table is computed once and laid out by batch, as batches arrive: each is read alone.
+    df = people(spark, sf).withColumn("part", F.pmod(F.xxhash64("age", "fnlwgt", "team"), F.lit(4)))
+    folder = new_folder(spark, "batches")
+    with compiled_methods(spark):
+        df.write.partitionBy("part").parquet(folder)
+    batches = spark.read.schema(df.schema).parquet(folder)
     states = [AuditState(spark, new_folder(spark, "state")) for _ in range(2)]
     for i in range(4):
         for _ in range(2):
-            states[i // 2].add(f"batch-{i}", people(spark, sf).where(part == i))
+            states[i // 2].add(f"batch-{i}", batches.where(F.col("part") == i).drop("part"))
     return rounded(states[0].merged_into(new_folder(spark, "state"), states[1]).audit())
 
 

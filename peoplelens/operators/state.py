@@ -31,7 +31,7 @@ from peoplelens.functions.quantiles import column_quantiles
 from peoplelens.operators.audit import consistency, scored
 from peoplelens.operators.frequency import text_frequency
 from peoplelens.operators.outliers import outside_sql
-from peoplelens.session import create_file, delete, names_in, staged
+from peoplelens.session import compiled_methods, create_file, delete, names_in, staged
 
 #: Size of the KLL sketches. A rank is met up to 0.25 % of the rows in 99 of 100 cases, so brackets reach MARGIN to either side; a rank
 #: that lies outside all the same is noticed by counting.
@@ -45,26 +45,42 @@ VALUES = "column string, value string, n bigint"
 ROWS = "signature binary, n bigint"
 
 
-def _column_parts(df: DataFrame, rules: R.Rules) -> DataFrame:
-    """One row per column from one aggregate without a shuffle of rows."""
+def _column_parts(df: DataFrame, rules: R.Rules, values: DataFrame | None = None) -> DataFrame:
+    """One row per column from one aggregate without a shuffle of rows.
+
+    Text columns are taken from their frequency table, which may be given: the row scan works on the other columns only.
+    """
     numbers, texts = set(numeric_columns(df)), set(text_columns(df))
+    fields = [f for f in T.StructType.fromDDL(COLUMNS).fields if f.name != "part"]
 
     def make(c: str) -> dict[str, str]:
-        known = f"CASE WHEN {present_sql(df, c)} THEN CAST({name_sql(c)} AS STRING) END"
-        x = number_sql(df, c) if c in numbers else "CAST(NULL AS DOUBLE)"
-        zone = rules.zone(c) if c in numbers else None
-        spread = f"var_pop({x}) * count({x})"
-        return {
-            "kind": text_sql("number" if c in numbers else "text" if c in texts else "other"), "position": f"{df.columns.index(c)}",
-            "filled": f"count_if({present_sql(df, c)})", "mean": f"avg({x})", "m2": spread,
-            # The third moment, from the skewness; a constant column has none.
-            "m3": f"CASE WHEN min({x}) < max({x}) THEN skewness({x}) * count({x}) * pow(var_pop({x}), 1.5D) WHEN count({x}) > 0 THEN 0D END",
-            "low": f"min({x})", "high": f"max({x})", "outside": f"count_if({outside_sql(x, zone) if zone else 'false'})",
-            "numbers": f"CASE WHEN count({x}) > 0 THEN kll_sketch_agg_double({x}, {KLL_K}) END",
-            "distinct_values": f"CASE WHEN count_if({present_sql(df, c)}) > 0 THEN hll_sketch_agg({known}, {HLL_K}) END"}
-
-    found = per_column(df, df.columns, make, "count(1)")
-    return found.select(*[F.col("shared" if f.name == "rows" else f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(COLUMNS) if f.name != "part"])
+        # Nothing is aggregated that is the same for all rows: Spark would update it for every row all the same.
+        known = {"kind": text_sql("number" if c in numbers else "text" if c in texts else "other"), "position": f"{df.columns.index(c)}"}
+        if c not in texts:
+            held = f"CASE WHEN {present_sql(df, c)} THEN CAST({name_sql(c)} AS STRING) END"
+            known |= {"filled": f"count_if({present_sql(df, c)})",
+                      "distinct_values": f"CASE WHEN count_if({present_sql(df, c)}) > 0 THEN hll_sketch_agg({held}, {HLL_K}) END"}
+        if c in numbers:
+            x, zone = number_sql(df, c), rules.zone(c)
+            known |= {
+                "mean": f"avg({x})", "m2": f"var_pop({x}) * count({x})",
+                # The third moment, from the skewness; a constant column has none.
+                "m3": f"CASE WHEN min({x}) < max({x}) THEN skewness({x}) * count({x}) * pow(var_pop({x}), 1.5D) WHEN count({x}) > 0 THEN 0D END",
+                "low": f"min({x})", "high": f"max({x})", "outside": f"count_if({outside_sql(x, zone)})" if zone else "0L",
+                "numbers": f"CASE WHEN count({x}) > 0 THEN kll_sketch_agg_double({x}, {KLL_K}) END"}
+        else:
+            known["outside"] = "0L"
+        return {f.name: f"CAST({known.get(f.name, 'NULL')} AS {f.dataType.simpleString()})" for f in fields if f.name not in ("column", "rows")}
+
+    found = per_column(df, df.columns, make, "count(1)").withColumnRenamed("shared", "rows").select(*[f.name for f in fields])
+    if not texts:
+        return found
+    words = (text_frequency(df) if values is None else values).groupBy(F.col("column").alias("text_column")).agg(
+        F.sum("n").alias("cells"), F.hll_sketch_agg("value", HLL_K).alias("sketch"))
+    text = F.col("kind") == "text"
+    return found.join(words, text & (F.col("column") == F.col("text_column")), "left").withColumns({
+        "filled": F.when(text, F.coalesce("cells", F.lit(0))).otherwise(F.col("filled")),
+        "distinct_values": F.when(text, F.col("sketch")).otherwise(F.col("distinct_values"))}).select(*[f.name for f in fields])
 
 
 def signature(df: DataFrame) -> Column:
@@ -111,31 +127,42 @@ class AuditState:
         delete(self.spark, f"{self.folder}/commits/{batch}")  # an empty file of an attempt that broke off
         data = f"data-{uuid.uuid4().hex}"
         self._write(data, {
-            "columns": _column_parts(df, self.rules), "values": text_frequency(df),
+            "values": text_frequency(df),
             "rows": df.select(signature(df).alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))})
+        self._write(data, {"columns": _column_parts(df, self.rules, self._read("values", VALUES, [f"{self.folder}/{data}"]))})
         self._commit(batch, data)
         return True
 
     def _write(self, data: str, parts: dict[str, DataFrame]) -> None:
         for kind, part in parts.items():
             part = part.withColumn("part", F.lit(data)) if kind == "columns" else part
-            part.write.mode("errorifexists").parquet(f"{self.folder}/{data}/{kind}")
+            with compiled_methods(self.spark):
+                part.write.mode("errorifexists").parquet(f"{self.folder}/{data}/{kind}")
+
+    def _held(self) -> list[str]:
+        """The committed data folders."""
+        return [f"{self.folder}/{data}" for data in sorted(set(self._commits().values()))]
+
+    def _read(self, kind: str, schema: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{f}/{kind}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
-    def _parts(self, kind: str, schema: str) -> DataFrame:
-        folders = sorted({f"{self.folder}/{data}/{kind}" for data in self._commits().values()})
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def _added(self, kind: str, schema: str, *keys: str) -> DataFrame:
+        """The counts of all data folders by ``keys``. Keys occur once in a folder, so a single one is added up already."""
+        held = self._held()
+        parts = self._read(kind, schema, held)
+        return parts if len(held) == 1 else parts.groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def values(self) -> DataFrame:
         """(column, value, n) of the text columns."""
-        return self._parts("values", VALUES).groupBy("column", "value").agg(F.sum("n").alias("n"))
+        return self._added("values", VALUES, "column", "value")
 
     def rows(self) -> DataFrame:
         """(signature, n) of the different rows."""
-        return self._parts("rows", ROWS).groupBy("signature").agg(F.sum("n").alias("n"))
+        return self._added("rows", ROWS, "signature")
 
     def columns(self) -> DataFrame:
         """One merged row per column, in the layout of a batch's. Reads one small row per batch and column."""
-        parts = self._parts("columns", COLUMNS)
+        parts = self._read("columns", COLUMNS, self._held())
         n = F.when(F.col("kind") == "number", F.col("filled")).otherwise(0)
         total = parts.groupBy("part").agg(F.max("rows").alias("rows")).agg(F.sum("rows")).scalar()
         means = parts.groupBy("column").agg(F.try_divide(F.sum(n * F.col("mean")), F.sum(n)).alias("centre"), F.count_distinct("kind").alias("kinds"))
@@ -149,19 +176,22 @@ class AuditState:
             F.when(F.sum("filled") > 0, F.expr("hll_union_agg(distinct_values)")).alias("distinct_values"))
         return merged.select("column", "kind", "position", total.alias("rows"), *merged.columns[3:])
 
-    def profile(self) -> DataFrame:
-        """One row per column: rows, missing, mean, std, adjusted skewness, extremes, and the distinct values as the sketch estimates them."""
+    def profile(self, columns: DataFrame | None = None) -> DataFrame:
+        """One row per column: rows, missing, mean, std, adjusted skewness, extremes, and the distinct values as the sketch estimates them.
+
+        The merged ``columns`` may be given.
+        """
         n, number = F.col("filled").cast("double"), F.col("kind") == "number"
         skew = F.when(~number | (n < 3), F.lit(None)).when(F.col("low") == F.col("high"), 0.0).otherwise(
             F.sqrt(n) * F.col("m3") / F.pow("m2", F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2))
-        return self.columns().select(
+        return (self.columns() if columns is None else columns).select(
             "column", "kind", "rows", (F.col("rows") - F.col("filled")).alias("missing"), "mean",
             F.when(number & (n > 1), F.sqrt(F.col("m2") / (n - 1))).alias("std"), skew.alias("skewness"), "low", "high",
             F.coalesce(F.hll_sketch_estimate("distinct_values"), F.lit(0)).alias("distinct_estimate"))
 
-    def _totals(self, columns: DataFrame, values: DataFrame) -> DataFrame:
+    def _totals(self, columns: DataFrame, values: DataFrame, findings: DataFrame) -> DataFrame:
         noise = values.agg(F.coalesce(F.sum(F.when(is_noise(F.col("value"), self.rules.noise_tokens), F.col("n"))), F.lit(0)))
-        inconsistent = consistency(values, freq=values).agg(F.coalesce(F.sum("count"), F.lit(0)))
+        inconsistent = findings.agg(F.coalesce(F.sum("count"), F.lit(0)))
         duplicates = self.rows().agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
         return columns.agg(
             F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("cols"),
@@ -171,7 +201,8 @@ class AuditState:
     def audit(self) -> DataFrame:
         """The full audit (section, item, value) without the sections that need the rows: totals, consistency, noise, safe zones, missing, skewed."""
         columns, values = staged(self.columns(), "columns"), staged(self.values(), "frequency")
-        totals = scored(self._totals(columns, values))
+        findings = staged(consistency(values, freq=values), "findings")
+        totals = scored(self._totals(columns, values, findings))
 
         def rows(section: str, frame: DataFrame, item: Column, value: Column) -> DataFrame:
             return frame.select(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
@@ -179,13 +210,13 @@ class AuditState:
         out = totals.select(F.inline(F.array(*[F.struct(
             F.lit("totals").alias("section"), F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in totals.columns])))
         noisy = values.where(is_noise(F.col("value"), self.rules.noise_tokens)).groupBy("column").agg(F.sum("n").alias("n"))
-        found = consistency(values, freq=values).groupBy("column", "issue").agg(F.sum("count").alias("n"))
+        found = findings.groupBy("column", "issue").agg(F.sum("count").alias("n"))
         gaps = F.col("rows") - F.col("filled")
         for part in (
                 rows("consistency", found, F.concat_ws(": ", "column", "issue"), F.col("n")), rows("noise", noisy, F.col("column"), F.col("n")),
                 rows("safe_zone", columns.where("outside > 0"), F.col("column"), F.col("outside")),
                 rows("missing", columns.where(gaps > 0), F.col("column"), gaps),
-                rows("skewed", self.profile().where(F.abs(F.round("skewness", 3)) > R.SKEW_STRONG), F.col("column"), F.lit(1))):
+                rows("skewed", self.profile(columns).where(F.abs(F.round("skewness", 3)) > R.SKEW_STRONG), F.col("column"), F.lit(1))):
             out = out.unionByName(part)
         return out
 
@@ -232,8 +263,5 @@ class _Union(AuditState):
         super().__init__(states[0].spark, states[0].folder, states[0].rules)
         self.states = states
 
-    def _parts(self, kind: str, schema: str) -> DataFrame:
-        out = self.states[0]._parts(kind, schema)
-        for s in self.states[1:]:
-            out = out.unionByName(s._parts(kind, schema))
-        return out
+    def _held(self) -> list[str]:
+        return [folder for s in self.states for folder in s._held()]

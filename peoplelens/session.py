@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Shared folder taken where ``spark.checkpoint.dir`` is unset and Spark runs in local mode, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -18,7 +22,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # HotSpot does not compile methods above 8000 bytes; beyond that Spark's split expressions are faster.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+    HUGE_METHOD: "8000",
     "spark.ui.enabled": "false",
 }
 
@@ -37,6 +41,17 @@ def build_session(app: str = "peoplelens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Inside, wide projections are planned as methods that HotSpot compiles, also in a session that ``build_session`` did not make."""
+    before = spark.conf.get(HUGE_METHOD)
+    spark.conf.set(HUGE_METHOD, str(min(int(before), int(DEFAULTS[HUGE_METHOD]))))
+    try:
+        yield
+    finally:
+        spark.conf.set(HUGE_METHOD, before)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder of this application below the cluster's ``spark.checkpoint.dir``; deleted when the driver's Python ends."""
     app = spark.sparkContext.applicationId

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pytest
 from pyspark.sql import functions as F
 
 from peoplelens import rules as R
 from peoplelens.functions.quantiles import column_quantiles
-from peoplelens.operators import audit, state
+from peoplelens.operators import audit, frequency, state
 from peoplelens.operators.profile import moments
-from peoplelens.session import create_file, new_folder
+from peoplelens.session import HUGE_METHOD, create_file, new_folder
 
 RULES = R.Rules(expected=(), safe_zones={"pay": (0, 500)}, bins={}, groups={})
 SCHEMA = "pay double, `Team Name` string, born timestamp, code int"
@@ -108,3 +110,64 @@ def test_signatures_tell_rows_apart_as_grouping_does(spark):
             ("", "bc", 0.0, None), ("", "bc", float("nan"), None), ("", "bc", float("nan"), None)]
     df = spark.createDataFrame(data, "a string, b string, c double, d binary").withColumn("e", F.array("a", "b"))
     assert df.select(state.signature(df)).distinct().count() == df.distinct().count() == 6
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_one_folder_are_not_added_up_again(merged):
+    got, whole = merged
+    assert "Exchange" not in plan(got.rows()) and "Exchange" not in plan(got.values())
+    assert got.rows().agg(F.sum("n"), F.count("*")).first()[:] == (whole.count(), whole.select(state.signature(whole)).distinct().count())
+    assert got.rows().select("signature").distinct().count() == got.rows().count()
+
+
+def test_text_columns_are_counted_from_their_values_alone(spark, tmp_path):
+    many = spark.range(3_000).selectExpr("double(id % 70) AS x", "CASE WHEN id % 3 > 0 THEN concat('t', id % 40) END AS `Team Name`", "CAST(NULL AS STRING) AS gone")
+    many.write.parquet(f"{tmp_path}/many")
+    held = spark.read.parquet(f"{tmp_path}/many")
+    frequency.text_frequency(held).write.parquet(f"{tmp_path}/values")
+    parts = state._column_parts(held, RULES, spark.read.parquet(f"{tmp_path}/values"))
+    scans = [line for line in plan(parts).splitlines() if "FileScan" in line and "values" not in line]
+    assert len(scans) == 1 and "Team Name" not in scans[0].split("ReadSchema:")[1]
+    for found in (parts, state._column_parts(held, RULES)):
+        rows = {r["column"]: r for r in found.selectExpr("*", "hll_sketch_estimate(distinct_values) AS d").collect()}
+        assert {c: (r["kind"], r["position"], r["rows"], r["filled"], r["outside"], r["mean"]) for c, r in rows.items()} == {
+            "x": ("number", 0, 3_000, 3_000, 0, pytest.approx(many.agg(F.avg("x")).first()[0])), "Team Name": ("text", 1, 3_000, 2_000, 0, None),
+            "gone": ("text", 2, 3_000, 0, 0, None)}
+        assert rows["Team Name"]["d"] == pytest.approx(40, abs=1) and rows["gone"]["d"] is None and rows["Team Name"]["numbers"] is None
+
+
+def test_parts_are_written_as_methods_that_hotspot_compiles(spark, monkeypatch):
+    s, limits, held = fresh(spark), [], spark.conf.get(HUGE_METHOD)
+    write = state.compiled_methods
+
+    @contextmanager
+    def seen(session):
+        with write(session):
+            limits.append(session.conf.get(HUGE_METHOD))
+            yield
+            limits.append(session.conf.get(HUGE_METHOD))
+
+    monkeypatch.setattr(state, "compiled_methods", seen)
+    try:
+        spark.conf.set(HUGE_METHOD, "65535")
+        s.add("one", rows(spark))
+        assert set(limits) == {"8000"} and spark.conf.get(HUGE_METHOD) == "65535"
+    finally:
+        spark.conf.set(HUGE_METHOD, held)
+
+
+def test_batches_of_the_query_compute_the_table_once(spark, folk, monkeypatch):
+    from catalog import audit as queries
+
+    calls, given = [], []
+    add = state.AuditState.add
+    monkeypatch.setattr(queries, "people", lambda *a: calls.append(a) or folk)
+    monkeypatch.setattr(state.AuditState, "add", lambda self, batch, df: given.append(df) or add(self, batch, df))
+    found = values(queries.q22_state(spark, "unused"))
+    wanted = audit.audit_result(folk).where("section NOT IN ('low_variance', 'outliers')")
+    assert [r[:2] for r in found] == [r[:2] for r in values(wanted)] and [r[2] for r in found] == pytest.approx([r[2] for r in values(wanted)], abs=1e-5)
+    assert len(calls) == 1 and all("orders.parquet" not in plan(df) and "PartitionFilters: [isnotnull(part" in plan(df) for df in given)
+    assert sum(df.count() for df in given) == 2 * folk.count() and given[0].columns == folk.columns
